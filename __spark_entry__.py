@@ -120,7 +120,12 @@ class Tables:
         return scoring.score_portfolio(self.scored(), fx.RULE_BOOK)
 
     def models(self) -> models.ModelPair:
-        return self._once("models", lambda: models.train_models(self.train()))
+        return models.ModelPair(
+            self.champion(), self._once("challenger", lambda: models.train_challenger(self.train()))
+        )
+
+    def champion(self):
+        return self._once("champion", lambda: models.train_champion(self.train()))
 
     def model_scored(self) -> DataFrame:
         return self._once(
@@ -247,7 +252,7 @@ def _catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         # models and metrics
         "standardize": lambda t: models.standardize(t.train(), t.training()).select(*ON, *MODEL_FEATURES),
         "class_weights": lambda t: models.class_weights(t.train()),
-        "champion_lr": lambda t: models.coefficients(t.models(), t.training()),
+        "champion_lr": lambda t: models.coefficients(t.champion(), t.training()),
         "challenger_gbt": lambda t: t.model_scored().select(*ON, LABEL, "challenger_score"),
         "feature_importance": lambda t: models.feature_importance(t.models(), t.training()),
         "score_both": lambda t: t.model_scored().select(*ON, LABEL, "champ_score", "challenger_score"),

@@ -26,7 +26,10 @@ def running_totals(
         .agg(F.sort_array(F.collect_list(order)).alias("cuts"))
         .scalar()
     )
-    bucketed = distinct.withColumn("bucket", F.size(F.filter(cuts, lambda cut: cut < F.col(order))))
+    # place of the value among the sorted cuts
+    bucketed = distinct.withColumn(
+        "bucket", F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
+    )
 
     def direction(column):
         return F.col(column).desc() if descending else F.col(column).asc()

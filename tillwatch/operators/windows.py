@@ -1,8 +1,8 @@
 """Month-end windows over the day rollup.
 
 A range join "events within W days of a month end" pairs every event of a merchant with every month. Here each
-day row is instead copied to the few month ends whose window holds it (at most 2, 3 or 4 for 30, 60 or 90 days),
-and the windows become one grouped aggregation.
+day row is instead copied to the few month ends whose window holds it (at most 2, 3 or 4 for 30, 60 or 90 days), and
+all windows become one grouped aggregation.
 """
 
 from __future__ import annotations
@@ -30,6 +30,15 @@ def past_months(day: Column, width: int, spine: Spine, history: bool = False) ->
     return month_starts(first, F.greatest(last, first) if history else last)
 
 
+def all_months(day: Column, back: int, ahead: int, spine: Spine) -> Column:
+    """Months that see ``day`` in their past (``back`` days or history) or in their next ``ahead`` days."""
+    first = F.greatest(_month_of(F.date_sub(day, ahead)), F.lit(spine.first))
+    last = F.greatest(F.least(_month_of(F.date_add(day, back - 1)), F.lit(spine.last)), first)
+    return F.when(day <= F.date_add(F.lit(spine.last_end), ahead), month_starts(first, last)).otherwise(
+        F.array().cast("array<date>")
+    )
+
+
 def future_months(day: Column, width: int, spine: Spine) -> Column:
     """Starts of the spine months whose window ``(end, end + width]`` may hold ``day``."""
     first = F.greatest(_month_of(F.date_sub(day, width)), F.lit(spine.first))
@@ -37,8 +46,13 @@ def future_months(day: Column, width: int, spine: Spine) -> Column:
     return month_starts(first, last)
 
 
-def _spread(rows: DataFrame, months: Column, day: str) -> DataFrame:
-    """Copy rows to month ends; ``age`` is the number of days from the row to the month end."""
+def past_members(rows: DataFrame, width: int, spine: Spine, day: str = "day") -> DataFrame:
+    """Rows with each month end whose last ``width`` days hold them; ``age`` is the distance in days."""
+    members = _at_month_ends(rows, past_months(F.col(day), width, spine), day)
+    return members.where(F.col("age").between(0, width - 1))
+
+
+def _at_month_ends(rows: DataFrame, months: Column, day: str) -> DataFrame:
     return (
         rows.withColumn("month_start", F.explode(months))
         .withColumn(MONTH, F.last_day("month_start"))
@@ -47,25 +61,44 @@ def _spread(rows: DataFrame, months: Column, day: str) -> DataFrame:
     )
 
 
-def past_members(rows: DataFrame, width: int, spine: Spine, day: str = "day") -> DataFrame:
-    """Rows with each month end whose last ``width`` days hold them."""
-    members = _spread(rows, past_months(F.col(day), width, spine), day)
-    return members.where(F.col("age").between(0, width - 1))
+def month_members(
+    daily: DataFrame,
+    entities: DataFrame,
+    months: Column,
+    spine: Spine,
+    keep: tuple[str, ...] = (),
+    at_month: DataFrame | None = None,
+    key: str = KEY,
+) -> DataFrame:
+    """Day rows, one anchor row per spine month, and optional ready-made merchant-month columns, side by side.
 
+    All of them meet in one shuffle on the key, before the day rows are copied to their month ends, and the grouped
+    aggregation that follows needs no other one: it takes the place of outer joins from the spine. A key has at most
+    one row per day here, so the largest merchant is no larger than the number of days.
 
-def future_members(rows: DataFrame, width: int, spine: Spine, day: str = "day") -> DataFrame:
-    """Rows with each month end whose next ``width`` days hold them."""
-    members = _spread(rows, future_months(F.col(day), width, spine), day)
-    return members.where(F.col("age").between(-width, -1))
+    ``months`` gives the month starts of a day row. Anchor rows carry ``keep``; ``at_month`` has key, month end and
+    further columns. ``age`` is the number of days from a day row to the month end, NULL on the other rows.
+    """
+    anchors = entities.select(key, *keep, F.lit(True).alias("anchor"))
+    rows = daily.where(F.size(months) > 0).unionByName(anchors, allowMissingColumns=True)
+    if at_month is not None:
+        ready = at_month.withColumn("ready_month", F.trunc(MONTH, "MM")).drop(MONTH)
+        rows = rows.unionByName(ready, allowMissingColumns=True)
+        months = F.when(F.col("ready_month").isNotNull(), F.array("ready_month")).otherwise(months)
+    spine_months = month_starts(F.lit(spine.first), F.lit(spine.last))
+    months = F.when(F.col("anchor"), spine_months).otherwise(months)
+    return _at_month_ends(rows.repartition(key), months, "day").withColumn(
+        "is_new", F.col(MONTH) == F.greatest(F.last_day("day"), F.lit(spine.first_end))
+    )
 
 
-def past_and_first_months(rows: DataFrame, width: int, spine: Spine, day: str = "day") -> DataFrame:
-    """Like ``past_members``, and also each row once, marked ``is_new``, at the first month end not before it."""
-    last_known = rows.where(F.col(day) <= F.lit(spine.last_end))
-    members = _spread(last_known, past_months(F.col(day), width, spine, history=True), day)
-    first_seen = F.greatest(F.last_day(day), F.lit(spine.first_end))
-    return members.withColumn("is_new", F.col(MONTH) == first_seen).where(
-        F.col("is_new") | (F.col("age") < width)
+def at_anchors(members: DataFrame, totals: list[Column], keep: tuple[str, ...] = (), key: str = KEY) -> DataFrame:
+    """Totals per (key, month end) for the months of the spine; ``keep`` are constant attributes of the key."""
+    return (
+        members.groupBy(key, MONTH)
+        .agg(F.max("anchor").alias("anchor"), *[F.max(c).alias(c) for c in keep], *totals)
+        .where(F.col("anchor"))
+        .drop("anchor")
     )
 
 
@@ -84,13 +117,19 @@ def _deviation(total: str, count: str, m2: str, mean: Column) -> Column:
 
 
 def transaction_windows(
-    members: DataFrame, widths: tuple[int, ...], key: str = KEY, split_days: bool = False, busy_day: int = 3
+    members: DataFrame,
+    widths: tuple[int, ...],
+    keep: tuple[str, ...] = (),
+    key: str = KEY,
+    split_days: bool = False,
+    busy_day: int = 3,
+    extra: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """Window totals per (key, month end) for every width; columns are suffixed ``_<width>``.
+    """Window totals per (key, month end) of the spine for every width; columns are suffixed ``_<width>``.
 
-    ``members`` comes from one of the functions above, spread for the widest window. ``split_days`` says that one
-    calendar date may be spread over two rows, as under the instant clock; the decline share of a day is then taken
-    over all its payments, known status or not.
+    ``new_*`` columns are the totals of the days that the month end is the first one to see. ``split_days`` says that
+    one calendar date may be spread over two rows, as under the instant clock; the decline share of a day is then
+    taken over all its payments, known status or not. ``extra`` are further aggregates of the same groups.
     """
     by = Window.partitionBy(key, MONTH)
     day_status, day_declined, day_txns = F.col("n_status"), F.col("declined"), F.col("n_txn")
@@ -117,22 +156,31 @@ def transaction_windows(
             "n_txn", "n_txn_id", "n_status", "declined", "n_approved", "approved", "n_cents", "cents",
             "n_channel", "ach", "n_fraud", "fraud", "n_chargeback", "chargeback",
         ):
-            totals.append(F.coalesce(F.sum(_in(width, name)), F.lit(0)).alias(f"{name}_{width}"))
+            totals.append(_whole(F.sum(_in(width, name))).alias(f"{name}_{width}"))
         for name in ("dev_approved", "dev_cents"):
             totals.append(F.sum(_in(width, f"{name}_{width}")).alias(f"{name}_{width}"))
         totals.append(F.max(_in(width, f"spike_{width}")).alias(f"spike_{width}"))
         # the rollup has one row per active day, so counting rows counts days
         totals.append(F.count(F.when(F.col("n_txn") > 0, _in(width, "n_txn"))).alias(f"days_{width}"))
-    if "is_new" in members.columns:
-        for name in ("n_fraud", "fraud"):
-            totals.append(F.coalesce(F.sum(F.when(F.col("is_new"), F.col(name))), F.lit(0)).alias(f"new_{name}"))
+    for name in ("n_fraud", "fraud"):
+        totals.append(_whole(F.sum(F.when(F.col("is_new"), F.col(name)))).alias(f"new_{name}"))
     if "n_sla" in members.columns:
         for width in widths:
-            for name in ("n_sla", "n_event", "n_breached", "breached"):
-                totals.append(F.coalesce(F.sum(_in(width, name)), F.lit(0)).alias(f"{name}_{width}"))
-    return members.groupBy(key, MONTH).agg(*totals)
+            for name in ("n_event", "n_breached", "breached"):
+                totals.append(_whole(F.sum(_in(width, name))).alias(f"{name}_{width}"))
+    return at_anchors(members, [*totals, *extra], keep, key)
+
+
+def _whole(total: Column) -> Column:
+    return F.coalesce(total, F.lit(0)).cast("bigint")
+
+
+def future_totals(names: tuple[str, ...], width: int) -> list[Column]:
+    """Sums of rollup columns over the ``width`` days after the month end, named ``next_*``."""
+    ahead = F.col("age").between(-width, -1)
+    return [_whole(F.sum(F.when(ahead, F.col(n)))).alias(f"next_{n}") for n in names]
 
 
-def window_sums(members: DataFrame, names: tuple[str, ...], key: str = KEY) -> DataFrame:
-    """Plain sums of rollup columns per (key, month end)."""
-    return members.groupBy(key, MONTH).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+def past_totals(names: tuple[str, ...], width: int) -> list[Column]:
+    """Sums of rollup columns over the ``width`` days up to the month end."""
+    return [_whole(F.sum(_in(width, n))).alias(n) for n in names]

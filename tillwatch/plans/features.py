@@ -21,8 +21,14 @@ from tillwatch.functions.columns import (
 from tillwatch.operators.deltas import mom_delta
 from tillwatch.operators.quantile import grouped_percentile
 from tillwatch.operators.rollup import daily_activity
-from tillwatch.operators.spine import month_spine
-from tillwatch.operators.windows import past_and_first_months, past_members, transaction_windows, window_sums
+from tillwatch.operators.windows import (
+    at_anchors,
+    month_members,
+    past_members,
+    past_months,
+    past_totals,
+    transaction_windows,
+)
 
 ON = [KEY, MONTH]
 
@@ -94,27 +100,28 @@ def _columns_90d(as_written: bool, approved_only: bool, volatility: str) -> list
     ]
 
 
+def _past(
+    daily: DataFrame, merchants: DataFrame, width: int, spine: Spine, history: bool = False, **options
+) -> DataFrame:
+    months = past_months(F.col("day"), width, spine, history)
+    return month_members(daily, merchants, months, spine, **options)
+
+
 def txn_features_30d(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
     daily = daily_activity(txns, txn_days=spine.past(30))
-    windows = transaction_windows(past_members(daily, 30, spine), (30,))
-    return (
-        month_spine(merchants, spine)
-        .join(windows, ON, "left")
-        .join(approved_p95(txns, spine), ON, "left")
-        .select(*ON, *_columns_30d())
-    )
+    members = _past(daily, merchants, 30, spine, at_month=approved_p95(txns, spine))
+    return transaction_windows(members, (30,), keep=("p95",)).select(*ON, *_columns_30d())
 
 
 def sla_features_60d(sla: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
     daily = daily_activity(sla=sla, sla_days=spine.past(60))
-    windows = window_sums(past_members(daily, 60, spine), ("n_event", "breached", "n_breached"))
-    return month_spine(merchants, spine).join(windows, ON, "left").select(*ON, *_columns_sla(""))
+    totals = past_totals(("n_event", "breached", "n_breached"), 60)
+    return at_anchors(_past(daily, merchants, 60, spine), totals).select(*ON, *_columns_sla(""))
 
 
 def txn_features_60d(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
     daily = daily_activity(txns, txn_days=spine.past(60))
-    windows = transaction_windows(past_members(daily, 60, spine), (60,))
-    return month_spine(merchants, spine).join(windows, ON, "left").select(*ON, *_columns_60d())
+    return transaction_windows(_past(daily, merchants, 60, spine), (60,)).select(*ON, *_columns_60d())
 
 
 def txn_features_90d(
@@ -126,9 +133,8 @@ def txn_features_90d(
 ) -> DataFrame:
     """``as_written=False`` counts every payment once; ``approved_only=False`` takes the deviation of all amounts."""
     daily = daily_activity(txns, txn_days=spine.past(90))
-    windows = transaction_windows(past_members(daily, 90, spine), (90,))
-    columns = _columns_90d(as_written, approved_only, "rolling_3m_volatility_90d")
-    return month_spine(merchants, spine).join(windows, ON, "left").select(*ON, *columns)
+    windows = transaction_windows(_past(daily, merchants, 90, spine), (90,))
+    return windows.select(*ON, *_columns_90d(as_written, approved_only, "rolling_3m_volatility_90d"))
 
 
 def _with_history(frame: DataFrame) -> DataFrame:
@@ -145,13 +151,8 @@ def _with_history(frame: DataFrame) -> DataFrame:
 
 def historical_fraud(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
     """All-time mean and sample deviation of the fraud flag up to each month end."""
-    daily = daily_activity(txns, txn_days=spine.history()).select(KEY, "day", "n_fraud", "fraud")
-    first_seen = F.greatest(F.last_day("day"), F.lit(spine.first_end))
-    monthly = (
-        daily.groupBy(KEY, first_seen.alias(MONTH))
-        .agg(F.sum("n_fraud").alias("new_n_fraud"), F.sum("fraud").alias("new_fraud"))
-    )
-    frame = month_spine(merchants, spine).join(monthly, ON, "left")
+    daily = daily_activity(txns, txn_days=spine.history())
+    frame = transaction_windows(_past(daily, merchants, 1, spine, history=True), (1,))
     return _with_history(frame).select(*ON, "historical_fraud_rate", "historical_fraud_stddev")
 
 
@@ -190,27 +191,25 @@ def merchant_month_features(
     """The wide feature table: keys, industry, state and 28 features per merchant and month.
 
     All windows of both event tables come from one day rollup and one grouped aggregation; only the percentile needs
-    a second pass over the payments. Trends and history are windows over each merchant's months. ``daily`` is a
-    finished rollup of both event tables, to be used for the windows instead of the events.
+    a second pass over the payments. Trends and history are windows over each merchant's months, on the partitioning
+    that the aggregation left. ``daily`` is a finished rollup of both event tables, to be used for the windows instead
+    of the events.
     """
     if daily is None:
         daily = daily_activity(txns, sla, txn_days=spine.history(), sla_days=spine.past(60))
-    windows = transaction_windows(past_and_first_months(daily, 90, spine), (30, 60, 90))
-    frame = (
-        month_spine(merchants, spine, keep=("industry", "state"))
-        .join(windows, ON, "left")
-        .join(approved_p95(txns, spine), ON, "left")
-        .select(
-            *ON,
-            "industry",
-            "state",
-            *_columns_30d(),
-            *_columns_60d(),
-            *_columns_sla(),
-            *_columns_90d(as_written, True, "amount_volatility_90d"),
-            "new_fraud",
-            "new_n_fraud",
-        )
+    attributes = ("industry", "state")
+    members = _past(
+        daily, merchants, 90, spine, history=True, keep=attributes, at_month=approved_p95(txns, spine)
+    )
+    frame = transaction_windows(members, (30, 60, 90), keep=(*attributes, "p95")).select(
+        *ON,
+        *attributes,
+        *_columns_30d(),
+        *_columns_60d(),
+        *_columns_sla(),
+        *_columns_90d(as_written, True, "amount_volatility_90d"),
+        "new_fraud",
+        "new_n_fraud",
     )
     frame = _with_history(mom_delta(frame, MOM_SQL, snap=snap))
     return frame.withColumns(

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tillwatch.config import GRID_CHARGEBACK, GRID_FRAUD, GRID_KEEP, KEY, LABEL, MONTH, LabelRule, Spine
 from tillwatch.functions.columns import or_zero_double, ratio
 from tillwatch.operators.rollup import daily_activity
-from tillwatch.operators.spine import month_spine
-from tillwatch.operators.windows import future_members, window_sums
+from tillwatch.operators.windows import at_anchors, future_months, future_totals, month_members
 
 ON = [KEY, MONTH]
-_SUMS = (
+SUMS = (
     "n_txn_id", "n_status", "declined", "n_fraud", "fraud", "n_chargeback", "chargeback",
     "n_sla", "n_breached", "breached",
 )
@@ -37,28 +36,28 @@ def forward_rates(
     if daily is None:
         days = spine.ahead(width)
         daily = daily_activity(txns, sla, txn_days=days, sla_days=days, clock=clock)
-    sums = window_sums(future_members(daily, width, spine), _SUMS)
-    copies = F.greatest(F.col("n_sla"), F.lit(1)) if as_written else F.lit(1)
+    members = month_members(daily, merchants, future_months(F.col("day"), width, spine), spine)
+    return at_anchors(members, future_totals(SUMS, width)).select(*ON, *rate_columns(as_written))
+
+
+def rate_columns(as_written: bool) -> list[Column]:
+    """Forward rates and counts from the ``next_*`` totals of ``SUMS``."""
+    copies = F.greatest(F.col("next_n_sla"), F.lit(1)) if as_written else F.lit(1)
 
     def rate(part, whole):
-        return or_zero_double(ratio(F.col(part), F.col(whole)))
+        return or_zero_double(ratio(F.col(f"next_{part}"), F.col(f"next_{whole}")))
 
     def count(column):
-        return F.coalesce(F.col(column) * copies, F.lit(0)).cast("bigint")
-
-    return (
-        month_spine(merchants, spine)
-        .join(sums, ON, "left")
-        .select(
-            *ON,
-            rate("chargeback", "n_chargeback").alias("future_chargeback_rate"),
-            rate("fraud", "n_fraud").alias("future_fraud_rate"),
-            rate("declined", "n_status").alias("future_decline_rate"),
-            count("fraud").alias("future_fraud_count"),
-            count("n_txn_id").alias("future_txn_count"),
-            rate("breached", "n_breached").alias("future_sla_breach_rate"),
-        )
-    )
+        return (F.col(f"next_{column}") * copies).cast("bigint")
+
+    return [
+        rate("chargeback", "n_chargeback").alias("future_chargeback_rate"),
+        rate("fraud", "n_fraud").alias("future_fraud_rate"),
+        rate("declined", "n_status").alias("future_decline_rate"),
+        count("fraud").alias("future_fraud_count"),
+        count("n_txn_id").alias("future_txn_count"),
+        rate("breached", "n_breached").alias("future_sla_breach_rate"),
+    ]
 
 
 def _decline_clause(decline: float, fraud_count: int) -> Column:

@@ -142,10 +142,12 @@ def score_both(models: ModelPair, train: DataFrame, frame: DataFrame) -> DataFra
     return _probability(models.challenger, _assembled(champion, models.columns), "challenger_score")
 
 
-def coefficients(models: ModelPair, frame: DataFrame) -> DataFrame:
+def coefficients(
+    champion: LogisticRegressionModel, frame: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES
+) -> DataFrame:
     """``(feature, coefficient)`` of the champion, with the intercept."""
-    pairs = [(c, float(w)) for c, w in zip(models.columns, models.champion.coefficients)]
-    pairs.append(("intercept", float(models.champion.intercept)))
+    pairs = [(c, float(w)) for c, w in zip(columns, champion.coefficients)]
+    pairs.append(("intercept", float(champion.intercept)))
     return frame.sparkSession.createDataFrame(pairs, "feature string, coefficient double")
 
 

@@ -21,9 +21,8 @@ from tillwatch.functions.columns import (
 )
 from tillwatch.operators.deltas import by_month, lag_delta
 from tillwatch.operators.rollup import daily_activity
-from tillwatch.operators.spine import month_spine
-from tillwatch.operators.windows import past_and_first_months, transaction_windows
-from tillwatch.plans.labels import default_label, forward_rates
+from tillwatch.operators.windows import all_months, future_totals, month_members, past_months, transaction_windows
+from tillwatch.plans.labels import SUMS, default_label, rate_columns
 
 ON = [KEY, MONTH]
 
@@ -32,50 +31,56 @@ def _instant_rollup(txns: DataFrame | None = None, sla: DataFrame | None = None)
     return daily_activity(txns, sla, clock="ts")
 
 
-def _calendar(daily: DataFrame, as_written: bool) -> DataFrame:
+def _seen_by_calendar(as_written: bool) -> Column:
     """``as_written`` keeps only events stamped exactly midnight: the original adds the time of day to the month end
     and then loses every other row in the join on midnight. In the rollup those are the rows whose window day is
     their own date."""
-    rows = daily.where(F.col("day") == F.col("date")) if as_written else daily
-    return rows.withColumn(MONTH, F.last_day("date"))
+    return F.col("day") == F.col("date") if as_written else F.lit(True)
 
 
-def _total(column: str) -> Column:
-    return F.sum(column)
+_CALENDAR_TXN = ("n_txn", "n_txn_id", "approved", "declined", "n_fraud", "fraud", "n_chargeback", "chargeback")
+_CALENDAR_SLA = ("n_sla", "n_event", "n_breached", "breached")
 
 
-def calendar_month_features(
-    txns: DataFrame | None = None, as_written: bool = False, daily: DataFrame | None = None
-) -> DataFrame:
-    """Payments per merchant and calendar month."""
-    daily = _instant_rollup(txns) if daily is None else daily
-    return (
-        _calendar(daily, as_written)
-        .where(F.col("n_txn") > 0)
-        .groupBy(*ON)
-        .agg(
-            _total("n_txn_id").alias("txn_count_30d"),
-            from_cents(_total("approved")).alias("gmv_30d"),
-            ratio(_total("declined"), _total("n_txn")).alias("decline_rate_30d"),
-            ratio(_total("fraud"), _total("n_fraud")).alias("fraud_rate_30d"),
-            ratio(_total("chargeback"), _total("n_chargeback")).alias("chargeback_rate_30d"),
-        )
-    )
+def _month_totals(names: tuple[str, ...], counts: Column) -> list[Column]:
+    return [F.coalesce(F.sum(F.when(counts, F.col(n))), F.lit(0)).alias(f"month_{n}") for n in names]
 
 
-def calendar_month_sla(
-    sla: DataFrame | None = None, as_written: bool = False, daily: DataFrame | None = None
-) -> DataFrame:
-    """Service events per merchant and calendar month."""
-    daily = _instant_rollup(sla=sla) if daily is None else daily
-    return (
-        _calendar(daily, as_written)
-        .where(F.col("n_sla") > 0)
-        .groupBy(*ON)
-        .agg(
-            _total("n_event").alias("sla_events_60d"),
-            ratio(_total("breached"), _total("n_breached")).alias("sla_breach_rate_60d"),
-        )
+def _month_ratio(part: str, whole: str) -> Column:
+    return ratio(F.col(f"month_{part}"), F.col(f"month_{whole}"))
+
+
+def _calendar_columns() -> list[Column]:
+    return [
+        F.col("month_n_txn_id").alias("txn_count_30d"),
+        from_cents(F.col("month_approved")).alias("gmv_30d"),
+        _month_ratio("declined", "n_txn").alias("decline_rate_30d"),
+        _month_ratio("fraud", "n_fraud").alias("fraud_rate_30d"),
+        _month_ratio("chargeback", "n_chargeback").alias("chargeback_rate_30d"),
+    ]
+
+
+def _calendar_sla_columns() -> list[Column]:
+    return [
+        F.col("month_n_event").alias("sla_events_60d"),
+        _month_ratio("breached", "n_breached").alias("sla_breach_rate_60d"),
+    ]
+
+
+def _by_calendar_month(daily: DataFrame, names: tuple[str, ...], as_written: bool) -> DataFrame:
+    rows = daily.where((F.col(names[0]) > 0) & _seen_by_calendar(as_written))
+    return rows.groupBy(KEY, F.last_day("date").alias(MONTH)).agg(*_month_totals(names, F.lit(True)))
+
+
+def calendar_month_features(txns: DataFrame, as_written: bool = False) -> DataFrame:
+    """Payments per merchant and calendar month, for months that have any."""
+    return _by_calendar_month(_instant_rollup(txns), _CALENDAR_TXN, as_written).select(*ON, *_calendar_columns())
+
+
+def calendar_month_sla(sla: DataFrame, as_written: bool = False) -> DataFrame:
+    """Service events per merchant and calendar month, for months that have any."""
+    return _by_calendar_month(_instant_rollup(sla=sla), _CALENDAR_SLA, as_written).select(
+        *ON, *_calendar_sla_columns()
     )
 
 
@@ -85,19 +90,10 @@ WINDOW_COLUMNS = (
 )
 
 
-def ts_window_features(
-    txns: DataFrame | None, merchants: DataFrame, spine: Spine = Spine(), daily: DataFrame | None = None
-) -> DataFrame:
-    """60-day, 90-day and all-time features with instant bounds; NULL where a window is empty."""
-    if daily is None:
-        daily = daily_activity(txns, txn_days=spine.history(), clock="ts")
-    members = past_and_first_months(daily.where(F.col("n_txn") > 0), 90, spine)
-    windows = transaction_windows(members, (60, 90), split_days=True)
-    frame = month_spine(merchants, spine).join(windows, ON, "left")
+def _window_columns() -> list[Column]:
     to_date = by_month().rowsBetween(Window.unboundedPreceding, 0)
     hits, n = F.sum("new_fraud").over(to_date), F.sum("new_n_fraud").over(to_date)
-    return frame.select(
-        *ON,
+    return [
         ratio(F.col("fraud_60"), F.col("n_fraud_60")).alias("fraud_rate_60d"),
         ratio(F.col("chargeback_60"), F.col("n_chargeback_60")).alias("chargeback_rate_60d"),
         F.when(F.col("n_txn_90") > 0, F.col("fraud_90")).alias("cumulative_fraud_90d"),
@@ -106,7 +102,15 @@ def ts_window_features(
         F.col("spike_90").alias("rolling_max_decline_spike"),
         ratio(hits, n).alias("historical_fraud_rate"),
         flag_stddev(hits, n).alias("historical_fraud_std"),
-    )
+    ]
+
+
+def ts_window_features(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
+    """60-day, 90-day and all-time features with instant bounds; NULL where a window is empty."""
+    daily = daily_activity(txns, txn_days=spine.history(), clock="ts")
+    months = past_months(F.col("day"), 90, spine, history=True)
+    members = month_members(daily, merchants, months, spine)
+    return transaction_windows(members, (60, 90), split_days=True).select(*ON, *_window_columns())
 
 
 def fill_zero(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -131,21 +135,20 @@ def training_frame(
 ) -> DataFrame:
     """Spine, industry, features and label of every merchant-month, zero where nothing happened.
 
-    Everything derives from one rollup (``daily_activity(txns, sla, clock="ts")``); pass it written out to read the
-    raw events once.
+    One rollup (``daily_activity(txns, sla, clock="ts")``, or ``daily`` if it is at hand) and one grouped aggregation
+    give calendar months, past windows and the forward label together.
     """
     daily = _instant_rollup(txns, sla) if daily is None else daily
-    rates = forward_rates(None, None, merchants, spine, as_written=False, clock="ts", daily=daily)
-    labels = default_label(rates, rule).select(*ON, LABEL)
-    frame = (
-        month_spine(merchants, spine, keep=("industry",))
-        .drop("month_start")
-        .join(calendar_month_features(as_written=as_written, daily=daily), ON, "left")
-        .join(calendar_month_sla(as_written=as_written, daily=daily), ON, "left")
-        .join(labels, ON, "left")
-        .join(ts_window_features(None, merchants, spine, daily), ON, "left")
+    ahead, back = 60, 90
+    months = all_months(F.col("day"), back, ahead, spine)
+    members = month_members(daily, merchants, months, spine, keep=("industry",))
+    in_month = (F.last_day("date") == F.col(MONTH)) & _seen_by_calendar(as_written)
+    totals = (*_month_totals(_CALENDAR_TXN + _CALENDAR_SLA, in_month), *future_totals(SUMS, ahead))
+    frame = transaction_windows(members, (60, back), keep=("industry",), split_days=True, extra=totals).select(
+        *ON, "industry", *_calendar_columns(), *_calendar_sla_columns(), *rate_columns(False), *_window_columns()
     )
-    frame = fill_zero(frame, list(CALENDAR_COLUMNS)).withColumn(LABEL, F.col(LABEL).cast("int"))
+    frame = default_label(frame, rule).select(*ON, "industry", *CALENDAR_COLUMNS, *WINDOW_COLUMNS)
+    frame = fill_zero(frame, list(CALENDAR_COLUMNS))
     frame = frame.withColumns(
         {
             "prev_fraud_rate": or_zero(F.lag("fraud_rate_30d").over(by_month())),
