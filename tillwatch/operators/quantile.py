@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values are whole numbers, so a band of this width holds at most this many distinct ones.
-BAND_WIDTH = 1_000_000
+# Values are whole numbers; a band of 2^20 of them holds at most that many distinct ones.
+BAND_BITS = 20
 
 
 def grouped_percentile(rows: DataFrame, keys: list[str], value: str, fraction: float, name: str) -> DataFrame:
     """Interpolated percentile (``PERCENTILE_CONT``) of a whole-number column per group, NULLs ignored.
 
     Equal values are counted map-side first, so a hot group spreads over the cluster by value. Ranks are then taken
-    in two steps, bands of values and values inside a band. No window partition holds more than ``BAND_WIDTH`` rows
-    (values) or the bands of one group, whatever the number of events in the group.
+    in two steps, bands of values and values inside a band. No window partition holds more than 2^20 rows (values) or
+    the bands of one group, whatever the number of events in the group.
+
+    The bands are joined back to the values they come from. The filters up front are those that the join would add to
+    one side only; with them both sides are the same plan up to the shuffle, which then runs once.
     """
-    counted = (
-        rows.where(F.col(value).isNotNull())
-        .withColumn("band", F.floor(F.col(value) / F.lit(BAND_WIDTH)).cast("int"))
-        .groupBy(*keys, "band", value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    with_band = rows.withColumn("band", F.shiftright(value, BAND_BITS))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, value, "band")])
+    counted = with_band.where(known).groupBy(*keys, "band", value).agg(F.count(F.lit(1)).alias("n"))
     band = Window.partitionBy(*keys, "band")
     ranked = counted.withColumn(
         "in_band", F.sum("n").over(band.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))

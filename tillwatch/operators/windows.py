@@ -7,11 +7,10 @@ all windows become one grouped aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, MONTH, Spine
-from tillwatch.functions.columns import ratio
 from tillwatch.operators.spine import month_starts
 
 
@@ -53,11 +52,8 @@ def past_members(rows: DataFrame, width: int, spine: Spine, day: str = "day") ->
 
 
 def _at_month_ends(rows: DataFrame, months: Column, day: str) -> DataFrame:
-    return (
-        rows.withColumn("month_start", F.explode(months))
-        .withColumn(MONTH, F.last_day("month_start"))
-        .drop("month_start")
-        .withColumn("age", F.datediff(MONTH, day))
+    return rows.select("*", F.explode(months).alias("month_start")).select(
+        *rows.columns, F.last_day("month_start").alias(MONTH), F.datediff(F.last_day("month_start"), day).alias("age")
     )
 
 
@@ -66,7 +62,6 @@ def month_members(
     entities: DataFrame,
     months: Column,
     spine: Spine,
-    keep: tuple[str, ...] = (),
     at_month: DataFrame | None = None,
     key: str = KEY,
 ) -> DataFrame:
@@ -76,10 +71,10 @@ def month_members(
     aggregation that follows needs no other one: it takes the place of outer joins from the spine. A key has at most
     one row per day here, so the largest merchant is no larger than the number of days.
 
-    ``months`` gives the month starts of a day row. Anchor rows carry ``keep``; ``at_month`` has key, month end and
-    further columns. ``age`` is the number of days from a day row to the month end, NULL on the other rows.
+    ``months`` gives the month starts of a day row. ``at_month`` has key, month end and further columns. ``age`` is the
+    number of days from a day row to the month end, NULL on the other rows.
     """
-    anchors = entities.select(key, *keep, F.lit(True).alias("anchor"))
+    anchors = entities.select(key, F.lit(True).alias("anchor"))
     rows = daily.where(F.size(months) > 0).unionByName(anchors, allowMissingColumns=True)
     if at_month is not None:
         ready = at_month.withColumn("ready_month", F.trunc(MONTH, "MM")).drop(MONTH)
@@ -92,34 +87,41 @@ def month_members(
     )
 
 
-def at_anchors(members: DataFrame, totals: list[Column], keep: tuple[str, ...] = (), key: str = KEY) -> DataFrame:
-    """Totals per (key, month end) for the months of the spine; ``keep`` are constant attributes of the key."""
+def at_anchors(members: DataFrame, totals: list[Column], key: str = KEY) -> DataFrame:
+    """Totals per (key, month end) for the months of the spine.
+
+    Totals should be numbers or dates: a text among them would turn the hash aggregation into a sorted one.
+    """
     return (
         members.groupBy(key, MONTH)
-        .agg(F.max("anchor").alias("anchor"), *[F.max(c).alias(c) for c in keep], *totals)
+        .agg(F.max("anchor").alias("anchor"), *totals)
         .where(F.col("anchor"))
         .drop("anchor")
     )
 
 
-def _in(width: int, column: str) -> Column:
-    return F.when(F.col("age").between(0, width - 1), F.col(column))
+def _in(width: int, column: str) -> str:
+    return f"CASE WHEN age BETWEEN 0 AND {width - 1} THEN {column} END"
 
 
-def _mean_of_window(total: str, count: str, width: int, by: Window) -> Column:
-    return ratio(F.sum(_in(width, total)).over(by), F.sum(_in(width, count)).over(by))
+def _total(column: str, condition: str) -> str:
+    return f"coalesce(sum({column}) FILTER (WHERE {condition}), 0L)"
 
 
-def _deviation(total: str, count: str, m2: str, mean: Column) -> Column:
-    """Squared deviations of one day from the window mean; only sums of non-negative terms, so it is stable."""
-    shift = ratio(F.col(total), F.col(count)) - mean
-    return F.when(F.col(count) > 0, F.col(m2) + F.col(count) * shift * shift)
+def _past(width: int) -> str:
+    return f"age BETWEEN 0 AND {width - 1}"
+
+
+_TXN_TOTALS = (
+    "n_txn", "n_txn_id", "n_status", "declined", "n_approved", "approved", "n_cents", "cents", "n_channel", "ach",
+    "n_fraud", "fraud", "n_chargeback", "chargeback",
+)
+_SLA_TOTALS = ("n_event", "n_breached", "breached")
 
 
 def transaction_windows(
     members: DataFrame,
     widths: tuple[int, ...],
-    keep: tuple[str, ...] = (),
     key: str = KEY,
     split_days: bool = False,
     busy_day: int = 3,
@@ -130,57 +132,45 @@ def transaction_windows(
     ``new_*`` columns are the totals of the days that the month end is the first one to see. ``split_days`` says that
     one calendar date may be spread over two rows, as under the instant clock; the decline share of a day is then
     taken over all its payments, known status or not. ``extra`` are further aggregates of the same groups.
+
+    Deviations are merged by ``sum of (m2 + n * (mean of day - mean of window)^2)``: sums of terms that are never
+    negative, so no digits cancel. That takes the window means first, all of them in one window operator.
     """
-    by = Window.partitionBy(key, MONTH)
-    day_status, day_declined, day_txns = F.col("n_status"), F.col("declined"), F.col("n_txn")
-    for width in widths:
-        members = members.withColumn(
-            f"dev_approved_{width}",
-            _deviation("approved", "n_approved", "m2_approved", _mean_of_window("approved", "n_approved", width, by)),
-        ).withColumn(
-            f"dev_cents_{width}",
-            _deviation("cents", "n_cents", "m2_cents", _mean_of_window("cents", "n_cents", width, by)),
-        )
+    by, one_date = f"OVER (PARTITION BY {key}, {MONTH})", f"OVER (PARTITION BY {key}, {MONTH}, date)"
+    means, per_day, totals = {}, {}, {}
+    for w in widths:
+        for money in ("approved", "cents"):
+            total, count = _in(w, money), _in(w, f"n_{money}")
+            means[f"mean_{money}_{w}"] = f"try_divide(double(sum({total}) {by}), double(sum({count}) {by}))"
+            shift = f"double({money}) / n_{money} - mean_{money}_{w}"
+            per_day[f"dev_{money}_{w}"] = f"CASE WHEN n_{money} > 0 THEN m2_{money} + n_{money} * power({shift}, 2) END"
+        txns, declined, known = "n_txn", "declined", "n_status"
         if split_days:
-            one_date = Window.partitionBy(key, MONTH, "date")
-            day_txns = F.sum(_in(width, "n_txn")).over(one_date)
-            day_declined = F.sum(_in(width, "declined")).over(one_date)
-            day_status = day_txns
-        members = members.withColumn(
-            f"spike_{width}", F.when(day_txns >= busy_day, ratio(day_declined, day_status))
-        )
-
-    totals = []
-    for width in widths:
-        for name in (
-            "n_txn", "n_txn_id", "n_status", "declined", "n_approved", "approved", "n_cents", "cents",
-            "n_channel", "ach", "n_fraud", "fraud", "n_chargeback", "chargeback",
-        ):
-            totals.append(_whole(F.sum(_in(width, name))).alias(f"{name}_{width}"))
-        for name in ("dev_approved", "dev_cents"):
-            totals.append(F.sum(_in(width, f"{name}_{width}")).alias(f"{name}_{width}"))
-        totals.append(F.max(_in(width, f"spike_{width}")).alias(f"spike_{width}"))
+            means[f"day_txns_{w}"] = f"sum({_in(w, 'n_txn')}) {one_date}"
+            means[f"day_declined_{w}"] = f"sum({_in(w, 'declined')}) {one_date}"
+            txns, declined, known = f"day_txns_{w}", f"day_declined_{w}", f"day_txns_{w}"
+        per_day[f"spike_{w}"] = f"CASE WHEN {txns} >= {busy_day} THEN try_divide(double({declined}), double({known})) END"
+
+        sla = _SLA_TOTALS if "n_sla" in members.columns else ()
+        totals |= {f"{name}_{w}": _total(name, _past(w)) for name in (*_TXN_TOTALS, *sla)}
+        totals |= {f"dev_{m}_{w}": f"sum(dev_{m}_{w}) FILTER (WHERE {_past(w)})" for m in ("approved", "cents")}
+        totals[f"spike_{w}"] = f"max(spike_{w}) FILTER (WHERE {_past(w)})"
         # the rollup has one row per active day, so counting rows counts days
-        totals.append(F.count(F.when(F.col("n_txn") > 0, _in(width, "n_txn"))).alias(f"days_{width}"))
-    for name in ("n_fraud", "fraud"):
-        totals.append(_whole(F.sum(F.when(F.col("is_new"), F.col(name)))).alias(f"new_{name}"))
-    if "n_sla" in members.columns:
-        for width in widths:
-            for name in ("n_event", "n_breached", "breached"):
-                totals.append(_whole(F.sum(_in(width, name))).alias(f"{name}_{width}"))
-    return at_anchors(members, [*totals, *extra], keep, key)
+        totals[f"days_{w}"] = f"count(*) FILTER (WHERE n_txn > 0 AND {_past(w)})"
+    totals |= {f"new_{name}": _total(name, "is_new") for name in ("n_fraud", "fraud")}
 
+    def columns(named: dict[str, str]) -> list[Column]:
+        return [F.expr(text).alias(name) for name, text in named.items()]
 
-def _whole(total: Column) -> Column:
-    return F.coalesce(total, F.lit(0)).cast("bigint")
+    days = members.select("*", *columns(means)).select("*", *columns(per_day))
+    return at_anchors(days, [*columns(totals), *extra], key)
 
 
 def future_totals(names: tuple[str, ...], width: int) -> list[Column]:
     """Sums of rollup columns over the ``width`` days after the month end, named ``next_*``."""
-    ahead = F.col("age").between(-width, -1)
-    return [_whole(F.sum(F.when(ahead, F.col(n)))).alias(f"next_{n}") for n in names]
+    return [F.expr(_total(n, f"age BETWEEN {-width} AND -1")).alias(f"next_{n}") for n in names]
 
 
 def past_totals(names: tuple[str, ...], width: int) -> list[Column]:
     """Sums of rollup columns over the ``width`` days up to the month end."""
-    return [_whole(F.sum(_in(width, n))).alias(n) for n in names]
+    return [F.expr(_total(n, _past(width))).alias(n) for n in names]

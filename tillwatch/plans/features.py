@@ -110,7 +110,7 @@ def _past(
 def txn_features_30d(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
     daily = daily_activity(txns, txn_days=spine.past(30))
     members = _past(daily, merchants, 30, spine, at_month=approved_p95(txns, spine))
-    return transaction_windows(members, (30,), keep=("p95",)).select(*ON, *_columns_30d())
+    return transaction_windows(members, (30,), extra=(F.max("p95").alias("p95"),)).select(*ON, *_columns_30d())
 
 
 def sla_features_60d(sla: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
@@ -197,13 +197,9 @@ def merchant_month_features(
     """
     if daily is None:
         daily = daily_activity(txns, sla, txn_days=spine.history(), sla_days=spine.past(60))
-    attributes = ("industry", "state")
-    members = _past(
-        daily, merchants, 90, spine, history=True, keep=attributes, at_month=approved_p95(txns, spine)
-    )
-    frame = transaction_windows(members, (30, 60, 90), keep=(*attributes, "p95")).select(
+    members = _past(daily, merchants, 90, spine, history=True, at_month=approved_p95(txns, spine))
+    frame = transaction_windows(members, (30, 60, 90), extra=(F.max("p95").alias("p95"),)).select(
         *ON,
-        *attributes,
         *_columns_30d(),
         *_columns_60d(),
         *_columns_sla(),
@@ -212,7 +208,7 @@ def merchant_month_features(
         "new_n_fraud",
     )
     frame = _with_history(mom_delta(frame, MOM_SQL, snap=snap))
-    return frame.withColumns(
+    return frame.join(merchants.select(KEY, "industry", "state"), KEY).withColumns(
         {
             "fraud_acceleration": F.col("fraud_rate_mom_change"),
             "chargeback_acceleration": F.col("chargeback_rate_mom_change"),

@@ -141,13 +141,13 @@ def training_frame(
     daily = _instant_rollup(txns, sla) if daily is None else daily
     ahead, back = 60, 90
     months = all_months(F.col("day"), back, ahead, spine)
-    members = month_members(daily, merchants, months, spine, keep=("industry",))
+    members = month_members(daily, merchants, months, spine)
     in_month = (F.last_day("date") == F.col(MONTH)) & _seen_by_calendar(as_written)
     totals = (*_month_totals(_CALENDAR_TXN + _CALENDAR_SLA, in_month), *future_totals(SUMS, ahead))
-    frame = transaction_windows(members, (60, back), keep=("industry",), split_days=True, extra=totals).select(
-        *ON, "industry", *_calendar_columns(), *_calendar_sla_columns(), *rate_columns(False), *_window_columns()
+    frame = transaction_windows(members, (60, back), split_days=True, extra=totals).select(
+        *ON, *_calendar_columns(), *_calendar_sla_columns(), *rate_columns(False), *_window_columns()
     )
-    frame = default_label(frame, rule).select(*ON, "industry", *CALENDAR_COLUMNS, *WINDOW_COLUMNS)
+    frame = default_label(frame, rule).select(*ON, *CALENDAR_COLUMNS, *WINDOW_COLUMNS)
     frame = fill_zero(frame, list(CALENDAR_COLUMNS))
     frame = frame.withColumns(
         {
@@ -167,7 +167,7 @@ def training_frame(
         }
     )
     return fill_zero(
-        frame,
+        frame.join(merchants.select(KEY, "industry"), KEY),
         [
             "cumulative_fraud_90d", "amount_volatility_90d", "rolling_max_decline_spike", "decline_rate_90d",
             "fraud_rate_60d", "chargeback_rate_60d", "fraud_acceleration", "chargeback_acceleration",
