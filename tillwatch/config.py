@@ -11,6 +11,10 @@ MONTH = "month_end"
 LABEL = "default_next_60d"
 
 
+# First and last day of a range, either may be open.
+Days = tuple[date | None, date | None]
+
+
 @dataclass(frozen=True)
 class Spine:
     """Reporting months, given by the first day of the first and of the last month."""
@@ -26,16 +30,17 @@ class Spine:
     def last_end(self) -> date:
         return self.last.replace(day=monthrange(self.last.year, self.last.month)[1])
 
-    def past(self, width: int) -> tuple[date, date]:
+    def past(self, width: int) -> Days:
         """First and last day that any backward window of ``width`` days can hold."""
         return self.first_end - timedelta(days=width - 1), self.last_end
 
-    def ahead(self, width: int) -> tuple[date, date]:
+    def ahead(self, width: int) -> Days:
         """First and last day that any forward window of ``width`` days can hold."""
         return self.first_end + timedelta(days=1), self.last_end + timedelta(days=width)
 
-    def history(self) -> tuple[None, date]:
-        return None, self.last_end
+    def history(self, ahead: int = 0) -> Days:
+        """Everything up to ``ahead`` days after the last month end."""
+        return None, self.last_end + timedelta(days=ahead)
 
 
 @dataclass(frozen=True)

@@ -6,15 +6,12 @@ is no more than one row per day, so everything built on the rollup is free of th
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.config import KEY
+from tillwatch.config import KEY, Days
 from tillwatch.functions.columns import is_value, or_zero, or_zero_double, ratio, to_cents, window_day, within_days
 
-Days = tuple[date | None, date | None]
 ALL_DAYS: Days = (None, None)
 
 

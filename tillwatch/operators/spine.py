@@ -14,10 +14,10 @@ def month_starts(first: Column, last: Column) -> Column:
     return F.when(first <= last, months).otherwise(F.array().cast("array<date>"))
 
 
-def month_spine(entities: DataFrame, spine: Spine = Spine(), key: str = KEY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every entity in every month, whether or not it was active; ``keep`` carries attributes along."""
+def month_spine(entities: DataFrame, spine: Spine = Spine(), key: str = KEY) -> DataFrame:
+    """Every entity in every month, whether or not it was active."""
     starts = month_starts(F.lit(spine.first), F.lit(spine.last))
-    return entities.select(key, *keep, F.explode(starts).alias("month_start")).withColumn(
+    return entities.select(key, F.explode(starts).alias("month_start")).withColumn(
         MONTH, F.last_day("month_start")
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.config import KEY, MONTH, Spine
+from tillwatch.config import KEY, MONTH, Days, Spine
 from tillwatch.operators.spine import month_starts
 
 
@@ -30,12 +30,13 @@ def past_months(day: Column, width: int, spine: Spine, history: bool = False) ->
 
 
 def all_months(day: Column, back: int, ahead: int, spine: Spine) -> Column:
-    """Months that see ``day`` in their past (``back`` days or history) or in their next ``ahead`` days."""
+    """Months that see ``day`` in their past (``back`` days or history) or in their next ``ahead`` days.
+
+    For days up to ``ahead`` days after the spine.
+    """
     first = F.greatest(_month_of(F.date_sub(day, ahead)), F.lit(spine.first))
     last = F.greatest(F.least(_month_of(F.date_add(day, back - 1)), F.lit(spine.last)), first)
-    return F.when(day <= F.date_add(F.lit(spine.last_end), ahead), month_starts(first, last)).otherwise(
-        F.array().cast("array<date>")
-    )
+    return month_starts(first, last)
 
 
 def future_months(day: Column, width: int, spine: Spine) -> Column:
@@ -61,6 +62,7 @@ def month_members(
     daily: DataFrame,
     entities: DataFrame,
     months: Column,
+    days: Days,
     spine: Spine,
     at_month: DataFrame | None = None,
     key: str = KEY,
@@ -71,11 +73,15 @@ def month_members(
     aggregation that follows needs no other one: it takes the place of outer joins from the spine. A key has at most
     one row per day here, so the largest merchant is no larger than the number of days.
 
-    ``months`` gives the month starts of a day row. ``at_month`` has key, month end and further columns. ``age`` is the
-    number of days from a day row to the month end, NULL on the other rows.
+    ``months`` gives the month starts of a day row, ``days`` the first and last day that can have any (pushed down to
+    the scan of a written rollup). ``at_month`` has key, month end and further columns. ``age`` is the number of days
+    from a day row to the month end, NULL on the other rows.
     """
     anchors = entities.select(key, F.lit(True).alias("anchor"))
-    rows = daily.where(F.size(months) > 0).unionByName(anchors, allowMissingColumns=True)
+    for bound, side in zip(days, (">=", "<=")):
+        if bound is not None:
+            daily = daily.where(f"day {side} date'{bound}'")
+    rows = daily.unionByName(anchors, allowMissingColumns=True)
     if at_month is not None:
         ready = at_month.withColumn("ready_month", F.trunc(MONTH, "MM")).drop(MONTH)
         rows = rows.unionByName(ready, allowMissingColumns=True)

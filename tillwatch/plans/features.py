@@ -104,7 +104,8 @@ def _past(
     daily: DataFrame, merchants: DataFrame, width: int, spine: Spine, history: bool = False, **options
 ) -> DataFrame:
     months = past_months(F.col("day"), width, spine, history)
-    return month_members(daily, merchants, months, spine, **options)
+    days = spine.history() if history else spine.past(width)
+    return month_members(daily, merchants, months, days, spine, **options)
 
 
 def txn_features_30d(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:

@@ -33,10 +33,10 @@ def forward_rates(
     by the number of service events in the window (if any). Rates are not affected. ``daily`` is a finished rollup of
     both event tables under the same clock, to be used instead of the events.
     """
+    days = spine.ahead(width)
     if daily is None:
-        days = spine.ahead(width)
         daily = daily_activity(txns, sla, txn_days=days, sla_days=days, clock=clock)
-    members = month_members(daily, merchants, future_months(F.col("day"), width, spine), spine)
+    members = month_members(daily, merchants, future_months(F.col("day"), width, spine), days, spine)
     return at_anchors(members, future_totals(SUMS, width)).select(*ON, *rate_columns(as_written))
 
 

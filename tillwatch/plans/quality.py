@@ -8,40 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, LABEL, MONTH, Spine
+from tillwatch.operators.orphans import not_in, orphans
 from tillwatch.operators.windows import past_members
 
 ON = [KEY, MONTH]
 
 
-def not_in(child: DataFrame, parent: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows of ``child`` for which SQL's ``key NOT IN (SELECT key FROM parent)`` is true.
+def orphan_transactions(txns: DataFrame, merchants: DataFrame) -> DataFrame:
+    return not_in(txns, merchants, KEY)
 
-    A NULL in the parent makes the test unknown for every row, a NULL key only for its own row, and against an empty
-    parent every row passes. Written as a plain anti join plus two counts, so that both sides may be large: the
-    built-in null-aware anti join would copy the parent to every executor.
-    """
-    facts = parent.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known"))
-    verdict = facts.select(
-        F.when(F.col("n") == 0, "all").when(F.col("n") > F.col("known"), "none").otherwise("anti").alias("v")
-    ).scalar()
-    return child.join(parent.select(key), key, "left_anti").where(
-        (verdict == "all") | ((verdict == "anti") & F.col(key).isNotNull())
-    )
 
+def _non_positive() -> Column:
+    return F.col("amount") <= 0
 
-def orphan_transactions(txns: DataFrame, merchants: DataFrame) -> DataFrame:
-    return not_in(txns, merchants)
+
+def _in_future(as_of: str | None) -> Column:
+    now = F.expr("to_utc_timestamp(current_timestamp(), current_timezone())") if as_of is None else F.lit(as_of)
+    return F.col("txn_ts") > now.cast("timestamp_ntz")
 
 
 def non_positive_amounts(txns: DataFrame) -> DataFrame:
     """Amounts of zero or less."""
-    return txns.where(F.col("amount") <= 0)
+    return txns.where(_non_positive())
 
 
 def future_timestamps(txns: DataFrame, as_of: str | None = None) -> DataFrame:
     """Payments dated after ``as_of`` (UTC), by default after now."""
-    now = F.expr("to_utc_timestamp(current_timestamp(), current_timezone())") if as_of is None else F.lit(as_of)
-    return txns.where(F.col("txn_ts") > now.cast("timestamp_ntz"))
+    return txns.where(_in_future(as_of))
 
 
 def repeated_keys(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,17 +96,18 @@ def data_exceptions(
     The last step counts equal rows, map-side first: an id on a third of all rows costs one row per task.
     """
 
+    one = F.lit(1).cast("bigint").alias("occurrences")
+    reference = F.col("txn_id").cast("string").alias("reference_id")
+
     def rows(kind, df):
-        return df.select(
-            F.lit(kind).alias("exception_type"),
-            F.col("txn_id").cast("string").alias("reference_id"),
-            F.lit(1).cast("bigint").alias("occurrences"),
-        )
+        return df.select(F.lit(kind).alias("exception_type"), reference, one)
 
+    # tests of single rows share one filtered scan
+    negative, future = _non_positive(), _in_future(as_of)
+    failed = F.array_compact(F.array(F.when(negative, "NEG_AMOUNT"), F.when(future, "FUTURE_TS")))
     parts = [
         rows("ORPHAN_TXN", orphan_transactions(txns, merchants)),
-        rows("NEG_AMOUNT", non_positive_amounts(txns)),
-        rows("FUTURE_TS", future_timestamps(txns, as_of)),
+        txns.where(negative | future).select(F.explode(failed).alias("exception_type"), reference, one),
         rows("DUP_TXN_ID", duplicate_ids(txns)),
         leakage_guard(features, txns).select(F.lit("LEAKAGE_GUARD").alias("exception_type"), "reference_id", "occurrences"),
     ]
@@ -173,12 +167,8 @@ def check_primary_keys(tables: dict[str, DataFrame], keys: dict[str, list[str]])
 
 def check_foreign_keys(tables: dict[str, DataFrame], parent: DataFrame, ids: dict[str, list[str]]) -> DataFrame:
     """``(table_name, reference_id)`` for every row whose merchant does not exist; a NULL merchant is no violation."""
-    known = parent.select(KEY)
     found = [
-        tables[name]
-        .where(F.col(KEY).isNotNull())
-        .select(KEY, *[c for c in columns if c != KEY])
-        .join(known, KEY, "left_anti")
+        orphans(tables[name].select(KEY, *[c for c in columns if c != KEY]), parent, KEY)
         .select(F.lit(name).alias("table_name"), reference_id(columns).alias("reference_id"))
         for name, columns in ids.items()
         if name in tables
