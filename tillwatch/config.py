@@ -9,6 +9,8 @@ from datetime import date, timedelta
 KEY = "merchant_id"
 MONTH = "month_end"
 LABEL = "default_next_60d"
+# Partition column of the stored payments: first day of the month of the timestamp.
+MONTH_PARTITION = "txn_month"
 
 
 # First and last day of a range, either may be open.

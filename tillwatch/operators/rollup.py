@@ -6,10 +6,12 @@ is no more than one row per day, so everything built on the rollup is free of th
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.config import KEY, Days
+from tillwatch.config import KEY, MONTH_PARTITION, Days
 from tillwatch.functions.columns import is_value, or_zero, or_zero_double, ratio, to_cents, window_day, within_days
 
 ALL_DAYS: Days = (None, None)
@@ -21,9 +23,25 @@ def _day_columns(ts: Column, clock: str) -> list[Column]:
     return [day] if clock == "date" else [day, F.to_date(ts).alias("date")]
 
 
+def events_between(events: DataFrame, ts: str, days: Days, key: str = KEY, clock: str = "date") -> DataFrame:
+    """Events with a key whose window day is in ``days`` (or just outside).
+
+    Literal bounds on the timestamp reach the scan. A table partitioned by month, as ``save_transactions`` writes it,
+    is also pruned to the months of the range.
+    """
+    kept = events.where(F.col(key).isNotNull() & within_days(F.col(ts), *days, clock))
+    if MONTH_PARTITION in events.columns:
+        first, last = days
+        if first is not None:
+            kept = kept.where(f"{MONTH_PARTITION} >= date'{(first - timedelta(days=1)).replace(day=1)}'")
+        if last is not None:
+            kept = kept.where(f"{MONTH_PARTITION} <= date'{last.replace(day=1)}'")
+    return kept
+
+
 def _transaction_measures(txns: DataFrame, key: str, days: Days, clock: str) -> DataFrame:
     ts, cents = F.col("txn_ts"), to_cents(F.col("amount"))
-    return txns.where(F.col(key).isNotNull() & within_days(ts, *days, clock)).select(
+    return events_between(txns, "txn_ts", days, key, clock).select(
         F.col(key),
         *_day_columns(ts, clock),
         F.lit(1).alias("txn"),
@@ -41,7 +59,7 @@ def _transaction_measures(txns: DataFrame, key: str, days: Days, clock: str) ->
 
 def _sla_measures(events: DataFrame, key: str, days: Days, clock: str) -> DataFrame:
     ts = F.col("event_ts")
-    return events.where(F.col(key).isNotNull() & within_days(ts, *days, clock)).select(
+    return events_between(events, "event_ts", days, key, clock).select(
         F.col(key),
         *_day_columns(ts, clock),
         F.lit(1).alias("sla"),

@@ -16,11 +16,10 @@ from tillwatch.functions.columns import (
     sample_stddev,
     to_cents,
     window_day,
-    within_days,
 )
 from tillwatch.operators.deltas import mom_delta
 from tillwatch.operators.quantile import grouped_percentile
-from tillwatch.operators.rollup import daily_activity
+from tillwatch.operators.rollup import daily_activity, events_between
 from tillwatch.operators.windows import (
     at_anchors,
     month_members,
@@ -47,9 +46,9 @@ def _count(column: str) -> Column:
 
 def approved_p95(txns: DataFrame, spine: Spine, width: int = 30, fraction: float = 0.95) -> DataFrame:
     """Exact 95th percentile of approved amounts (in cents) per merchant and month end."""
-    approved = txns.where(
-        F.col(KEY).isNotNull() & (F.col("status") == "APPROVED") & within_days(F.col("txn_ts"), *spine.past(width))
-    ).select(KEY, window_day(F.col("txn_ts"), "date").alias("day"), to_cents(F.col("amount")).alias("cents"))
+    approved = events_between(txns, "txn_ts", spine.past(width)).where(F.col("status") == "APPROVED").select(
+        KEY, window_day(F.col("txn_ts"), "date").alias("day"), to_cents(F.col("amount")).alias("cents")
+    )
     return grouped_percentile(past_members(approved, width, spine), ON, "cents", fraction, "p95")
 
 

@@ -31,13 +31,12 @@ def cuts_reached(score: Column, steps: int = SWEEP_STEPS) -> Column:
     known = skip_nan(score.cast("double"))
     bounded = F.greatest(F.least(known, F.lit(1.0)), F.lit(0.0))
     guess = F.floor(bounded * (steps - 1)).cast("int")
-    reached = (
-        F.when(known < 0, 0)
+    return (
+        F.when(known.isNull() | (known < 0), 0)
         .when(cut_value(guess, steps) > known, guess)
         .when((guess < steps - 1) & (cut_value(guess + 1, steps) <= known), guess + 2)
         .otherwise(guess + 1)
     )
-    return F.coalesce(reached, F.lit(0))
 
 
 def threshold_sweep(

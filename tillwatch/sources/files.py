@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwatch.config import MONTH_PARTITION
 from tillwatch.sources import schemas
 
 
@@ -20,7 +21,8 @@ def _load(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> Dat
             .csv(path)
         )
     found = spark.read.format(fmt).load(path)
-    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    partition = [MONTH_PARTITION] if MONTH_PARTITION in found.columns else []
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *partition)
 
 
 def load_merchants(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -42,14 +44,14 @@ def load_outcomes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 def save_transactions(txns: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Columnar copy of the payments, partitioned by month of the timestamp and sorted inside the files by it.
 
-    Window bounds then skip whole months and row groups. The rebalance hint splits a heavy month into even files.
+    Window bounds then skip whole months and row groups; the reader keeps the partition column for that. The rebalance hint splits a heavy month into even files.
     """
     (
-        txns.withColumn("txn_month", F.trunc("txn_ts", "MM"))
-        .hint("rebalance", "txn_month")
-        .sortWithinPartitions("txn_month", "txn_ts")
+        txns.withColumn(MONTH_PARTITION, F.trunc("txn_ts", "MM"))
+        .hint("rebalance", MONTH_PARTITION)
+        .sortWithinPartitions(MONTH_PARTITION, "txn_ts")
         .write.mode(mode)
-        .partitionBy("txn_month")
+        .partitionBy(MONTH_PARTITION)
         .parquet(path)
     )
 
