@@ -64,17 +64,21 @@ class Tables:
     def spine(self) -> DataFrame:
         return month_spine(self.merchants, fx.SPINE)
 
-    def features(self) -> DataFrame:
-        return features.merchant_month_features(self.txns, self.sla, self.merchants, fx.SPINE)
+    def daily(self) -> DataFrame:
+        """The day rollup that features and labels share."""
+        return self._once("daily", lambda: hand_off(daily_activity(self.txns, self.sla), "daily"))
 
-    def rates(self) -> DataFrame:
-        return labels.forward_rates(self.txns, self.sla, self.merchants, fx.SPINE)
+    def features(self, daily: DataFrame | None = None) -> DataFrame:
+        return features.merchant_month_features(self.txns, self.sla, self.merchants, fx.SPINE, daily=daily)
+
+    def rates(self, daily: DataFrame | None = None) -> DataFrame:
+        return labels.forward_rates(self.txns, self.sla, self.merchants, fx.SPINE, daily=daily)
 
     def rates_corrected(self) -> DataFrame:
         return labels.forward_rates(self.txns, self.sla, self.merchants, fx.SPINE, as_written=False, clock="ts")
 
     def outcomes(self) -> DataFrame:
-        return labels.outcomes_monthly(labels.default_label(self.rates(), fx.LABEL_RULE))
+        return labels.outcomes_monthly(labels.default_label(self.rates(self.daily()), fx.LABEL_RULE))
 
     def training_lazy(self, as_written: bool = False) -> DataFrame:
         return training_set.training_frame(
@@ -145,7 +149,7 @@ class Tables:
 
     def _counts(self) -> DataFrame:
         """The keys and counts of the feature table; the other columns are pruned."""
-        return self.features().select(*ON, "txn_count_30d")
+        return self.features(self.daily()).select(*ON, "txn_count_30d")
 
 
 def _through_csv(df: DataFrame, schema: T.StructType, load: Callable) -> DataFrame:
@@ -225,11 +229,11 @@ def _catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "default_label_corrected": lambda t: lb.default_label(t.rates_corrected(), fx.LABEL_RULE),
         "label_condition_rates": lambda t: lb.label_condition_rates(t.rates_corrected()),
         "threshold_grid": lambda t: lb.threshold_grid(t.rates_corrected(), fx.GRID_CHARGEBACK, fx.GRID_FRAUD),
-        "outcomes_monthly": lambda t: t.outcomes(),
+        "outcomes_monthly": lambda t: lb.outcomes_monthly(lb.default_label(t.rates(), fx.LABEL_RULE)),
         # dataset, reports, split
-        "model_dataset": lambda t: marts.model_dataset(t.features(), t.outcomes()),
-        "mart_portfolio_overview": lambda t: marts.portfolio_overview(t.spine(), t.features(), t.outcomes()),
-        "mart_risk_queue": lambda t: marts.risk_queue_mart(t.spine(), t.features(), t.outcomes()),
+        "model_dataset": lambda t: marts.model_dataset(t.features(t.daily()), t.outcomes()),
+        "mart_portfolio_overview": lambda t: marts.portfolio_overview(t.spine(), t.features(t.daily()), t.outcomes()),
+        "mart_risk_queue": lambda t: marts.risk_queue_mart(t.spine(), t.features(t.daily()), t.outcomes()),
         "python_master": lambda t: t.training_lazy(),
         "python_master_as_written": lambda t: t.training_lazy(True),
         "oot_split": lambda t: t.split().select(*ON, "split", "month", LABEL),

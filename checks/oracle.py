@@ -548,7 +548,7 @@ def build() -> dict[str, str]:
         "investigation_queue": pick("portfolio WHERE alert_flag = 1", **PORTFOLIO),
         "queue_top5": pick(
             """(SELECT * FROM portfolio WHERE alert_flag = 1 ORDER BY final_risk_score DESC, merchant_id, month_end LIMIT 5)""",
-            f"{ON} rule_reason", small="default_next_60d", real="final_risk_score"),
+            "merchant_id rule_reason", small="default_next_60d", real="final_risk_score"),
         "final_scored_portfolio": pick(
             "portfolio", keys=f"{TRAINING['keys']} rule_reason", whole=TRAINING["whole"],
             small="default_next_60d alert_flag month",

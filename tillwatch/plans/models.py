@@ -79,7 +79,7 @@ def train_champion(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=200,
-        tol=1e-9,
+        tol=1e-7,
     )
     return model.fit(_assembled(weighted, columns).select("features", label, "weight"))
 

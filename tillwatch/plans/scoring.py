@@ -116,9 +116,7 @@ def investigation_queue(portfolio: DataFrame) -> DataFrame:
 
 def queue_top(portfolio: DataFrame, n: int = 5) -> DataFrame:
     """First rows of the queue with the columns an analyst reads."""
-    return (
-        investigation_queue(portfolio).select(KEY, MONTH, "final_risk_score", "rule_reason", LABEL).limit(n)
-    )
+    return investigation_queue(portfolio).limit(n).select(KEY, "final_risk_score", "rule_reason", LABEL)
 
 
 def cost_report(portfolio: DataFrame, costs: SweepCosts = SweepCosts()) -> DataFrame:
