@@ -52,7 +52,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.raw = StandIn(spark, folder)
+        self.raw = self._once("raw", lambda: StandIn(spark, folder))
         self.merchants, self.txns, self.sla = self.raw.merchants, self.raw.transactions, self.raw.sla_events
 
     def _once(self, name: str, make: Callable[[], object]):

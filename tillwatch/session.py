@@ -21,6 +21,8 @@ def build_session(app: str = "tillwatch", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # merchant-month frames share hash(merchant_id); let joins on (merchant_id, month_end) use it
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # no call-site lookup per column expression: wide plans build in half the time
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in conf.items():
         builder = builder.config(name, value)
