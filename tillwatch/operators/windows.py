@@ -155,7 +155,8 @@ def transaction_windows(
             means[f"day_txns_{w}"] = f"sum({_in(w, 'n_txn')}) {one_date}"
             means[f"day_declined_{w}"] = f"sum({_in(w, 'declined')}) {one_date}"
             txns, declined, known = f"day_txns_{w}", f"day_declined_{w}", f"day_txns_{w}"
-        per_day[f"spike_{w}"] = f"CASE WHEN {txns} >= {busy_day} THEN try_divide(double({declined}), double({known})) END"
+        share = f"try_divide(double({declined}), double({known}))"
+        per_day[f"spike_{w}"] = f"CASE WHEN {txns} >= {busy_day} THEN {share} END"
 
         sla = _SLA_TOTALS if "n_sla" in members.columns else ()
         totals |= {f"{name}_{w}": _total(name, _past(w)) for name in (*_TXN_TOTALS, *sla)}

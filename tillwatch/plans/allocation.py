@@ -31,4 +31,5 @@ def proportional_allocation(
     weight = (_lookup(TIER_RATE, "risk_tier_true") * _lookup(INDUSTRY_TENTHS, "industry") * days).cast("bigint")
     weighted = merchants.withColumn("weight", weight)
     scale = F.lit(float(target)) / (weighted.agg(F.sum("weight")).scalar() / F.lit(10.0))
-    return weighted.withColumn("txn_count", F.floor(F.col("weight") / F.lit(10.0) * scale).cast("bigint")).drop("weight")
+    count = F.floor(F.col("weight") / F.lit(10.0) * scale).cast("bigint")
+    return weighted.withColumn("txn_count", count).drop("weight")

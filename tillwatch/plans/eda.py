@@ -41,14 +41,13 @@ def histograms(df: DataFrame, columns: tuple[str, ...] = REPORT_FEATURES, bins:
 
     A constant feature gets the range value -0.5 to value +0.5. Empty bins have no row.
     """
-    ranges = df.agg(
-        F.map_from_arrays(
-            F.array(*[F.lit(c) for c in columns]),
-            F.array(
-                *[F.struct(F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")) for c in columns]
-            ),
-        ).alias("ranges")
-    ).scalar()
+
+    def extent(column):
+        value = F.col(column).cast("double")
+        return F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+    names, extents = F.array(*[F.lit(c) for c in columns]), F.array(*[extent(c) for c in columns])
+    ranges = df.agg(F.map_from_arrays(names, extents).alias("ranges")).scalar()
     span = ranges[F.col("feature")]
     constant = span["lo"] == span["hi"]
     lo = F.when(constant, span["lo"] - 0.5).otherwise(span["lo"])

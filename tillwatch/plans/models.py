@@ -34,7 +34,8 @@ def standardize(train: DataFrame, frame: DataFrame, columns: tuple[str, ...] = M
 
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     """``(label, n, balanced_weight, pos_weight)``; a class that is missing has no row, its weight no value."""
-    total = train.agg(F.struct(F.count(label).alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives"))).scalar()
+    positives = F.sum(F.col(label).cast("bigint")).alias("positives")
+    total = train.agg(F.struct(F.count(label).alias("n"), positives)).scalar()
     pos_weight = F.try_divide((total["n"] - total["positives"]).cast("double"), total["positives"].cast("double"))
     return (
         train.where(F.col(label).isNotNull())

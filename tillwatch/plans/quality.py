@@ -60,7 +60,9 @@ def leakage_guard(features: DataFrame, txns: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("listed", F.lit(0))
     )
-    rows = features.where(F.col("txn_count_30d") > 0).select(*ON, F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("listed"))
+    rows = features.where(F.col("txn_count_30d") > 0).select(
+        *ON, F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("listed")
+    )
     later = Window.partitionBy(KEY).orderBy(F.col(MONTH).desc()).rowsBetween(Window.unboundedPreceding, -1)
     return (
         paid.unionByName(rows)
@@ -72,14 +74,15 @@ def leakage_guard(features: DataFrame, txns: DataFrame) -> DataFrame:
     )
 
 
-def leakage_check(txns: DataFrame, sla: DataFrame, spine: Spine = Spine(), txn_width: int = 90, sla_width: int = 60) -> DataFrame:
+def leakage_check(
+    txns: DataFrame, sla: DataFrame, spine: Spine = Spine(), txn_width: int = 90, sla_width: int = 60
+) -> DataFrame:
     """Window members dated after their month end, over payments and service events; right windows have none."""
 
     def late(events, ts, width, source):
         members = past_members(events.select(KEY, F.to_date(ts).alias("day")), width, spine)
-        return members.where(F.col("day") > F.col(MONTH)).groupBy(*ON).agg(F.count(F.lit(1)).alias("late_rows")).select(
-            F.lit(source).alias("source"), *ON, "late_rows"
-        )
+        late_rows = members.where(F.col("day") > F.col(MONTH)).groupBy(*ON).agg(F.count(F.lit(1)).alias("late_rows"))
+        return late_rows.select(F.lit(source).alias("source"), *ON, "late_rows")
 
     return late(txns, "txn_ts", txn_width, "transactions").unionByName(late(sla, "event_ts", sla_width, "sla_events"))
 
@@ -109,7 +112,7 @@ def data_exceptions(
         rows("ORPHAN_TXN", orphan_transactions(txns, merchants)),
         txns.where(negative | future).select(F.explode(failed).alias("exception_type"), reference, one),
         rows("DUP_TXN_ID", duplicate_ids(txns)),
-        leakage_guard(features, txns).select(F.lit("LEAKAGE_GUARD").alias("exception_type"), "reference_id", "occurrences"),
+        leakage_guard(features, txns).withColumn("exception_type", F.lit("LEAKAGE_GUARD")),
     ]
     return (
         reduce(DataFrame.unionByName, parts)

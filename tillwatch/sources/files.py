@@ -44,7 +44,8 @@ def load_outcomes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 def save_transactions(txns: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Columnar copy of the payments, partitioned by month of the timestamp and sorted inside the files by it.
 
-    Window bounds then skip whole months and row groups; the reader keeps the partition column for that. The rebalance hint splits a heavy month into even files.
+    Window bounds then skip whole months and row groups; the reader keeps the partition column for that. The
+    rebalance hint splits a heavy month into even files.
     """
     (
         txns.withColumn(MONTH_PARTITION, F.trunc("txn_ts", "MM"))
