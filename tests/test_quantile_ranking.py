@@ -96,6 +96,15 @@ def test_precision_at_share_with_ties(spark, share):
         assert found.precision_at_k is None
 
 
+def test_precision_needs_scores(spark):
+    frame = spark.createDataFrame(
+        [("a", "x", None, 1), ("b", "x", 0.1, 0)], "merchant_id string, month_end string, score double, default_next_60d int"
+    )
+    assert tuple(metrics.precision_at(frame, "score", 0.5).first()) == (1, 0.0)
+    with pytest.raises(ValueError):
+        metrics.precision_at(frame, "score", 1.0)
+
+
 def test_one_class_only(spark):
     frame = spark.createDataFrame([(0.9, 0), (0.1, 0)], "score double, default_next_60d int")
     assert metrics.areas(frame, "score").first().asDict() == {"pr_auc": None, "roc_auc": None}

@@ -26,10 +26,10 @@ def running_totals(
         .agg(F.sort_array(F.collect_list(order)).alias("cuts"))
         .scalar()
     )
-    # place of the value among the sorted cuts
-    bucketed = distinct.withColumn(
-        "bucket", F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
-    )
+    # place of the value among the sorted cuts; the constant makes it a column without NULLs, so that the join below
+    # adds no filter on it that would move under the aggregation and run once per row
+    place = F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order))
+    bucketed = distinct.withColumn("bucket", F.coalesce(place, F.lit(0).cast("bigint")))
 
     def direction(column):
         return F.col(column).desc() if descending else F.col(column).asc()

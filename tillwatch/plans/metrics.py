@@ -77,40 +77,37 @@ def precision_at(
 
     Equal scores rank by key, then month. ``k`` grows with the data, so the top is never sorted out or collected: the
     score at the cut is found from running totals; of the rows with just that score, the key at the cut likewise; only
-    the months of that one key are ranked row by row.
+    the months of that one key are ranked row by row. Each step runs when it is called and hands one row of numbers to
+    the next, where they are literals that the scan can filter by.
     """
     labelled = scored.select(score, key, month, F.col(label).cast("bigint").alias("hit"))
-    k = scored.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).cast("bigint").alias("k")).scalar()
+    k = int(scored.count() * share)
+    if k == 0:
+        return scored.sparkSession.createDataFrame([(0, None)], "k bigint, precision_at_k double")
     totals = {"positives": F.sum("hit"), "rows": F.count(F.lit(1))}
 
-    def cut_at(running: DataFrame, column: str, wanted: Column) -> Column:
+    def cut_at(running: DataFrame, column: str, wanted: int):
         """The first value at which ``wanted`` rows are reached, with what lies strictly before it."""
-        return running.where(F.col("cum_rows") >= wanted).agg(
-            F.min_by(
-                F.struct(
-                    F.col(column).alias("value"),
-                    (F.col("cum_positives") - F.col("positives")).alias("positives"),
-                    (F.col("cum_rows") - F.col("rows")).alias("rows"),
-                ),
-                "cum_rows",
-            ).alias("cut")
-        ).scalar()
+        before = (F.col("cum_positives") - F.col("positives")).alias("positives")
+        rows_before = (F.col("cum_rows") - F.col("rows")).alias("rows")
+        entry = F.struct(F.col(column).alias("value"), before, rows_before)
+        found = running.where(F.col("cum_rows") >= wanted).agg(F.min_by(entry, "cum_rows").alias("cut")).first()
+        if found.cut is None:
+            raise ValueError(f"fewer than {wanted} rows have a value in {column}")
+        return found.cut
 
     by_score = cut_at(running_totals(labelled, score, totals), score, k)
-    tied = labelled.where(F.col(score) == by_score["value"])
-    left = k - by_score["rows"]
+    tied = labelled.where(F.col(score) == F.lit(by_score.value))
+    left = k - by_score.rows
     by_key = cut_at(running_totals(tied, key, totals, descending=False), key, left)
-    rest = left - by_key["rows"]
     last_key = (
-        tied.where(F.col(key) == by_key["value"])
+        tied.where(F.col(key) == F.lit(by_key.value))
         .withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(month)))
-        .where(F.col("place") <= rest)
+        .where(F.col("place") <= left - by_key.rows)
         .agg(F.sum("hit").alias("hits"))
     )
-    hits = by_score["positives"] + by_key["positives"] + F.coalesce(F.col("hits"), F.lit(0))
-    return last_key.select(
-        k.alias("k"), F.when(k > 0, hits.cast("double") / k.cast("double")).alias("precision_at_k")
-    )
+    hits = F.coalesce(F.col("hits"), F.lit(0)) + by_score.positives + by_key.positives
+    return last_key.select(F.lit(k).cast("bigint").alias("k"), (hits.cast("double") / k).alias("precision_at_k"))
 
 
 def model_comparison(scored: DataFrame, scores: dict[str, str], share: float = 0.05, label: str = LABEL) -> DataFrame:
