@@ -29,6 +29,13 @@ ON = ["merchant_id", "month_end"]
 SCORES = {"champion": "champ_score", "challenger": "challenger_score"}
 Query = Callable[[SparkSession, str], DataFrame]
 
+try:
+    from tillwatch.llm import queries as corpus
+except ModuleNotFoundError as missing:  # the package for document tables may be left out as a whole
+    if missing.name not in ("tillwatch.llm", "tillwatch.llm.queries"):
+        raise
+    corpus = None
+
 
 def six_decimals(df: DataFrame) -> DataFrame:
     """Decimals as doubles and doubles at six decimals (without negative zero), for comparison with other engines."""
@@ -297,12 +304,12 @@ def queries() -> dict[str, Query]:
     def bind(make: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, folder: six_decimals(make(Tables(spark, folder)))
 
-    return {name: bind(make) for name, make in _catalog().items()}
+    return {name: bind(make) for name, make in _catalog().items()} | (corpus.QUERIES if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL over the raw tables for every query that SQL can express; model fits have none."""
-    return oracle.build()
+    return oracle.build() | (corpus.SQL if corpus else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
