@@ -48,16 +48,16 @@ class ByteBpe:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _pretoken(self, text: str) -> list[int]:
+    def _pretoken(self, text: str) -> tuple[int, ...]:
         if (found := self.pretokens.get(text)) is None:
             shown = text.encode().decode("latin1").translate(self.as_shown)
-            found = [t.id for t in self.model.tokenize(shown)]
-            if len(self.pretokens) > 1_000_000:
+            found = tuple(t.id for t in self.model.tokenize(shown))
+            if len(self.pretokens) > 300_000:
                 self.pretokens.clear()
             self.pretokens[text] = found
         return found
 
-    def _units(self, words: list[str]) -> list[list[int]]:
+    def _units(self, words: list[str]) -> list:
         out, rest = [], []
         for w in words:
             if m := PLAIN.fullmatch(w):
@@ -68,7 +68,7 @@ class ByteBpe:
                 out.append(ids + self._pretoken(mark) if mark else ids)
             else:
                 rest.append((len(out), w))
-                out.append([])
+                out.append(())
         units = ["\n" + w[1:] if w[:1] == "\n" else w[1:] if w[:1] == "\x01" else " " + w for _, w in rest]
         for (at, w), got in zip(rest, self.library.encode_batch_fast(units, add_special_tokens=False)):
             out[at] = got.ids

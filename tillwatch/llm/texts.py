@@ -69,7 +69,7 @@ class Runs:
     table starts anew, so memory stays bounded whatever the vocabulary; results don't depend on it.
     """
 
-    def __init__(self, make: Callable[[list[str]], list], dtype=np.uint32, most: int = 1_500_000):
+    def __init__(self, make: Callable[[list[str]], list], dtype=np.uint32, most: int = 600_000):
         self.make, self.dtype, self.most = make, dtype, most
         self._reset()
 
