@@ -7,22 +7,37 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwatch.llm import wavelet
+from tillwatch.llm import resync, suffix_pieces, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_suffix_array_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """SentencePiece ids of each document as a digest, and whether they decode to its text."""
+    encoded = suffix_pieces.encode(_table(spark, folder, "documents"), PIECE_BPE)
+    return suffix_pieces.digests(suffix_pieces.decode(encoded, PIECE_BPE))
+
+
 def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as read back from wavelet-matrix shard files."""
     return wavelet.token_shards(spark, _table(spark, folder, "documents"), BYTE_BPE, end_id=2)
 
 
+def op9_overlap_resync_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of each document, huge ones by spliced chunks."""
+    return resync.token_counts(_table(spark, folder, "documents"), WORD_BPE, limit=2048)
+
+
 QUERIES: dict[str, Query] = {
+    "op3_suffix_array_pieces": op3_suffix_array_pieces,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op9_overlap_resync_counts": op9_overlap_resync_counts,
 }
 SQL: dict[str, str] = {}
