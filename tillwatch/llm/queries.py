@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwatch.llm import resync, suffix_pieces, wavelet
+from tillwatch.llm import fuse_dedup, ngram_rules, resync, suffix_pieces, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +26,17 @@ def op3_suffix_array_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_pieces.digests(suffix_pieces.decode(encoded, PIECE_BPE))
 
 
+def op4_fuse_filter_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact groups of documents that arrive in three batches, the first two of them snapshots."""
+    batch = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0))
+    return fuse_dedup.exact_dedup(_table(spark, folder, "documents"), batch).drop("batch")
+
+
+def op6_ngram_ratio_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the hashed n-gram verdict for each document."""
+    return ngram_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as read back from wavelet-matrix shard files."""
     return wavelet.token_shards(spark, _table(spark, folder, "documents"), BYTE_BPE, end_id=2)
@@ -37,7 +49,25 @@ def op9_overlap_resync_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_suffix_array_pieces": op3_suffix_array_pieces,
+    "op4_fuse_filter_dedup": op4_fuse_filter_dedup,
+    "op6_ngram_ratio_rules": op6_ngram_ratio_rules,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_overlap_resync_counts": op9_overlap_resync_counts,
 }
-SQL: dict[str, str] = {}
+
+EXACT_SQL = """
+WITH d AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256,
+        length(coalesce(text, '')) AS size
+    FROM documents
+)
+SELECT doc_id, text_sha256,
+    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY size DESC, doc_id NULLS LAST) AS keep_id,
+    count(*) OVER (PARTITION BY text_sha256) AS group_size,
+    doc_id IS NOT DISTINCT FROM keep_id AS kept
+FROM d
+"""
+
+SQL: dict[str, str] = {
+    "op4_fuse_filter_dedup": EXACT_SQL,
+}

@@ -132,3 +132,24 @@ def shared_root(spark: SparkSession, name: str) -> str:
     from tillwatch.session import shared_folder
 
     return f"{shared_folder(spark)}/tillwatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def words_of(texts: pa.StringArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words (runs without white space) of all texts: their numbers in the dictionary, it, and where each text begins.
+
+    The last array has one entry more than texts.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # space at an end gives an empty word
+    cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if not full.all():
+        cut = np.concatenate([[0], np.cumsum(full)])[cut]
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, cut.astype(np.int64)
+
+
+def sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between neighbouring cuts; exact for integers and booleans."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[cut])
