@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import fuse_dedup, ngram_rules, resync, suffix_pieces, wavelet
+from tillwatch.llm import fuse_dedup, lsh_forest, ngram_rules, quality_pu, resync, suffix_pieces, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_positive_unlabelled_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents, learnt from positive labels outside the held-out third."""
+    return quality_pu.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_suffix_array_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of each document as a digest, and whether they decode to its text."""
     encoded = suffix_pieces.encode(_table(spark, folder, "documents"), PIECE_BPE)
@@ -47,12 +52,19 @@ def op9_overlap_resync_counts(spark: SparkSession, folder: str) -> DataFrame:
     return resync.token_counts(_table(spark, folder, "documents"), WORD_BPE, limit=2048)
 
 
+def op10_lsh_forest_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of five-word shingles are 85 % alike."""
+    return lsh_forest.near_groups(_table(spark, folder, "documents"), percent=85)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_positive_unlabelled_quality": op1_positive_unlabelled_quality,
     "op3_suffix_array_pieces": op3_suffix_array_pieces,
     "op4_fuse_filter_dedup": op4_fuse_filter_dedup,
     "op6_ngram_ratio_rules": op6_ngram_ratio_rules,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_overlap_resync_counts": op9_overlap_resync_counts,
+    "op10_lsh_forest_groups": op10_lsh_forest_groups,
 }
 
 EXACT_SQL = """
