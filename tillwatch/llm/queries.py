@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import fuse_dedup, lsh_forest, ngram_rules, quality_pu, resync, suffix_pieces, wavelet
+from tillwatch.llm import (
+    fuse_dedup, lang_fusion, lsh_forest, ngram_rules, quality_pu, raking, resync, suffix_pieces, warc_merkle, wavelet,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
+#: wanted shares of tokens
+MIX = {
+    "source": {f"src{i}": 0.05 for i in range(20)},
+    "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1},
+    "topic": {"prose": 0.6, "tabular": 0.1, "licensed": 0.1, "contact": 0.2},
+}
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -25,6 +34,18 @@ def op1_positive_unlabelled_quality(spark: SparkSession, folder: str) -> DataFra
     return quality_pu.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_merkle_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Records in which a replica of the pages' WARC shards differs from the first one.
+
+    The replica is derived from the same pages by a rule that stands for bit rot: pages whose id leaves 13 by 97 have
+    each "e" of their html read as "c". A shard holds 512 page ids.
+    """
+    pages = _table(spark, folder, "pages")
+    shard = F.coalesce(F.expr("page_id div 512"), F.lit(-1))
+    rotten = F.when(F.pmod("page_id", F.lit(97)) == 13, F.translate("html", "e", "c")).otherwise(F.col("html"))
+    return warc_merkle.audit(warc_merkle.manifest(pages, shard), warc_merkle.manifest(pages, shard, rotten))
+
+
 def op3_suffix_array_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of each document as a digest, and whether they decode to its text."""
     encoded = suffix_pieces.encode(_table(spark, folder, "documents"), PIECE_BPE)
@@ -37,11 +58,21 @@ def op4_fuse_filter_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_dedup.exact_dedup(_table(spark, folder, "documents"), batch).drop("batch")
 
 
+def op5_evidence_fusion_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each page by text, markup, address suffix and host."""
+    return lang_fusion.page_languages(_table(spark, folder, "pages"), _table(spark, folder, "documents"))
+
+
 def op6_ngram_ratio_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rules and the hashed n-gram verdict for each document."""
     return ngram_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents sampled to source, language and topic marginals; half of all tokens are expected to stay."""
+    return raking.mixed(_table(spark, folder, "documents"), MIX, keep=0.5)
+
+
 def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as read back from wavelet-matrix shard files."""
     return wavelet.token_shards(spark, _table(spark, folder, "documents"), BYTE_BPE, end_id=2)
@@ -59,9 +90,12 @@ def op10_lsh_forest_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_positive_unlabelled_quality": op1_positive_unlabelled_quality,
+    "op2_merkle_fixity_audit": op2_merkle_fixity_audit,
     "op3_suffix_array_pieces": op3_suffix_array_pieces,
     "op4_fuse_filter_dedup": op4_fuse_filter_dedup,
+    "op5_evidence_fusion_languages": op5_evidence_fusion_languages,
     "op6_ngram_ratio_rules": op6_ngram_ratio_rules,
+    "op7_raked_mixture": op7_raked_mixture,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_overlap_resync_counts": op9_overlap_resync_counts,
     "op10_lsh_forest_groups": op10_lsh_forest_groups,
@@ -80,6 +114,33 @@ SELECT doc_id, text_sha256,
 FROM d
 """
 
+AUDIT_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, url AS raw_url,
+        coalesce(page_id // 512, -1) AS shard
+    FROM pages
+), r AS (
+    SELECT shard, page_id, raw_url, url, html,
+        CASE WHEN page_id % 97 = 13 THEN translate(html, 'e', 'c') ELSE html END AS other
+    FROM p
+), w AS (
+    SELECT shard, page_id, raw_url,
+        concat('WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:', page_id, '>\r\nWARC-Target-URI: ', url,
+            '\r\nContent-Type: text/html\r\nContent-Length: ', strlen(html), '\r\n\r\n', html, '\r\n\r\n') AS a,
+        concat('WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:', page_id, '>\r\nWARC-Target-URI: ', url,
+            '\r\nContent-Type: text/html\r\nContent-Length: ', strlen(other), '\r\n\r\n', other, '\r\n\r\n') AS b
+    FROM r
+), m AS (
+    SELECT shard, page_id, strlen(a) AS size_a, strlen(b) AS size_b, sha256(a) AS sha_a, sha256(b) AS sha_b,
+        CAST(coalesce(sum(strlen(a)) OVER (
+            PARTITION BY shard ORDER BY page_id NULLS FIRST, raw_url NULLS FIRST, sha256(a)
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+    FROM w
+)
+SELECT shard, "offset", page_id, 'changed' AS kind, size_a, size_b, sha_a, sha_b FROM m WHERE sha_a <> sha_b
+"""
+
 SQL: dict[str, str] = {
+    "op2_merkle_fixity_audit": AUDIT_SQL,
     "op4_fuse_filter_dedup": EXACT_SQL,
 }
