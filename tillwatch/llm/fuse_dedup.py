@@ -27,7 +27,7 @@ from tillwatch.llm.texts import SPACE, id_and_text, importable
 from tillwatch.session import hand_off
 
 #: digests that one filter is built for, on average
-BUCKET = 65_536
+BUCKET = 8_192
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -157,7 +157,7 @@ def _same_bytes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ]
     wanted = sides[0].unionByName(sides[1])
     found = (
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["want"]))
+        texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["want"]))
         .where(F.unhex(F.sha2("plain", 256)) == F.col("digest"))  # of rows that share an id, the one that is meant
         .groupBy("digest", "batch", "snapshot", "new")
         .agg(F.min("plain").alias("plain"))
