@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillwatch.llm import (
     fuse_dedup, lang_fusion, lsh_forest, ngram_rules, quality_pu, raking, resync, suffix_pieces, warc_merkle, wavelet,
 )
@@ -17,14 +18,6 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
-#: wanted shares of tokens
-MIX = {
-    "source": {f"src{i}": 0.05 for i in range(20)},
-    "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1},
-    "topic": {"prose": 0.6, "tabular": 0.1, "licensed": 0.1, "contact": 0.2},
-}
-
-
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -70,7 +63,7 @@ def op6_ngram_ratio_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Documents sampled to source, language and topic marginals; half of all tokens are expected to stay."""
-    return raking.mixed(_table(spark, folder, "documents"), MIX, keep=0.5)
+    return raking.mixed(_table(spark, folder, "documents"), raking.TARGETS, keep=0.5)
 
 
 def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_overlap_resync_counts": op9_overlap_resync_counts,
     "op10_lsh_forest_groups": op10_lsh_forest_groups,
+    "pipeline": corpus_pipeline.run,
 }
 
 EXACT_SQL = """

@@ -26,6 +26,12 @@ from tillwatch.session import hand_off
 
 OTHER = "other"
 AXES = ("source", "lang", "topic")
+#: shares of tokens that the registered query and the pipeline mix to
+TARGETS = {
+    "source": {f"src{i}": 0.05 for i in range(20)},
+    "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1},
+    "topic": {"prose": 0.9, "tabular": 0.04, "licensed": 0.02, "contact": 0.04},
+}
 
 
 def word_count(text: Column) -> Column:
