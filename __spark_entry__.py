@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import oracle
-from tillwatch.config import LABEL, MODEL_FEATURES
+from tillwatch.config import LABEL, MODEL_FEATURES, Spine
 from tillwatch.functions.rules import linear_score
 from tillwatch.operators.rollup import daily_activity, daily_declines
 from tillwatch.operators.spine import month_spine, month_spine_ends
@@ -75,11 +75,13 @@ class Tables:
         """The day rollup that features and labels share."""
         return self._once("daily", lambda: hand_off(daily_activity(self.txns, self.sla), "daily"))
 
-    def features(self, daily: DataFrame | None = None) -> DataFrame:
-        return features.merchant_month_features(self.txns, self.sla, self.merchants, fx.SPINE, daily=daily)
+    def features(self, daily: DataFrame | None = None, percentile: bool = True, spine: Spine = fx.SPINE) -> DataFrame:
+        return features.merchant_month_features(
+            self.txns, self.sla, self.merchants, spine, daily=daily, percentile=percentile
+        )
 
-    def rates(self, daily: DataFrame | None = None) -> DataFrame:
-        return labels.forward_rates(self.txns, self.sla, self.merchants, fx.SPINE, daily=daily)
+    def rates(self, daily: DataFrame | None = None, spine: Spine = fx.SPINE) -> DataFrame:
+        return labels.forward_rates(self.txns, self.sla, self.merchants, spine, daily=daily)
 
     def rates_corrected(self) -> DataFrame:
         return labels.forward_rates(self.txns, self.sla, self.merchants, fx.SPINE, as_written=False, clock="ts")
@@ -87,6 +89,20 @@ class Tables:
     def outcomes(self) -> DataFrame:
         return labels.outcomes_monthly(labels.default_label(self.rates(self.daily()), fx.LABEL_RULE))
 
+    def outcomes_stored(self) -> DataFrame:
+        """The label table as written by month and read back."""
+        path = _new_path(self.spark)
+        labels.write_outcomes(labels.default_label(self.rates(), fx.LABEL_RULE), path)
+        stored = self.spark.read.parquet(path)
+        return stored.select(*ON, LABEL)
+
+    def queue(self) -> DataFrame:
+        """The latest month: two months of features, one of labels."""
+        tail = fx.SPINE.tail()
+        labelled = labels.default_label(self.rates(self.daily(), Spine(tail.last, tail.last)), fx.LABEL_RULE)
+        wide = self.features(self.daily(), percentile=False, spine=tail)
+        return marts.risk_queue_mart(tail, wide, labels.outcomes_monthly(labelled))
+
     def training_lazy(self, as_written: bool = False) -> DataFrame:
         return training_set.training_frame(
             self.txns, self.sla, self.merchants, fx.SPINE, fx.LABEL_RULE, as_written, self.daily_instant()
@@ -101,7 +117,7 @@ class Tables:
         return self._once("training", lambda: hand_off(self.training_lazy(), "training"))
 
     def split(self) -> DataFrame:
-        return marts.oot_split(self.training())
+        return marts.oot_split(self.training(), cut=fx.CUT, spine=fx.SPINE)
 
     def train(self) -> DataFrame:
         return marts.train_part(self.split())
@@ -143,6 +159,12 @@ class Tables:
             "model-scored", lambda: hand_off(models.score_both(self.models(), self.train(), self.test()), "model-scored")
         )
 
+    def agreement(self) -> DataFrame:
+        """Whether the champion's stored score is the one that its coefficients give."""
+        by_hand = models.champion_by_hand(self.champion(), self.train(), self.model_scored())
+        close = F.abs(F.col("champ_score") - by_hand) < 1e-9
+        return self.model_scored().select(*ON, LABEL, close.alias("agrees"))
+
     def constrained(self) -> dict[str, DataFrame]:
         return {
             "merchants": self.merchants,
@@ -152,11 +174,11 @@ class Tables:
         }
 
     def exceptions(self) -> DataFrame:
-        return quality.data_exceptions(self.txns, self.raw.merchants_sparse, self._counts(), fx.AS_OF)
+        return quality.data_exceptions(self.txns, self.merchants, self._counts(), fx.AS_OF)
 
     def _counts(self) -> DataFrame:
-        """The keys and counts of the feature table; the other columns are pruned."""
-        return self.features(self.daily()).select(*ON, "txn_count_30d")
+        """The keys and counts of the feature table; the percentile is not computed for them."""
+        return self.features(self.daily(), percentile=False).select(*ON, "txn_count_30d")
 
 
 def _through_csv(df: DataFrame, schema: T.StructType, load: Callable) -> DataFrame:
@@ -215,12 +237,12 @@ def _catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "txn_features_90d": lambda t: f.txn_features_90d(t.txns, t.merchants, fx.SPINE),
         "txn_features_90d_corrected": lambda t: f.txn_features_90d(t.txns, t.merchants, fx.SPINE, as_written=False),
         "historical_fraud": lambda t: f.historical_fraud(t.txns, t.merchants, fx.SPINE),
-        "mom_trends": lambda t: f.mom_trends(f.txn_features_30d(t.txns, t.merchants, fx.SPINE)),
+        "mom_trends": lambda t: f.mom_trends(f.txn_features_30d(t.txns, t.merchants, fx.SPINE, percentile=False)),
         "mom_lag": lambda t: t.training_lazy().select(
             *ON, "prev_fraud_rate", "prev_cb_rate", "fraud_acceleration", "chargeback_acceleration"
         ),
-        "z_score_fraud": lambda t: t.features().select(*ON, "z_score_fraud"),
-        "interactions": lambda t: t.features().select(*ON, "risk_interaction", "decline_x_fraud"),
+        "z_score_fraud": lambda t: t.features(percentile=False).select(*ON, "z_score_fraud"),
+        "interactions": lambda t: t.features(percentile=False).select(*ON, "risk_interaction", "decline_x_fraud"),
         "merchant_month_features": lambda t: t.features(),
         "calendar_month_features": lambda t: training_set.calendar_month_features(t.txns),
         "calendar_month_features_as_written": lambda t: training_set.calendar_month_features(t.txns, True),
@@ -236,28 +258,28 @@ def _catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "default_label_corrected": lambda t: lb.default_label(t.rates_corrected(), fx.LABEL_RULE),
         "label_condition_rates": lambda t: lb.label_condition_rates(t.rates_corrected()),
         "threshold_grid": lambda t: lb.threshold_grid(t.rates_corrected(), fx.GRID_CHARGEBACK, fx.GRID_FRAUD),
-        "outcomes_monthly": lambda t: lb.outcomes_monthly(lb.default_label(t.rates(), fx.LABEL_RULE)),
+        "outcomes_monthly": lambda t: t.outcomes_stored(),
         # dataset, reports, split
         "model_dataset": lambda t: marts.model_dataset(t.features(t.daily()), t.outcomes()),
-        "mart_portfolio_overview": lambda t: marts.portfolio_overview(t.spine(), t.features(t.daily()), t.outcomes()),
-        "mart_risk_queue": lambda t: marts.risk_queue_mart(t.spine(), t.features(t.daily()), t.outcomes()),
+        "mart_portfolio_overview": lambda t: marts.portfolio_overview(
+            t.spine(), t.features(t.daily(), percentile=False), t.outcomes()
+        ),
+        "mart_risk_queue": lambda t: t.queue(),
         "python_master": lambda t: t.training_lazy(),
         "python_master_as_written": lambda t: t.training_lazy(True),
         "oot_split": lambda t: t.split().select(*ON, "split", "month", LABEL),
         # data quality
-        "dq_orphan_txn": lambda t: q.orphan_transactions(t.txns, t.raw.merchants_sparse).select("txn_id", "merchant_id"),
+        "dq_orphan_txn": lambda t: q.orphan_transactions(t.txns, t.merchants).select("txn_id", "merchant_id"),
         "dq_neg_amount": lambda t: q.non_positive_amounts(t.txns).select("txn_id", "amount"),
         "dq_future_ts": lambda t: q.future_timestamps(t.txns, fx.AS_OF).select("txn_id", "txn_ts"),
         "dq_dup_txn_id": lambda t: q.duplicate_ids(t.txns),
         "dq_leakage_guard": lambda t: q.leakage_guard(t._counts(), t.txns),
-        "dq_leakage_corrected": lambda t: q.leakage_check(t.txns, t.sla, fx.SPINE),
+        "dq_leakage_corrected": lambda t: q.leakage_check(t.txns, t.sla, t.merchants, fx.SPINE),
         "data_exceptions": lambda t: t.exceptions(),
         "dq_summary": lambda t: q.exception_summary(t.exceptions()),
         "label_sanity": lambda t: q.label_sanity(t.outcomes(), t.merchants),
         "ck_primary_key": lambda t: q.check_primary_keys(t.constrained(), schemas.PRIMARY_KEYS),
-        "ck_foreign_key": lambda t: q.check_foreign_keys(
-            t.constrained(), t.raw.merchants_sparse, schemas.FOREIGN_KEYS
-        ),
+        "ck_foreign_key": lambda t: q.check_foreign_keys(t.constrained(), t.merchants, schemas.FOREIGN_KEYS),
         "ck_not_null": lambda t: q.check_not_null(t.constrained(), schemas.NOT_NULL),
         "ck_domain": lambda t: q.check_domains(t.constrained(), schemas.DOMAINS),
         # models and metrics
@@ -272,7 +294,19 @@ def _catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "roc_auc": lambda t: metrics.roc_auc(t.scored(), "challenger_score"),
         "precision_at_k": lambda t: metrics.precision_at(t.scored(), "challenger_score"),
         "pr_curve_points": lambda t: metrics.pr_curves(t.scored(), SCORES),
-        "model_comparison": lambda t: metrics.model_comparison(t.model_scored(), SCORES),
+        "model_comparison": lambda t: metrics.model_comparison(t.scored(), SCORES),
+        "model_comparison_fitted": lambda t: metrics.model_comparison(t.model_scored(), SCORES),
+        # what can be said about the fits without their numbers
+        "champion_lr_gradient": lambda t: models.champion_gradient(t.champion(), t.train()).select(
+            "feature", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient")
+        ),
+        "score_both_agreement": lambda t: t.agreement(),
+        "challenger_gbt_range": lambda t: t.model_scored().select(
+            *ON, LABEL, F.col("challenger_score").between(0, 1).alias("in_range")
+        ),
+        "feature_importance_total": lambda t: models.feature_importance(t.models(), t.training()).agg(
+            F.count_if(F.col("importance") >= 0).alias("features"), F.sum("importance").alias("total")
+        ),
         # rules, threshold, queue
         "rule_score": lambda t: t.ruled().select(*ON, "rule_score"),
         "rule_reason": lambda t: t.ruled().select(*ON, "rule_reason"),

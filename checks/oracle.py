@@ -144,7 +144,6 @@ SELECT s_suppkey AS merchant_id,
   DATE '1999-07-05' + CAST(s_suppkey % 210 AS INTEGER) AS onboard_date,
   CASE WHEN s_acctbal < 500 THEN 'HIGH' WHEN s_acctbal < 3000 THEN 'MED' ELSE 'LOW' END AS risk_tier_true
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
-    "merchants_sparse": "SELECT * FROM merchants WHERE merchant_id % 10 <> 0",
     "transactions": """
 SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS txn_id, l_suppkey AS merchant_id,
   l_shipdate + to_minutes((l_orderkey * 7 + l_linenumber) % 1440) AS txn_ts,
@@ -259,7 +258,7 @@ LEFT JOIN (SELECT s.merchant_id, s.month_end, avg(p.is_fraud) AS historical_frau
     "training_as_written": _training(True),
     "scored": f"""
 SELECT *, month(month_end) AS month, {_linear('champ_score')} AS champ_score,
-  {_linear('challenger_score')} AS challenger_score FROM training WHERE month(month_end) > 9""",
+  {_linear('challenger_score')} AS challenger_score FROM training WHERE month_end > DATE '2000-09-30'""",
     "ruled": """
 SELECT *, least(0e0 + CASE WHEN chargeback_rate_30d > 0.01 AND gmv_30d > 1000 THEN 4e-1 ELSE 0e0 END
     + CASE WHEN sla_breach_rate_60d > 0.08 THEN 3e-1 ELSE 0e0 END + CASE WHEN fraud_rate_30d > 0.015 THEN 4e-1 ELSE 0e0 END
@@ -278,7 +277,7 @@ FROM cuts, hybrid GROUP BY threshold""",
     "portfolio": "SELECT *, CAST(final_risk_score >= (SELECT threshold FROM best) AS INTEGER) AS alert_flag FROM hybrid",
     "exceptions": """
 SELECT 'ORPHAN_TXN' AS exception_type, txn_id AS reference_id FROM transactions
-  WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants_sparse)
+  WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants)
 UNION ALL SELECT 'NEG_AMOUNT', txn_id FROM transactions WHERE amount <= 0
 UNION ALL SELECT 'FUTURE_TS', txn_id FROM transactions WHERE txn_ts > TIMESTAMP '2001-06-01 00:00:00'
 UNION ALL SELECT 'DUP_TXN_ID', txn_id FROM transactions GROUP BY txn_id HAVING count(*) > 1
@@ -370,10 +369,12 @@ def _outside(table: str, tests: dict[str, str]) -> str:
 
 
 def _histogram(column: str) -> str:
-    return f"""SELECT '{column}' AS feature, least(40, 1 + CAST(floor((v - lo) / (hi - lo) * 40) AS INTEGER)) AS bin,
-  lo + (hi - lo) / 40 * (bin - 1) AS bin_start, lo + (hi - lo) / 40 * bin AS bin_end, count(*) AS n FROM (
-    SELECT CAST({column} AS DOUBLE) AS v, min(CAST({column} AS DOUBLE)) OVER () AS lo,
-      max(CAST({column} AS DOUBLE)) OVER () AS hi FROM scored) GROUP BY bin, lo, hi"""
+    return f"""SELECT '{column}' AS feature, b.bin, lo + (hi - lo) / 40 * (b.bin - 1) AS bin_start,
+  lo + (hi - lo) / 40 * b.bin AS bin_end, count(v) AS n
+  FROM (SELECT min(CAST({column} AS DOUBLE)) AS lo, max(CAST({column} AS DOUBLE)) AS hi FROM scored) r
+  CROSS JOIN (SELECT CAST(i AS INTEGER) AS bin FROM range(1, 41) AS x(i)) b
+  LEFT JOIN (SELECT CAST({column} AS DOUBLE) AS v FROM scored) s
+    ON least(40, 1 + CAST(floor((v - lo) / (hi - lo) * 40) AS INTEGER)) = b.bin GROUP BY ALL"""
 
 
 def _grid() -> str:
@@ -388,8 +389,8 @@ def _grid() -> str:
 
 def _standardized() -> str:
     columns = ", ".join(
-        f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) FILTER (month(month_end) <= 9) OVER ())"
-        f" / stddev_pop(CAST({c} AS DOUBLE)) FILTER (month(month_end) <= 9) OVER () AS {c}"
+        f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) FILTER (month_end <= DATE '2000-09-30') OVER ())"
+        f" / stddev_pop(CAST({c} AS DOUBLE)) FILTER (month_end <= DATE '2000-09-30') OVER () AS {c}"
         for c in MODEL
     )
     return f"(SELECT merchant_id, month_end, {columns} FROM training)"
@@ -466,23 +467,25 @@ def build() -> dict[str, str]:
         "python_master": pick("training", **TRAINING),
         "python_master_as_written": pick("training_as_written", **TRAINING),
         "oot_split": pick(
-            """(SELECT *, month(month_end) AS month, CASE WHEN month(month_end) <= 9 THEN 'train' ELSE 'test' END AS split
+            """(SELECT *, month(month_end) AS month, CASE WHEN month_end <= DATE '2000-09-30' THEN 'train' ELSE 'test' END AS split
             FROM training)""",
             f"{ON} split", small="month default_next_60d"),
         "dq_orphan_txn": """SELECT txn_id, merchant_id FROM transactions
-            WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants_sparse)""",
+            WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants)""",
         "dq_neg_amount": "SELECT txn_id, CAST(amount AS DOUBLE) AS amount FROM transactions WHERE amount <= 0",
         "dq_future_ts": "SELECT txn_id, txn_ts FROM transactions WHERE txn_ts > TIMESTAMP '2001-06-01 00:00:00'",
         "dq_dup_txn_id": "SELECT txn_id, count(*) AS copies FROM transactions GROUP BY txn_id HAVING count(*) > 1",
         "dq_leakage_guard": """SELECT reference_id, count(*) AS occurrences FROM exceptions
             WHERE exception_type = 'LEAKAGE_GUARD' GROUP BY reference_id""",
-        "dq_leakage_corrected": f"""
-            SELECT 'transactions' AS source, s.merchant_id, s.month_end, count(*) AS late_rows FROM months s
-            JOIN transactions p ON p.merchant_id = s.merchant_id AND {_ago(90)}
-            WHERE CAST(p.txn_ts AS DATE) > s.month_end GROUP BY ALL
-            UNION ALL SELECT 'sla_events', s.merchant_id, s.month_end, count(*) FROM months s
-            JOIN sla_events e ON e.merchant_id = s.merchant_id AND {_ago(60, 'e.event_ts')}
-            WHERE CAST(e.event_ts AS DATE) > s.month_end GROUP BY ALL""",
+        "dq_leakage_corrected": " UNION ALL ".join(
+            f"""SELECT '{name}' AS window_name, s.merchant_id, s.month_end, min(d) AS first_day, max(d) AS last_day,
+            CAST(min(d) < s.month_end - {high} OR max(d) > s.month_end - ({low}) AS INTEGER) AS violation FROM months s
+            JOIN (SELECT merchant_id, CAST({ts} AS DATE) AS d FROM {table}) e ON e.merchant_id = s.merchant_id
+            AND d BETWEEN s.month_end - {high} AND s.month_end - ({low}) GROUP BY s.merchant_id, s.month_end"""
+            for name, table, ts, low, high in (
+                ("txn_30", "transactions", "txn_ts", 0, 29), ("txn_60", "transactions", "txn_ts", 0, 59),
+                ("txn_90", "transactions", "txn_ts", 0, 89), ("sla_60", "sla_events", "event_ts", 0, 59),
+                ("label_txn_60", "transactions", "txn_ts", -60, -1), ("label_sla_60", "sla_events", "event_ts", -60, -1))),
         "data_exceptions": """SELECT exception_type, reference_id, count(*) AS occurrences FROM exceptions
             GROUP BY ALL""",
         "dq_summary": "SELECT exception_type, count(*) AS exceptions FROM exceptions GROUP BY exception_type",
@@ -498,7 +501,7 @@ def build() -> dict[str, str]:
             count(*) FROM outcomes_monthly GROUP BY merchant_id, month_end HAVING count(*) > 1""",
         "ck_foreign_key": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, {r} AS reference_id FROM {t} c WHERE NOT EXISTS "
-            "(SELECT 1 FROM merchants_sparse m WHERE m.merchant_id = c.merchant_id)"
+            "(SELECT 1 FROM merchants m WHERE m.merchant_id = c.merchant_id)"
             for t, r in {
                 "transactions": "txn_id",
                 "sla_events": "CAST(event_id AS VARCHAR)",
@@ -523,7 +526,7 @@ def build() -> dict[str, str]:
         "class_weights": pick(
             """(SELECT default_next_60d, count(*) AS n, sum(count(*)) OVER () / (2e0 * count(*)) AS balanced_weight,
             CASE WHEN default_next_60d = 1 THEN (sum(count(*)) OVER () - count(*)) / CAST(count(*) AS DOUBLE) ELSE 1 END AS pos_weight
-            FROM training WHERE month(month_end) <= 9 GROUP BY default_next_60d)""",
+            FROM training WHERE month_end <= DATE '2000-09-30' GROUP BY default_next_60d)""",
             whole="n", small="default_next_60d", real="balanced_weight pos_weight"),
         "linear_score": pick("scored", ON, real="champ_score challenger_score"),
         "pr_auc": pick(f"({_nested_sum('challenger_score', _PR + ' AS pr_auc')})", real="pr_auc"),
@@ -534,6 +537,18 @@ def build() -> dict[str, str]:
         "pr_curve_points": pick(
             f"({_points('champion', 'champ_score')} UNION ALL {_points('challenger', 'challenger_score')})",
             "model", real="threshold precision recall"),
+        "model_comparison": " UNION ALL ".join(
+            f"""SELECT '{model}' AS model, (SELECT round(pr_auc, 6) + 0e0 FROM ({_nested_sum(score, _PR + ' AS pr_auc')})) AS pr_auc,
+            (SELECT round(roc_auc, 6) + 0e0 FROM ({_nested_sum(score, _ROC + ' AS roc_auc')})) AS roc_auc,
+            (SELECT round(avg(default_next_60d), 6) + 0e0 FROM (SELECT default_next_60d,
+              row_number() OVER (ORDER BY {score} DESC, merchant_id, month_end) AS place,
+              CAST(floor(count(*) OVER () * 5e-2) AS BIGINT) AS k FROM scored) WHERE place <= k) AS precision_at_k"""
+            for model, score in (("champion", "champ_score"), ("challenger", "challenger_score"))),
+        "champion_lr_gradient": " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, 0e0 AS gradient" for c in (*MODEL, "intercept")),
+        "score_both_agreement": "SELECT merchant_id, month_end, default_next_60d, true AS agrees FROM scored",
+        "challenger_gbt_range": "SELECT merchant_id, month_end, default_next_60d, true AS in_range FROM scored",
+        "feature_importance_total": f"SELECT CAST({len(list(MODEL))} AS BIGINT) AS features, 1e0 AS total",
         "rule_score": pick("ruled", ON, real="rule_score"),
         "rule_reason": pick("ruled", f"{ON} rule_reason"),
         "hybrid_score": pick("hybrid", ON, real="challenger_score rule_score final_risk_score"),
@@ -541,10 +556,11 @@ def build() -> dict[str, str]:
         "optimal_threshold": pick("best", "", "profit", real="threshold"),
         "alert_flag": pick("portfolio", ON, small="alert_flag", real="final_risk_score"),
         "alert_metrics": pick(
-            """(SELECT count(DISTINCT merchant_id) AS merchants_scored, avg(alert_flag) AS alert_rate,
+            """(SELECT count(DISTINCT merchant_id) AS merchants_scored, count(*) FILTER (alert_flag = 1) AS alerts,
+            avg(alert_flag) AS alert_rate,
             count(*) FILTER (alert_flag = 1 AND default_next_60d = 1) AS defaults_captured,
             count(*) FILTER (alert_flag = 1 AND default_next_60d = 1) / CAST(sum(default_next_60d) AS DOUBLE) AS recall
-            FROM portfolio)""", "", "merchants_scored defaults_captured", real="alert_rate recall"),
+            FROM portfolio)""", "", "merchants_scored alerts defaults_captured", real="alert_rate recall"),
         "investigation_queue": pick("portfolio WHERE alert_flag = 1", **PORTFOLIO),
         "queue_top5": pick(
             """(SELECT * FROM portfolio WHERE alert_flag = 1 ORDER BY final_risk_score DESC, merchant_id, month_end LIMIT 5)""",

@@ -1,9 +1,12 @@
 """Model fits against independent arithmetic."""
 
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillwatch.sources import stand_in as fx
 from tillwatch.plans import marts, metrics, models
 
 COLUMNS = ("x1", "x2", "flat")
@@ -86,3 +89,17 @@ def test_split_by_month(spark):
     )
     split = marts.oot_split(frame)
     assert marts.train_part(split).count() == 2 and marts.test_part(split).first().month == 10
+
+
+def test_split_by_date_is_out_of_time(spark):
+    months = fx.SPINE
+    frame = spark.sql(f"SELECT explode(sequence(DATE'{months.first}', DATE'{months.last}', INTERVAL 1 MONTH)) AS d")
+    frame = frame.select(F.last_day("d").alias("month_end"))
+    split = marts.oot_split(frame, cut=fx.CUT, spine=months)
+    train, test = marts.train_part(split), marts.test_part(split)
+    assert train.agg(F.max("month_end")).first()[0] == fx.CUT < test.agg(F.min("month_end")).first()[0]
+    assert train.count() + test.count() == 84
+    later = marts.test_part(marts.oot_split(frame, cut=fx.CUT, embargo_days=60))
+    assert later.agg(F.min("month_end")).first()[0] == date(2000, 11, 30)
+    with pytest.raises(ValueError):
+        marts.oot_split(frame, spine=months)

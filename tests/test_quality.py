@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tillwatch.config import Spine
 from tillwatch.operators.orphans import not_in
+from tillwatch.operators.rollup import daily_activity
+from tillwatch.operators.windows import month_members, past_months
 from tillwatch.plans import features, quality
 from tillwatch.sources import schemas
 
@@ -63,7 +65,23 @@ def test_future_defaults_to_now(make):
 
 def test_windows_hold_nothing_later(make):
     txns = make.txns(*[("a", f"2024-01-{d:02d} 23:59", "1.00", "APPROVED", 0, 0) for d in range(1, 32)])
-    assert quality.leakage_check(txns, make.sla(("a", "2024-02-29 23:00", 1)), SPINE).count() == 0
+    found = quality.leakage_check(txns, make.sla(("a", "2024-02-29 23:00", 1)), make.merchants("a"), SPINE).collect()
+    assert {(r.window_name, r.month_end.month): (r.first_day.day, r.last_day.day, r.violation) for r in found} == {
+        ("txn_30", 1): (2, 31, 0), ("txn_60", 1): (1, 31, 0), ("txn_90", 1): (1, 31, 0),
+        ("txn_30", 2): (31, 31, 0), ("txn_60", 2): (1, 31, 0), ("txn_90", 2): (1, 31, 0), ("txn_90", 3): (2, 31, 0),
+        ("sla_60", 2): (29, 29, 0), ("sla_60", 3): (29, 29, 0), ("label_sla_60", 1): (29, 29, 0),
+    }
+
+
+@pytest.mark.parametrize("shift, back, caught", [(0, 0, False), (-1, 0, True), (-31, 0, True), (0, 1, True)])
+def test_shifted_windows_are_caught(make, shift, back, caught):
+    """Days picked by a distance that is off, or for another month, are days that the window may not hold."""
+    txns = make.txns(*[("a", f"2024-0{m}-{d:02d} 12:00", "1.00", "APPROVED", 0, 0) for m in (1, 2, 3) for d in range(1, 29)])
+    daily = daily_activity(txns, make.sla())
+    members = month_members(daily, make.merchants("a"), past_months(F.col("day"), 90, SPINE), SPINE.past(90), SPINE)
+    shifted = members.withColumns({"age": F.col("age") + shift, "month_end": F.last_day(F.add_months("month_end", -back))})
+    found = quality.window_bounds(shifted, {"txn_30": ("n_txn", 0, 29), "txn_60": ("n_txn", 0, 59)})
+    assert (found.where("violation = 1").count() > 0) == caught
 
 
 def test_constraints(make, spark):

@@ -100,9 +100,17 @@ def test_precision_needs_scores(spark):
     frame = spark.createDataFrame(
         [("a", "x", None, 1), ("b", "x", 0.1, 0)], "merchant_id string, month_end string, score double, default_next_60d int"
     )
-    assert tuple(metrics.precision_at(frame, "score", 0.5).first()) == (1, 0.0)
-    with pytest.raises(ValueError):
-        metrics.precision_at(frame, "score", 1.0)
+    assert tuple(metrics.precision_at(frame, "score", 1.0).first()) == (1, 0.0)
+    assert tuple(metrics.precision_at(frame, "score", 0.5).first()) == (0, None)
+    assert metrics.unscored(frame, {"m": "score"}).first().unscored == 1
+
+
+def test_rows_without_score_are_left_out_everywhere(spark):
+    rows = [("a", "x", None, 1), ("b", "x", 0.9, 1), ("c", "x", 0.1, 0), ("d", "x", 0.8, 1)]
+    frame = spark.createDataFrame(rows, "merchant_id string, month_end string, score double, default_next_60d int")
+    assert max(r.recall for r in metrics.pr_curve(frame, "score").collect()) == 1.0
+    assert metrics.areas(frame, "score").first().asDict() == {"pr_auc": 1.0, "roc_auc": 1.0}
+    assert tuple(metrics.precision_at(frame, "score", 0.7).first()) == (2, 1.0)
 
 
 def test_one_class_only(spark):

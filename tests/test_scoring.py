@@ -74,7 +74,7 @@ def test_reports_on_the_flagged_table(spark):
     rows = [("a", 1, 1, 0.9), ("a", 0, 1, 0.2), ("b", 1, 0, 0.8), ("c", 0, 0, 0.1)]
     frame = spark.createDataFrame(rows, "merchant_id string, alert_flag int, default_next_60d int, challenger_score double")
     found = scoring.alert_metrics(frame).first()
-    assert tuple(found) == (3, 0.5, 1, 0.5)
+    assert (found.merchants_scored, found.alerts, found.alert_rate, found.defaults_captured, found.recall) == (3, 2, 0.5, 1, 0.5)
     cost = scoring.cost_report(frame, SweepCosts()).first()
     assert tuple(cost) == (1, 1, 1, 10, 1, -9)
     none = frame.withColumn("default_next_60d", F.lit(0))
@@ -94,5 +94,18 @@ def test_histogram_edges(spark):
     found = eda.histograms(frame, ("a", "b"), 40).collect()
     a = {r.bin: r.n for r in found if r.feature == "a"}
     assert a == {**{i: 1 for i in range(1, 40)}, 40: 2}
-    (b,) = [r for r in found if r.feature == "b"]
+    (b,) = [r for r in found if r.feature == "b" and r.n]
     assert (b.n, b.bin_start <= 5.0 <= b.bin_end) == (42, True)
+    assert len(found) == 80
+    holes = spark.createDataFrame([(1.0, float("nan")), (2.0, None), (float("nan"), None)], "a double, b double")
+    kept = eda.histograms(holes, ("a", "b"), 4).collect()
+    assert {(r.feature, r.bin): (r.n, r.bin_start) for r in kept if r.n} == {("a", 1): (1, 1.0), ("a", 4): (1, 1.75)}
+    assert {r.feature for r in kept} == {"a"} and len(kept) == 4
+
+
+def test_rates_and_correlations_skip_missing_values(spark):
+    frame = spark.createDataFrame(
+        [("a", 1.0, 0), ("a", 2.0, 1), (None, float("nan"), 1)], "industry string, x double, default_next_60d int"
+    )
+    assert [tuple(r) for r in eda.rate_by(frame, "industry").collect()] == [("a", 0.5)]
+    assert {r.feature: r.correlation for r in eda.correlations(frame, ("x",)).collect()}["x"] == pytest.approx(1.0)

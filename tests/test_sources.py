@@ -1,13 +1,18 @@
 """Readers, writers and views."""
 
+import os
 from datetime import date
 
 import pytest
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 
+from pyspark.sql import functions as F
+
+from tillwatch import session
 from tillwatch.config import Spine
-from tillwatch.plans import labels, workflow
+from tillwatch.operators.orphans import not_in
+from tillwatch.plans import labels, metrics, workflow
 from tillwatch.sources import files, schemas
 from tillwatch.sources.views import register_views
 
@@ -35,6 +40,57 @@ def test_wrong_values_stop_the_load(spark, tmp_path):
         files.load_sla_events(spark, str(tmp_path / "s.csv")).collect()
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("risk_tier_true,state,note,industry,merchant_id,onboard_date\nLOW,CA,n,Retail,x,2024-07-05\n")
+    row = files.load_merchants(spark, str(tmp_path / "m.csv")).first()
+    assert (row.merchant_id, row.industry, row.state, row.risk_tier_true) == ("x", "Retail", "CA", "LOW")
+    assert files.load_merchants(spark, str(tmp_path / "m.csv")).schema.names == schemas.MERCHANTS.names
+    (tmp_path / "l.csv").write_text("merchant_id,industry,onboard_date,risk_tier_true\nx,Retail,2024-07-05,LOW\n")
+    with pytest.raises(ValueError, match="state"):
+        files.load_merchants(spark, str(tmp_path / "l.csv"))
+
+
+def test_bad_values_stop_the_load_whatever_is_read_later(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        "txn_id,merchant_id,txn_ts,amount,channel,status,is_fraud,is_chargeback\n"
+        "t,x,2024-07-05 13:00:00,abc,CARD,APPROVED,0,0\n"
+    )
+    with pytest.raises((PySparkException, Py4JError)):
+        files.load_transactions(spark, str(tmp_path / "t.csv"))
+    assert files.load_transactions(spark, str(tmp_path / "t.csv"), validate=False).count() == 1
+
+
+def test_nothing_runs_while_views_are_registered(spark, make):
+    merchants, txns, sla = _year(make)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("views", "registering")
+    register_views(merchants, txns, sla, SPINE, as_of="2025-01-01 00:00:00")
+    not_in(txns, merchants, "merchant_id")
+    metrics.precision_at(txns.withColumn("score", F.lit(0.5)), "score", label="is_fraud", key="merchant_id", month="txn_ts")
+    assert list(tracker.getJobIdsForGroup("views")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_shared_folder_and_hand_offs(spark, tmp_path, monkeypatch):
+    with session.HandOffs() as kept:
+        frame = kept.write(spark.range(5), "five")
+        path = frame.inputFiles()[0].removeprefix("file://")
+        assert frame.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+    class Cluster:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Unset:
+        sparkContext = Cluster()
+        conf = type("conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Unset())
+    Cluster.getCheckpointDir = staticmethod(lambda: "hdfs://shared/folder")
+    assert session.shared_folder(Unset()) == "hdfs://shared/folder"
+
+
 def test_scored_round_trip(spark, tmp_path):
     frame = spark.createDataFrame([("a", 0.1 + 0.2, ""), ("b", 1e-17, "High Vol")], "k string, s double, reason string")
     files.write_scored(frame, str(tmp_path / "csv"), "csv")
@@ -89,15 +145,21 @@ def test_views(spark, make):
         """SELECT count(*) FROM v_merchant_month_features f JOIN transactions t ON t.merchant_id = f.merchant_id
         WHERE date(t.txn_ts) > f.month_end"""
     ).first()[0]
-    assert spark.sql("SELECT count(*) FROM v_data_exceptions WHERE exception_type = 'LEAKAGE_GUARD'").first()[0] == pairs
+    counted = "SELECT sum(occurrences) FROM v_data_exceptions WHERE exception_type = 'LEAKAGE_GUARD'"
+    assert spark.sql(counted).first()[0] == pairs
 
 
-def test_runs_end_to_end(make):
+def test_runs_end_to_end(spark, make, tmp_path):
     merchants, txns, sla = _year(make)
-    tables = workflow.build_warehouse(merchants, txns, sla, SPINE)
+    out = str(tmp_path)
+    tables = workflow.build_warehouse(merchants, txns, sla, SPINE, out=out)
     assert tables.dataset.count() == 72 and tables.queue.count() == 6 and tables.overview.count() == 12
-    run = workflow.run_training(merchants, txns, sla, SPINE, rounds=2)
+    run = workflow.run_training(merchants, txns, sla, SPINE, rounds=2, out=out)
     assert run.comparison.count() == 2
-    portfolio = workflow.run_scoring(run.scored)
+    portfolio = workflow.run_scoring(run.scored, out=out)
+    assert sorted(x.name for x in (tmp_path / "outcomes_monthly").glob("month_end=*"))[0] == "month_end=2024-01-31"
+    assert spark.read.parquet(f"{out}/merchant_month_features").where("month_end = '2024-12-31'").count() == 6
+    assert files.load_transactions(spark, f"{out}/transactions", "parquet").count() == txns.count()
+    assert files.read_scored(spark, f"{out}/final_scored_portfolio", portfolio.schema).count() == 18
     assert portfolio.count() == 18
     assert {"rule_score", "rule_reason", "final_risk_score", "alert_flag"} <= set(portfolio.columns)

@@ -32,6 +32,11 @@ class Spine:
     def last_end(self) -> date:
         return self.last.replace(day=monthrange(self.last.year, self.last.month)[1])
 
+    def tail(self) -> "Spine":
+        """The last month and the one before; history older than that counts into the first of them."""
+        before = (self.last - timedelta(days=1)).replace(day=1)
+        return Spine(max(self.first, before), self.last)
+
     def past(self, width: int) -> Days:
         """First and last day that any backward window of ``width`` days can hold."""
         return self.first_end - timedelta(days=width - 1), self.last_end

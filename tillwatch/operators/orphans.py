@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.session import hand_off
-
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows of ``child`` whose non-NULL ``key`` is not in ``parent``.
 
     Only distinct keys are compared, reduced map-side first, so a key on a third of all rows costs one row per task.
-    The missing keys are written out; the planner then knows their size, joins them by broadcast if they are below
-    its limit (the usual case: there are few) and by a shuffle with skew handling if not.
+    Nothing runs until the result is asked for. The size of the missing keys is known when they are computed: the
+    planner then broadcasts them if they are below its limit (the usual case: there are few) and otherwise shuffles
+    with skew handling.
     """
     keys = child.where(F.col(key).isNotNull()).select(key).distinct()
-    missing = hand_off(keys.join(parent.select(key), key, "left_anti"), "missing-keys")
+    missing = keys.join(parent.select(key), key, "left_anti")
     return child.join(missing, key, "left_semi")
 
 

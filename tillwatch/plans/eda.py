@@ -9,9 +9,10 @@ from tillwatch.config import KEY, LABEL, REPORT_FEATURES
 
 
 def rate_by(df: DataFrame, column: str, label: str = LABEL) -> DataFrame:
-    """Mean label per value of a column, highest first."""
+    """Mean label per value of a column, highest first; rows without a value are in no group."""
     return (
-        df.groupBy(column)
+        df.where(F.col(column).isNotNull())
+        .groupBy(column)
         .agg(F.avg(label).alias("default_rate"))
         .orderBy(F.col("default_rate").desc(), column)
     )
@@ -39,11 +40,12 @@ def _long(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def histograms(df: DataFrame, columns: tuple[str, ...] = REPORT_FEATURES, bins: int = 40) -> DataFrame:
     """``(feature, bin, bin_start, bin_end, n)``: equal-width bins from minimum to maximum, the last one closed.
 
-    A constant feature gets the range value -0.5 to value +0.5. Empty bins have no row.
+    A constant feature gets the range value -0.5 to value +0.5. All bins of a feature that has a value have a row;
+    NULL and NaN are no values.
     """
 
     def extent(column):
-        value = F.col(column).cast("double")
+        value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
         return F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))
 
     names, extents = F.array(*[F.lit(c) for c in columns]), F.array(*[extent(c) for c in columns])
@@ -58,9 +60,15 @@ def histograms(df: DataFrame, columns: tuple[str, ...] = REPORT_FEATURES, bins:
         .withColumn("bin", F.least(F.width_bucket("value", "lo", "hi", F.lit(bins)), F.lit(bins)).cast("int"))
     )
     width = (F.col("hi") - F.col("lo")) / bins
+    # every bin of every feature once, beside the counted ones
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature"))
+    grid = grid.withColumns({"lo": lo, "hi": hi}).where(F.col("lo").isNotNull())
+    empty = grid.select("feature", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", "hi", F.lit(0).alias("hit"))
     return (
-        placed.groupBy("feature", "bin", "lo", "hi")
-        .agg(F.count(F.lit(1)).alias("n"))
+        placed.select("feature", "bin", "lo", "hi", F.lit(1).alias("hit"))
+        .unionByName(empty)
+        .groupBy("feature", "bin", "lo", "hi")
+        .agg(F.sum("hit").alias("n"))
         .select(
             "feature",
             "bin",
@@ -85,8 +93,9 @@ def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
 def correlations(df: DataFrame, columns: tuple[str, ...] = REPORT_FEATURES, label: str = LABEL) -> DataFrame:
     """Pearson correlation of each feature, and of the label itself, with the label; NULL for a constant feature."""
     names = [*columns, label]
-    y = F.col(label).cast("double")
-    found = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(names)])
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))  # noqa: E731  pairs with NaN are skipped
+    y = known(label)
+    found = df.agg(*[F.corr(known(c), y).alias(f"c{i}") for i, c in enumerate(names)])
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, c in enumerate(names)]
     )

@@ -52,14 +52,14 @@ def approved_p95(txns: DataFrame, spine: Spine, width: int = 30, fraction: float
     return grouped_percentile(past_members(approved, width, spine), ON, "cents", fraction, "p95")
 
 
-def _columns_30d() -> list[Column]:
+def _columns_30d(percentile: bool) -> list[Column]:
     n, m2 = F.col("n_approved_30"), F.col("dev_approved_30")
     return [
         # an empty window still counts 1: the row count of an outer join
         F.greatest(F.col("n_txn_30"), F.lit(1)).cast("bigint").alias("txn_count_30d"),
         _money(F.col("approved_30")).alias("gmv_30d"),
         or_zero_double(ratio(F.col("approved_30"), n) / 100).alias("avg_amount_30d"),
-        _money(F.col("p95")).alias("p95_amount_30d"),
+        *([_money(F.col("p95")).alias("p95_amount_30d")] if percentile else []),
         _money(sample_stddev(m2, n)).alias("amount_stddev_30d"),
         _rate("declined_30", "n_status_30").alias("decline_rate_30d"),
         _rate("fraud_30", "n_fraud_30").alias("fraud_rate_30d"),
@@ -107,10 +107,19 @@ def _past(
     return month_members(daily, merchants, months, days, spine, **options)
 
 
-def txn_features_30d(txns: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
+def _percentile(txns: DataFrame, spine: Spine, wanted: bool) -> tuple[dict, tuple[Column, ...]]:
+    """What the windows need for the percentile: rows beside the day rows, and an aggregate; nothing if not wanted."""
+    return ({"at_month": approved_p95(txns, spine)}, (F.max("p95").alias("p95"),)) if wanted else ({}, ())
+
+
+def txn_features_30d(
+    txns: DataFrame, merchants: DataFrame, spine: Spine = Spine(), percentile: bool = True
+) -> DataFrame:
+    """Without ``percentile``, all but that column, and none of its work: a second pass over the payments."""
     daily = daily_activity(txns, txn_days=spine.past(30))
-    members = _past(daily, merchants, 30, spine, at_month=approved_p95(txns, spine))
-    return transaction_windows(members, (30,), extra=(F.max("p95").alias("p95"),)).select(*ON, *_columns_30d())
+    rows, extra = _percentile(txns, spine, percentile)
+    windows = transaction_windows(_past(daily, merchants, 30, spine, **rows), (30,), extra=extra)
+    return windows.select(*ON, *_columns_30d(percentile))
 
 
 def sla_features_60d(sla: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
@@ -187,20 +196,23 @@ def merchant_month_features(
     as_written: bool = True,
     snap: bool = False,
     daily: DataFrame | None = None,
+    percentile: bool = True,
 ) -> DataFrame:
     """The wide feature table: keys, industry, state and 28 features per merchant and month.
 
     All windows of both event tables come from one day rollup and one grouped aggregation; only the percentile needs
     a second pass over the payments. Trends and history are windows over each merchant's months, on the partitioning
     that the aggregation left. ``daily`` is a finished rollup of both event tables, to be used for the windows instead
-    of the events.
+    of the events. Without ``percentile`` the table lacks that column and the second pass is not made: the optimizer
+    can't drop it from a union, so a caller that doesn't read it says so.
     """
     if daily is None:
         daily = daily_activity(txns, sla, txn_days=spine.history(), sla_days=spine.past(60))
-    members = _past(daily, merchants, 90, spine, history=True, at_month=approved_p95(txns, spine))
-    frame = transaction_windows(members, (30, 60, 90), extra=(F.max("p95").alias("p95"),)).select(
+    rows, extra = _percentile(txns, spine, percentile)
+    members = _past(daily, merchants, 90, spine, history=True, **rows)
+    frame = transaction_windows(members, (30, 60, 90), extra=extra).select(
         *ON,
-        *_columns_30d(),
+        *_columns_30d(percentile),
         *_columns_60d(),
         *_columns_sla(),
         *_columns_90d(as_written, True, "amount_volatility_90d"),
@@ -218,4 +230,4 @@ def merchant_month_features(
             "risk_interaction": interact(F.col("fraud_rate_30d"), F.col("chargeback_rate_30d")),
             "decline_x_fraud": interact(F.col("decline_rate_30d"), F.col("fraud_rate_30d")),
         }
-    ).select(*ON, "industry", "state", *FEATURE_COLUMNS)
+    ).select(*ON, "industry", "state", *[c for c in FEATURE_COLUMNS if percentile or c != "p95_amount_30d"])

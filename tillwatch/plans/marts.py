@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.config import KEY, LABEL, MONTH
+from tillwatch.config import KEY, LABEL, MONTH, Spine
 
 ON = [KEY, MONTH]
 
@@ -35,11 +37,13 @@ def portfolio_overview(spine: DataFrame, features: DataFrame, outcomes: DataFram
     )
 
 
-def risk_queue_mart(spine: DataFrame, features: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Feature excerpt and label of the latest month of the spine."""
-    latest = spine.agg(F.max(MONTH)).scalar()
+def risk_queue_mart(spine: Spine, features: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Feature excerpt and label of the latest month of the spine.
+
+    ``Spine.tail`` gives the two months that features of the latest one need.
+    """
     return (
-        features.where(F.col(MONTH) == latest)
+        features.where(F.col(MONTH) == F.lit(spine.last_end))
         .select(
             *ON, "industry", "state", "gmv_30d", "fraud_rate_30d", "chargeback_rate_30d", "decline_rate_30d",
             "sla_breach_rate_60d",
@@ -48,12 +52,29 @@ def risk_queue_mart(spine: DataFrame, features: DataFrame, outcomes: DataFrame)
     )
 
 
-def oot_split(frame: DataFrame, last_train_month: int = 9) -> DataFrame:
-    """Adds ``month`` and ``split``: calendar months up to the cut train, later ones test."""
+def oot_split(
+    frame: DataFrame,
+    last_train_month: int = 9,
+    cut: date | None = None,
+    embargo_days: int = 0,
+    spine: Spine | None = None,
+) -> DataFrame:
+    """Adds ``month`` and ``split``: month ends up to ``cut`` train, later ones test.
+
+    Without ``cut``, calendar months up to ``last_train_month`` train, which is a cut in time only inside one year: a
+    longer ``spine`` is refused. ``embargo_days`` leaves out test months so soon after the cut, as labels of the last
+    training months look ahead into them.
+    """
     month = F.month(MONTH)
-    return frame.withColumn("month", month).withColumn(
-        "split", F.when(month <= last_train_month, "train").otherwise("test")
-    )
+    if cut is None:
+        if spine is not None and spine.first.year != spine.last.year:
+            raise ValueError("months of several years need a cut date")
+        past = month <= last_train_month
+    else:
+        past = F.col(MONTH) <= F.lit(cut)
+        if embargo_days:
+            frame = frame.where(past | (F.col(MONTH) > F.date_add(F.lit(cut), embargo_days)))
+    return frame.withColumn("month", month).withColumn("split", F.when(past, "train").otherwise("test"))
 
 
 def train_part(split: DataFrame) -> DataFrame:

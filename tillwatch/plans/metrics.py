@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, LABEL, MONTH
-from tillwatch.operators.ranking import running_totals
+from tillwatch.operators.ranking import BUCKETS, running_totals
 
 
 def _cuts(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -20,14 +20,21 @@ def _cuts(scored: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def _totals(cuts: DataFrame) -> Column:
-    return cuts.agg(F.struct(F.sum("positives").alias("positives"), F.sum("rows").alias("rows"))).scalar()
+def scored_rows(frame: DataFrame, score: str) -> DataFrame:
+    """Rows that have a score: curves, areas and precision are all taken over these alone."""
+    return frame.where(F.col(score).isNotNull())
+
+
+def unscored(frame: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """``(model, unscored)``: how many rows the metrics of each model leave out."""
+    counts = [F.struct(F.lit(m).alias("model"), F.count_if(F.col(c).isNull()).alias("unscored")) for m, c in scores.items()]
+    return frame.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
 def pr_curve(scored: DataFrame, score: str, label: str = LABEL) -> DataFrame:
     """``(threshold, precision, recall)`` per distinct score, plus the end point recall 0, precision 1."""
     cuts = _cuts(scored, score, label)
-    total = scored.agg(F.sum(F.col(label).cast("bigint"))).scalar()
+    total = scored_rows(scored, score).agg(F.sum(F.col(label).cast("bigint"))).scalar()
     points = cuts.select(
         F.col(score).cast("double").alias("threshold"),
         (F.col("cum_positives") / F.col("cum_rows")).alias("precision"),
@@ -71,43 +78,45 @@ def roc_auc(scored: DataFrame, score: str, label: str = LABEL) -> DataFrame:
 
 
 def precision_at(
-    scored: DataFrame, score: str, share: float = 0.05, label: str = LABEL, key: str = KEY, month: str = MONTH
+    scored: DataFrame,
+    score: str,
+    share: float = 0.05,
+    label: str = LABEL,
+    key: str = KEY,
+    month: str = MONTH,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row ``(k, precision_at_k)``: mean label of the ``k = int(share * n)`` highest scores.
 
-    Equal scores rank by key, then month. ``k`` grows with the data, so the top is never sorted out or collected: the
-    score at the cut is found from running totals; of the rows with just that score, the key at the cut likewise; only
-    the months of that one key are ranked row by row. Each step runs when it is called and hands one row of numbers to
-    the next, where they are literals that the scan can filter by.
+    Rows without a score count neither in ``n`` nor in the top. Equal scores rank by key, then month. ``k`` grows with
+    the data, so the top is never sorted out or collected: the score at the cut is found from running totals; of the
+    rows with just that score, the key at the cut likewise; only the months of that one key are ranked row by row. The
+    steps hand each other one row of numbers as scalars, and nothing runs before the result is asked for.
     """
-    labelled = scored.select(score, key, month, F.col(label).cast("bigint").alias("hit"))
-    k = int(scored.count() * share)
-    if k == 0:
-        return scored.sparkSession.createDataFrame([(0, None)], "k bigint, precision_at_k double")
+    labelled = scored_rows(scored, score).select(score, key, month, F.col(label).cast("bigint").alias("hit"))
+    k = labelled.agg(F.floor(F.count(F.lit(1)) * F.lit(float(share))).cast("bigint").alias("k")).scalar()
     totals = {"positives": F.sum("hit"), "rows": F.count(F.lit(1))}
 
-    def cut_at(running: DataFrame, column: str, wanted: int):
+    def cut_at(running: DataFrame, column: str, wanted: Column) -> Column:
         """The first value at which ``wanted`` rows are reached, with what lies strictly before it."""
         before = (F.col("cum_positives") - F.col("positives")).alias("positives")
         rows_before = (F.col("cum_rows") - F.col("rows")).alias("rows")
         entry = F.struct(F.col(column).alias("value"), before, rows_before)
-        found = running.where(F.col("cum_rows") >= wanted).agg(F.min_by(entry, "cum_rows").alias("cut")).first()
-        if found.cut is None:
-            raise ValueError(f"fewer than {wanted} rows have a value in {column}")
-        return found.cut
-
-    by_score = cut_at(running_totals(labelled, score, totals), score, k)
-    tied = labelled.where(F.col(score) == F.lit(by_score.value))
-    left = k - by_score.rows
-    by_key = cut_at(running_totals(tied, key, totals, descending=False), key, left)
+        return running.where(F.col("cum_rows") >= wanted).agg(F.min_by(entry, "cum_rows").alias("cut")).scalar()
+
+    by_score = cut_at(running_totals(labelled, score, totals, buckets=buckets), score, k)
+    tied = labelled.where(F.col(score) == by_score["value"])
+    left = k - by_score["rows"]
+    by_key = cut_at(running_totals(tied, key, totals, descending=False, buckets=buckets), key, left)
     last_key = (
-        tied.where(F.col(key) == F.lit(by_key.value))
+        tied.where(F.col(key) == by_key["value"])
         .withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(month)))
-        .where(F.col("place") <= left - by_key.rows)
+        .where(F.col("place") <= left - by_key["rows"])
         .agg(F.sum("hit").alias("hits"))
     )
-    hits = F.coalesce(F.col("hits"), F.lit(0)) + by_score.positives + by_key.positives
-    return last_key.select(F.lit(k).cast("bigint").alias("k"), (hits.cast("double") / k).alias("precision_at_k"))
+    hits = F.coalesce(F.col("hits"), F.lit(0)) + by_score["positives"] + by_key["positives"]
+    precision = F.when(k > 0, F.try_divide(hits.cast("double"), k.cast("double")))
+    return last_key.select(k.alias("k"), precision.alias("precision_at_k"))
 
 
 def model_comparison(scored: DataFrame, scores: dict[str, str], share: float = 0.05, label: str = LABEL) -> DataFrame:

@@ -158,3 +158,38 @@ def feature_importance(models: ModelPair, frame: DataFrame) -> DataFrame:
     return frame.sparkSession.createDataFrame(pairs, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature"
     )
+
+
+def champion_gradient(
+    champion: LogisticRegressionModel,
+    train: DataFrame,
+    columns: tuple[str, ...] = MODEL_FEATURES,
+    label: str = LABEL,
+    c: float = 1.0,
+) -> DataFrame:
+    """``(feature, gradient)`` of the penalized weighted mean loss at the fit, over the training rows; 0 at the optimum."""
+    weighted = _with_weight(standardize(train, train, columns), "balanced_weight", label)
+    w = [float(x) for x in champion.coefficients]
+    logit = F.lit(float(champion.intercept))
+    for name, value in zip(columns, w):
+        logit = logit + F.col(name) * value
+    error = F.col("weight") * (1 / (1 + F.exp(-logit)) - F.col(label))
+    rows = weighted.withColumn("error", error)
+    penalty = 1.0 / c
+    sums = [((F.sum(F.col("error") * F.col(n)) + penalty * v) / F.count(F.lit(1))) for n, v in zip(columns, w)]
+    sums.append(F.sum("error") / F.count(F.lit(1)))
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), s.alias("gradient")) for n, s in zip((*columns, "intercept"), sums)])
+    return rows.agg(pairs.alias("pairs")).select(F.inline("pairs"))
+
+
+def champion_by_hand(
+    champion: LogisticRegressionModel, train: DataFrame, frame: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES
+) -> Column:
+    """The champion's score from its coefficients and the training rows' scaling, as a column over raw features."""
+    fitted = scaling(train, columns)
+    logit = F.lit(float(champion.intercept))
+    for name, value in zip(columns, champion.coefficients):
+        sd = fitted[f"sd_{name}"]
+        z = (F.col(name).cast("double") - fitted[f"mean_{name}"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
+        logit = logit + z * float(value)
+    return 1 / (1 + F.exp(-logit))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, LABEL, MONTH, Spine
 from tillwatch.operators.orphans import not_in, orphans
-from tillwatch.operators.windows import past_members
+from tillwatch.operators.rollup import daily_activity
+from tillwatch.operators.windows import future_months, month_members, past_months
 
 ON = [KEY, MONTH]
 
@@ -74,17 +75,50 @@ def leakage_guard(features: DataFrame, txns: DataFrame) -> DataFrame:
     )
 
 
-def leakage_check(
-    txns: DataFrame, sla: DataFrame, spine: Spine = Spine(), txn_width: int = 90, sla_width: int = 60
-) -> DataFrame:
-    """Window members dated after their month end, over payments and service events; right windows have none."""
+def window_bounds(members: DataFrame, windows: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """First and last day in each window of each merchant and month, and whether they lie where they should.
+
+    ``members``: day rows at their month ends, as the features aggregate them. ``windows``: by name, the rollup column
+    that counts its events, and the least and greatest distance in days from the month end that the window is defined
+    to have. The days are picked by ``age`` as the features do it and then held against the calendar.
+    """
 
-    def late(events, ts, width, source):
-        members = past_members(events.select(KEY, F.to_date(ts).alias("day")), width, spine)
-        late_rows = members.where(F.col("day") > F.col(MONTH)).groupBy(*ON).agg(F.count(F.lit(1)).alias("late_rows"))
-        return late_rows.select(F.lit(source).alias("source"), *ON, "late_rows")
+    def bounds(name, column, low, high):
+        inside = F.when((F.col(column) > 0) & F.col("age").between(low, high), F.col("day"))
+        return [F.min(inside).alias(f"{name}_first"), F.max(inside).alias(f"{name}_last")]
+
+    totals = [x for n, w in windows.items() for x in bounds(n, *w)]
+    # months of the spine only, as in the features
+    found = members.groupBy(*ON).agg(F.max("anchor").alias("anchor"), *totals).where(F.col("anchor"))
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("window_name"),
+                F.col(f"{n}_first").alias("first_day"),
+                F.col(f"{n}_last").alias("last_day"),
+                F.date_sub(MONTH, high).alias("may_start"),
+                F.date_sub(MONTH, low).alias("may_end"),
+            )
+            for n, (_, low, high) in windows.items()
+        ]
+    )
+    each = found.select(*ON, F.inline(rows)).where(F.col("first_day").isNotNull())
+    outside = (F.col("first_day") < F.col("may_start")) | (F.col("last_day") > F.col("may_end"))
+    return each.select("window_name", *ON, "first_day", "last_day", outside.cast("int").alias("violation"))
 
-    return late(txns, "txn_ts", txn_width, "transactions").unionByName(late(sla, "event_ts", sla_width, "sla_events"))
+
+def leakage_check(txns: DataFrame, sla: DataFrame, merchants: DataFrame, spine: Spine = Spine()) -> DataFrame:
+    """``window_bounds`` of the windows that features and label use; right windows have no violation.
+
+    Past windows must end at the month end, the label's window must begin behind it. Events are reduced to days before
+    they are copied to month ends.
+    """
+    daily = daily_activity(txns, sla, txn_days=(None, spine.ahead(60)[1]), sla_days=(None, spine.ahead(60)[1]))
+    past = month_members(daily, merchants, past_months(F.col("day"), 90, spine), spine.past(90), spine)
+    ahead = month_members(daily, merchants, future_months(F.col("day"), 60, spine), spine.ahead(60), spine)
+    behind = {f"txn_{w}": ("n_txn", 0, w - 1) for w in (30, 60, 90)} | {"sla_60": ("n_sla", 0, 59)}
+    before = {"label_txn_60": ("n_txn", -60, -1), "label_sla_60": ("n_sla", -60, -1)}
+    return window_bounds(past, behind).unionByName(window_bounds(ahead, before))
 
 
 def reference_id(columns: list[str]) -> Column:

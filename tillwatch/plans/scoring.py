@@ -99,10 +99,11 @@ def score_portfolio(
 
 
 def alert_metrics(portfolio: DataFrame) -> DataFrame:
-    """Merchants, alert rate, defaults caught and their share, in one pass."""
+    """Merchants, alerts and their rate, defaults caught and their share, in one pass."""
     caught = F.count_if((F.col("alert_flag") == 1) & (F.col(LABEL) == 1))
     return portfolio.agg(
         F.countDistinct(KEY).alias("merchants_scored"),
+        F.count_if(F.col("alert_flag") == 1).alias("alerts"),
         F.avg("alert_flag").alias("alert_rate"),
         caught.alias("defaults_captured"),
         F.try_divide(caught.cast("double"), F.count_if(F.col(LABEL) == 1).cast("double")).alias("recall"),

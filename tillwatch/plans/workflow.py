@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame
 
-from tillwatch.config import LabelRule, RuleBook, Spine, SweepCosts
+from tillwatch.config import KEY, MONTH, LabelRule, RuleBook, Spine, SweepCosts
 from tillwatch.operators.rollup import daily_activity
 from tillwatch.operators.spine import month_spine
 from tillwatch.plans import marts, metrics, models, scoring
 from tillwatch.plans.features import merchant_month_features
 from tillwatch.plans.labels import default_label, forward_rates, outcomes_monthly
 from tillwatch.plans.training_set import training_frame
-from tillwatch.session import hand_off
+from tillwatch.session import HandOffs, hand_off
+from tillwatch.sources import files
 
 SCORES = {"champion": "champ_score", "challenger": "challenger_score"}
 
 
+def _by_month(df: DataFrame, out: str | None, name: str) -> DataFrame:
+    """A named table in ``out``, a folder for each month end, read back; without ``out``, a hand-off."""
+    if out is None:
+        return hand_off(df, name)
+    path = f"{out}/{name}"
+    df.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _scored(df: DataFrame, out: str | None, name: str) -> DataFrame:
+    if out is None:
+        return hand_off(df, name)
+    files.write_scored(df, f"{out}/{name}")
+    return files.read_scored(df.sparkSession, f"{out}/{name}", df.schema)
+
+
 @dataclass(frozen=True)
 class WarehouseTables:
     features: DataFrame
@@ -33,19 +51,30 @@ def build_warehouse(
     sla: DataFrame,
     spine: Spine = Spine(),
     rule: LabelRule = LabelRule(),
+    out: str | None = None,
 ) -> WarehouseTables:
-    """Features, labels, dataset and reports. The raw events are read for one rollup and once for the percentile."""
-    daily = hand_off(daily_activity(txns, sla), "daily")
-    features = hand_off(merchant_month_features(txns, sla, merchants, spine, daily=daily), "features")
-    labels = default_label(forward_rates(None, None, merchants, spine, daily=daily), rule)
-    outcomes = hand_off(outcomes_monthly(labels), "outcomes")
+    """Features, labels, dataset and reports. The raw events are read for one rollup and once for the percentile.
+
+    With ``out``, payments (by month), features and outcomes (by month end) are tables of that folder; the rollup is
+    removed when they are written.
+    """
+    with HandOffs() as stages:
+        # in the order of days, so that bounds on days skip row groups
+        rollup = daily_activity(txns, sla).repartitionByRange("day").sortWithinPartitions("day", KEY)
+        daily = stages.write(rollup, "daily")
+        table = merchant_month_features(txns, sla, merchants, spine, daily=daily)
+        features = _by_month(table, out, "merchant_month_features")
+        labels = default_label(forward_rates(None, None, merchants, spine, daily=daily), rule)
+        outcomes = _by_month(outcomes_monthly(labels), out, "outcomes_monthly")
+    if out is not None:
+        files.save_transactions(txns, f"{out}/transactions")
     months = month_spine(merchants, spine)
     return WarehouseTables(
         features,
         outcomes,
         marts.model_dataset(features, outcomes),
         marts.portfolio_overview(months, features, outcomes),
-        marts.risk_queue_mart(months, features, outcomes),
+        marts.risk_queue_mart(spine, features, outcomes),
     )
 
 
@@ -64,17 +93,26 @@ def run_training(
     rule: LabelRule = LabelRule(),
     last_train_month: int = 9,
     rounds: int = 100,
+    cut: date | None = None,
+    embargo_days: int = 0,
+    out: str | None = None,
 ) -> TrainingRun:
-    """Training frame, out-of-time split, both models, and the scored test months."""
-    daily = hand_off(daily_activity(txns, sla, clock="ts"), "daily-instant")
-    frame = hand_off(training_frame(txns, sla, merchants, spine, rule, daily=daily), "training")
-    split = marts.oot_split(frame, last_train_month)
-    train = marts.train_part(split)
-    pair = models.train_models(train, rounds=rounds)
-    scored = hand_off(models.score_both(pair, train, marts.test_part(split)), "scored")
+    """Training frame, out-of-time split, both models, and the scored test months.
+
+    A spine of several years needs ``cut``. With ``out``, the scored months are the table ``scored_test_set`` there.
+    """
+    with HandOffs() as stages:
+        daily = stages.write(daily_activity(txns, sla, clock="ts"), "daily-instant")
+        frame = stages.write(training_frame(txns, sla, merchants, spine, rule, daily=daily), "training")
+        split = marts.oot_split(frame, last_train_month, cut, embargo_days, spine)
+        train = marts.train_part(split)
+        pair = models.train_models(train, rounds=rounds)
+        scored = _scored(models.score_both(pair, train, marts.test_part(split)), out, "scored_test_set")
     return TrainingRun(pair, scored, metrics.model_comparison(scored, SCORES))
 
 
-def run_scoring(scored: DataFrame, book: RuleBook = RuleBook(), costs: SweepCosts = SweepCosts()) -> DataFrame:
-    """The final scored table, written out."""
-    return hand_off(scoring.score_portfolio(scored, book, costs), "portfolio")
+def run_scoring(
+    scored: DataFrame, book: RuleBook = RuleBook(), costs: SweepCosts = SweepCosts(), out: str | None = None
+) -> DataFrame:
+    """The final scored table, written out; with ``out``, as ``final_scored_portfolio`` there."""
+    return _scored(scoring.score_portfolio(scored, book, costs), out, "final_scored_portfolio")

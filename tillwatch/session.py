@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,22 +31,60 @@ def build_session(app: str = "tillwatch", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder; a private one only on a single machine without any.
+
+    The session's ``spark.checkpoint.dir`` comes first, then the folder set on the context. On a cluster, one of them
+    is needed: a driver's temporary folder is another folder on each executor.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="tillwatch-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def hand_off(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+class HandOffs:
+    """Written stages that belong together; closing removes them.
+
+    Frames read from them can't be used after that, so close when the results are written or collected.
+    """
+
+    def __init__(self):
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return hand_off(df, name, self)
+
+    def add(self, spark: SparkSession, path: str) -> None:
+        self._paths.append((spark, path))
+
+    def close(self) -> None:
+        for spark, path in self._paths:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._paths = []
+
+    def __enter__(self) -> "HandOffs":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def hand_off(df: DataFrame, name: str, owner: HandOffs | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; ``owner`` removes it when closed.
 
     Cuts the lineage in a way that survives lost executors, and unlike a row checkpoint it stays columnar, so
     later stages read only the columns they use.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tillwatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if owner is not None:
+        owner.add(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

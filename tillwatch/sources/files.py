@@ -10,35 +10,47 @@ from tillwatch.config import MONTH_PARTITION
 from tillwatch.sources import schemas
 
 
-def _load(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+def _load(spark: SparkSession, path: str, schema: T.StructType, fmt: str, validate: bool) -> DataFrame:
     if fmt == "csv":
+        # columns are found by their header, in any order; columns that aren't declared are left out
+        header = spark.read.option("header", True).csv(path).columns
+        declared = {f.name: f for f in schema.fields}
+        if lacking := [n for n in declared if n not in header]:
+            raise ValueError(f"{path} has no column {', '.join(lacking)}")
+        in_file = T.StructType([declared.get(n, T.StructField(n, T.StringType())) for n in header])
         # FAILFAST: a value that does not fit the declared type stops the load, it does not become NULL
-        return (
-            spark.read.schema(schema)
+        found = (
+            spark.read.schema(in_file)
             .option("header", True)
+            .option("enforceSchema", False)
             .option("mode", "FAILFAST")
             .option("timestampNTZFormat", "yyyy-MM-dd[ ]['T']HH:mm[:ss][.SSSSSS]")
             .csv(path)
         )
+        found = found.select(*schema.names)
+        if validate:
+            # queries convert the columns they read alone; this pass converts all, as a bulk load does
+            found.write.format("noop").mode("overwrite").save()
+        return found
     found = spark.read.format(fmt).load(path)
     partition = [MONTH_PARTITION] if MONTH_PARTITION in found.columns else []
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *partition)
 
 
-def load_merchants(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _load(spark, path, schemas.MERCHANTS, fmt)
+def load_merchants(spark: SparkSession, path: str, fmt: str = "csv", validate: bool = True) -> DataFrame:
+    return _load(spark, path, schemas.MERCHANTS, fmt, validate)
 
 
-def load_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _load(spark, path, schemas.TRANSACTIONS, fmt)
+def load_transactions(spark: SparkSession, path: str, fmt: str = "csv", validate: bool = True) -> DataFrame:
+    return _load(spark, path, schemas.TRANSACTIONS, fmt, validate)
 
 
-def load_sla_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _load(spark, path, schemas.SLA_EVENTS, fmt)
+def load_sla_events(spark: SparkSession, path: str, fmt: str = "csv", validate: bool = True) -> DataFrame:
+    return _load(spark, path, schemas.SLA_EVENTS, fmt, validate)
 
 
-def load_outcomes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _load(spark, path, schemas.OUTCOMES, fmt)
+def load_outcomes(spark: SparkSession, path: str, fmt: str = "parquet", validate: bool = True) -> DataFrame:
+    return _load(spark, path, schemas.OUTCOMES, fmt, validate)
 
 
 def save_transactions(txns: DataFrame, path: str, mode: str = "errorifexists") -> None:

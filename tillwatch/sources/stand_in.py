@@ -22,6 +22,8 @@ RULE_BOOK = RuleBook(txn_count=9)
 GRID_CHARGEBACK = (0.10, 0.12, 0.15, 0.18, 0.20)
 GRID_FRAUD = (0.12, 0.15, 0.18, 0.20, 0.25)
 AS_OF = "2001-06-01 00:00:00"
+# Month ends up to here train, later ones test.
+CUT = date(2000, 9, 30)
 
 
 @dataclass(frozen=True)
