@@ -149,7 +149,8 @@ def quality_rules(
     """doc_id, the counts, base_failed, llr (score), threshold and kept for each row of ``docs``."""
     trusted = trusted_ids(labels).withColumn("trusted", F.lit(True))
     slim = id_and_text(docs)
-    marked = slim.join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # labels grow with the documents, so they are never broadcast
+    marked = slim.join(trusted.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     ratio = ratios(*bucket_counts(marked, buckets))
     table = hand_off(scored(slim, ratio, min_words, max_repeat), "ngram-scores")
     # scores by thousandths: a few ten thousand values, as ratios are bounded by the logarithms of the counts
