@@ -217,7 +217,8 @@ _PORTFOLIO = [
 _WINDOW = [*training_set.WINDOW_COLUMNS]
 
 
-def _catalog() -> dict[str, Callable[[Tables], DataFrame]]:
+def catalog() -> dict[str, Callable[[Tables], DataFrame]]:
+    """The queries over payment tables, as functions of the tables of a directory."""
     f, lb, q, s = features, labels, quality, scoring
     return {
         # sources and sinks
@@ -338,7 +339,7 @@ def queries() -> dict[str, Query]:
     def bind(make: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, folder: six_decimals(make(Tables(spark, folder)))
 
-    return {name: bind(make) for name, make in _catalog().items()} | (corpus.QUERIES if corpus else {})
+    return {name: bind(make) for name, make in catalog().items()} | (corpus.QUERIES if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:

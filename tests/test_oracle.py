@@ -6,9 +6,10 @@ import __spark_entry__ as entry
 from checks.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
-SLOW = {"challenger_gbt", "feature_importance", "score_both", "model_comparison"}
+# the library's own queries; those over document tables have tests of their own
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry.catalog()}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
+SLOW = {"challenger_gbt", "feature_importance", "score_both", "model_comparison_fitted"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

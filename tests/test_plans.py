@@ -5,7 +5,13 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-RELATIONAL = sorted(set(entry.oracle_sql()) - {"csv_roundtrip", "src_merchants", "src_transactions", "src_sla_events"})
+WRITING = {"csv_roundtrip", "src_merchants", "src_transactions", "src_sla_events"}
+RELATIONAL = sorted((set(entry.oracle_sql()) & set(entry.catalog())) - WRITING)
+# reports and checks that read no percentile
+PLAIN = (
+    "mom_trends", "z_score_fraud", "interactions", "dq_leakage_guard", "data_exceptions", "dq_summary",
+    "mart_portfolio_overview", "mart_risk_queue",
+)
 
 
 def _plan(df):
@@ -19,6 +25,21 @@ def test_no_products_and_no_python(spark, name):
         assert banned not in plan
 
 
+@pytest.mark.parametrize("name", PLAIN)
+def test_no_percentile_where_none_is_read(spark, name):
+    assert "band" not in _plan(entry.queries()[name](spark, FOLDER))
+
+
+def test_percentile_is_banded_where_it_is_read(spark):
+    assert "band" in _plan(entry.queries()["merchant_month_features"](spark, FOLDER))
+
+
+def test_queue_sees_two_months(spark):
+    """Day rows are copied to the last two month ends at most; older ones count into the first of them."""
+    plan = _plan(entry.queries()["mart_risk_queue"](spark, FOLDER))
+    assert "1995-01" not in plan and "2001-11-01" in plan
+
+
 def test_percentile_reads_payments_once(spark):
     from tillwatch.plans import features
     from tillwatch.sources import stand_in as fx

@@ -122,9 +122,12 @@ def precision_at(
 def model_comparison(scored: DataFrame, scores: dict[str, str], share: float = 0.05, label: str = LABEL) -> DataFrame:
     """One row per model: both areas and the precision at the top share."""
     rows = [
-        areas(scored, column, label)
-        .select(F.lit(model).alias("model"), "pr_auc", "roc_auc")
-        .join(precision_at(scored, column, share, label).select(F.lit(model).alias("model"), "precision_at_k"), "model")
+        areas(scored, column, label).select(
+            F.lit(model).alias("model"),
+            "pr_auc",
+            "roc_auc",
+            precision_at(scored, column, share, label).select("precision_at_k").scalar().alias("precision_at_k"),
+        )
         for model, column in scores.items()
     ]
     return reduce(DataFrame.unionByName, rows)
