@@ -61,10 +61,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids and round_trip: whether the ids decode to the text."""
-    decoded = suffix_pieces.decode(suffix_pieces.encode(docs, PIECES), PIECES)
-    same = (F.col("text") == F.col("decoded")).alias("round_trip")
-    return decoded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same)
+    """doc_id, n_pieces, ids_crc32, round_trip (whether the ids decode to the text) and ids."""
+    return suffix_pieces.round_trips(docs, PIECES)
 
 
 STAGES = [

@@ -36,6 +36,9 @@ def test_piece_columns(spark, odd, none):
     got = suffix_pieces.decode(suffix_pieces.encode(odd, PIECE), PIECE).collect()
     assert len(got) == odd.count() and all(r.decoded == r.text for r in got)
     assert suffix_pieces.encode(none, PIECE).count() == 0
+    trips = {r.doc_id: r for r in suffix_pieces.round_trips(odd, PIECE).collect()}
+    assert all(r.round_trip and r.n_pieces == len(r.ids) == len(e.ids) for e in got for r in [trips[e.doc_id]] if e.doc_id != 4)
+    assert trips[9].ids_crc32 == zlib.crc32(np.array(trips[9].ids, "<u4")) and suffix_pieces.round_trips(none, PIECE).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [259])], "doc_id long, ids array<int>")
     assert sorted((r.doc_id, r.decoded) for r in suffix_pieces.decode(nulls, PIECE).collect())[0] == (1, "")
 

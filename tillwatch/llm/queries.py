@@ -78,7 +78,7 @@ def op9_overlap_resync_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_lsh_forest_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of five-word shingles are 85 % alike."""
-    return lsh_forest.near_groups(_table(spark, folder, "documents"), percent=85)
+    return lsh_forest.near_groups(_table(spark, folder, "documents"), percent=85).drop("set_digest")
 
 
 QUERIES: dict[str, Query] = {

@@ -32,7 +32,7 @@ from tillwatch.llm.texts import Runs, crc32, distinct_words, id_and_text, map_ba
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: characters of units that one suffix array indexes, unless one unit is longer
-INDEXED = 1 << 20
+INDEXED = 1 << 18
 #: units longer than this are relaxed by a heap
 LONG_UNIT = 256
 #: texts that the plain cut at single spaces and line feeds doesn't fit
@@ -284,8 +284,8 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
         pieces = Pieces.of(model)
         for batch in batches:
             lists = pc.fill_null(batch.column("ids_"), pa.scalar([], pa.list_(pa.int32())))
-            flat, cut = lists.flatten().to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            texts = [pieces.decode(flat[a:b]) for a, b in zip(cut, cut[1:])]
+            flat, cut = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            texts = [pieces.decode(flat[a:b].tolist()) for a, b in zip(cut, cut[1:])]
             rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "ids_"]
             yield pa.RecordBatch.from_arrays([*rest, batch.column("ids_"), pa.array(texts, pa.string())], names)
 
@@ -296,16 +296,25 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return map_batches(shaped, run, ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, ids_col]) + ", decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoded equals the text)."""
+def round_trips(docs: DataFrame, model: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip and, if wanted, ids.
+
+    Encoding and decoding in one pass: ids go from one to the other inside a task, a bounded slice of texts at a time.
+    ``round_trip`` says whether the ids decode to the text.
+    """
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, cut = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            crc = pa.array([crc32(flat[a:b]) for a, b in zip(cut, cut[1:])], pa.int64())
-            columns = [batch.column("doc_id"), pa.array(np.diff(cut).astype(np.int64)), crc, batch.column("same")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
-
-    slim = decoded.select("doc_id", "ids", (F.col("text") == F.col("decoded")).alias("same"))
-    return map_batches(slim, run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+        pieces = Pieces.of(model)
+        for batch in steps(batches):
+            ids, ends = pieces.encode(batch.column("text"))
+            cut = np.concatenate([[0], ends]).astype(np.int64)
+            parts = [ids[a:b] for a, b in zip(cut, cut[1:])]
+            same = [pieces.decode(p.tolist()) == t for p, t in zip(parts, batch.column("text").to_pylist())]
+            columns = [batch.column("doc_id"), pa.array(np.diff(cut)), pa.array([crc32(p) for p in parts], pa.int64()), pa.array(same, pa.bool_())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "n_pieces", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
+    schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    return map_batches(id_and_text(docs, id_col, text_col), run, schema)
