@@ -41,8 +41,7 @@ def op2_merkle_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_suffix_array_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of each document as a digest, and whether they decode to its text."""
-    encoded = suffix_pieces.encode(_table(spark, folder, "documents"), PIECE_BPE)
-    return suffix_pieces.digests(suffix_pieces.decode(encoded, PIECE_BPE))
+    return suffix_pieces.round_trips(_table(spark, folder, "documents"), PIECE_BPE, with_ids=False)
 
 
 def op4_fuse_filter_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +133,36 @@ WITH p AS (
 SELECT shard, "offset", page_id, 'changed' AS kind, size_a, size_b, sha_a, sha_b FROM m WHERE sha_a <> sha_b
 """
 
+NEAR_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'
+    ), lambda x: x <> '') AS words
+    FROM documents
+), p AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), f AS (
+    SELECT doc_id, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d, lead(word, 4) OVER o AS e
+    FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+    SELECT DISTINCT doc_id, concat_ws(' ', word, b, c, d, e) AS s FROM f WHERE e IS NOT NULL
+    UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4
+), e AS (
+    SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM g
+), l AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+    SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.seen = l.x
+), c AS (
+    SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(t.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) t USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_merkle_fixity_audit": AUDIT_SQL,
     "op4_fuse_filter_dedup": EXACT_SQL,
+    "op10_lsh_forest_groups": NEAR_SQL,
 }
