@@ -110,3 +110,32 @@ def test_null_merchants_and_null_flags(make, spark):
     )
     row = features.txn_features_30d(txns, make.merchants("a"), SPINE).where("month_end = '2024-01-31'").first()
     assert (row.txn_count_30d, row.fraud_rate_30d, row.decline_rate_30d, row.gmv_30d) == (2, 1.0, 0.0, 10.0)
+
+
+def test_decline_spike_of_dates_cut_by_a_window(make):
+    """A date counts with the part of it that the window holds: midnight alone at one edge, the rest alone at the other."""
+    import random
+
+    from tillwatch.operators.windows import transaction_windows
+
+    rng, rows = random.Random(4), []
+    for day in range(130):
+        for clock_time in ("00:00", "00:00", "00:00", "09:00", "21:30"):
+            if rng.random() < 0.7:
+                stamp = datetime(2023, 11, 20) + timedelta(days=day)
+                rows.append((stamp.replace(hour=int(clock_time[:2]), minute=int(clock_time[3:])), rng.random() < 0.4))
+    txns = make.txns(*[("a", f"{t:%Y-%m-%d %H:%M}", "1.00", "DECLINED" if d else "APPROVED", 0, 0) for t, d in rows])
+    daily = daily_activity(txns, clock="ts")
+    months = past_months(F.col("day"), 90, SPINE)
+    members = month_members(daily, make.merchants("a"), months, SPINE.past(90), SPINE, halves=True)
+    found = {r.month_end: (r.spike_1, r.spike_30, r.spike_90) for r in transaction_windows(members, (1, 30, 90), split_days=True).collect()}
+    for end in ENDS:
+        midnight, spikes = datetime(end.year, end.month, end.day), []
+        for width in (1, 30, 90):
+            by_date = {}
+            for t, declined in rows:
+                if midnight - timedelta(days=width) < t <= midnight:
+                    by_date.setdefault(t.date(), []).append(declined)
+            shares = [sum(x) / len(x) for x in by_date.values() if len(x) >= 3]
+            spikes.append(max(shares) if shares else None)
+        assert found[end] == pytest.approx(tuple(spikes))

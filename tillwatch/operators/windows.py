@@ -7,7 +7,7 @@ all windows become one grouped aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, MONTH, Days, Spine
@@ -66,6 +66,7 @@ def month_members(
     spine: Spine,
     at_month: DataFrame | None = None,
     key: str = KEY,
+    halves: bool = False,
 ) -> DataFrame:
     """Day rows, one anchor row per spine month, and optional ready-made merchant-month columns, side by side.
 
@@ -76,6 +77,10 @@ def month_members(
     ``months`` gives the month starts of a day row, ``days`` the first and last day that can have any (pushed down to
     the scan of a written rollup). ``at_month`` has key, month end and further columns. ``age`` is the number of days
     from a day row to the month end, NULL on the other rows.
+
+    Under the instant clock a calendar date is two rows at most: midnight, and the rest of the date a day later.
+    ``halves`` tells each of the other, before rows are copied: ``midnight_txn`` and ``midnight_declined`` on the rest,
+    ``has_rest`` on midnight.
     """
     anchors = entities.select(key, F.lit(True).alias("anchor"))
     for bound, side in zip(days, (">=", "<=")):
@@ -88,7 +93,18 @@ def month_members(
         months = F.when(F.col("ready_month").isNotNull(), F.array("ready_month")).otherwise(months)
     spine_months = month_starts(F.lit(spine.first), F.lit(spine.last))
     months = F.when(F.col("anchor"), spine_months).otherwise(months)
-    return _at_month_ends(rows.repartition(key), months, "day").withColumn(
+    rows = rows.repartition(key)
+    if halves:
+        in_order = Window.partitionBy(key).orderBy("date", "day")
+        before = (F.lag("date").over(in_order) == F.col("date")) & (F.col("day") > F.col("date"))
+        rows = rows.withColumns(
+            {
+                "midnight_txn": F.when(before, F.lag("n_txn").over(in_order)).otherwise(F.lit(0)),
+                "midnight_declined": F.when(before, F.lag("declined").over(in_order)).otherwise(F.lit(0)),
+                "has_rest": F.coalesce(F.lead("date").over(in_order) == F.col("date"), F.lit(False)),
+            }
+        )
+    return _at_month_ends(rows, months, "day").withColumn(
         "is_new", F.col(MONTH) == F.greatest(F.last_day("day"), F.lit(spine.first_end))
     )
 
@@ -136,13 +152,13 @@ def transaction_windows(
     """Window totals per (key, month end) of the spine for every width; columns are suffixed ``_<width>``.
 
     ``new_*`` columns are the totals of the days that the month end is the first one to see. ``split_days`` says that
-    one calendar date may be spread over two rows, as under the instant clock; the decline share of a day is then
-    taken over all its payments, known status or not. ``extra`` are further aggregates of the same groups.
+    one calendar date may be spread over two rows, as under the instant clock (``members`` come with ``halves``); the
+    decline share of a day is then taken over all its payments in the window, known status or not. ``extra`` are further aggregates of the same groups.
 
     Deviations are merged by ``sum of (m2 + n * (mean of day - mean of window)^2)``: sums of terms that are never
     negative, so no digits cancel. That takes the window means first, all of them in one window operator.
     """
-    by, one_date = f"OVER (PARTITION BY {key}, {MONTH})", f"OVER (PARTITION BY {key}, {MONTH}, date)"
+    by = f"OVER (PARTITION BY {key}, {MONTH})"
     means, per_day, totals = {}, {}, {}
     for w in widths:
         for money in ("approved", "cents"):
@@ -152,11 +168,13 @@ def transaction_windows(
             per_day[f"dev_{money}_{w}"] = f"CASE WHEN n_{money} > 0 THEN m2_{money} + n_{money} * power({shift}, 2) END"
         txns, declined, known = "n_txn", "declined", "n_status"
         if split_days:
-            means[f"day_txns_{w}"] = f"sum({_in(w, 'n_txn')}) {one_date}"
-            means[f"day_declined_{w}"] = f"sum({_in(w, 'declined')}) {one_date}"
-            txns, declined, known = f"day_txns_{w}", f"day_declined_{w}", f"day_txns_{w}"
+            # the rest of a date speaks for both halves, as far as midnight is inside the window, too; midnight
+            # speaks for itself where the rest is behind the window
+            whole = "CASE WHEN day > date THEN {0} + CASE WHEN age <= {1} THEN {2} ELSE 0 END WHEN has_rest AND age >= 1 THEN NULL ELSE {0} END"
+            txns, declined = whole.format("n_txn", w - 2, "midnight_txn"), whole.format("declined", w - 2, "midnight_declined")
+            known = txns
         share = f"try_divide(double({declined}), double({known}))"
-        per_day[f"spike_{w}"] = f"CASE WHEN {txns} >= {busy_day} THEN {share} END"
+        per_day[f"spike_{w}"] = f"CASE WHEN ({txns}) >= {busy_day} THEN {share} END"
 
         sla = _SLA_TOTALS if "n_sla" in members.columns else ()
         totals |= {f"{name}_{w}": _total(name, _past(w)) for name in (*_TXN_TOTALS, *sla)}

@@ -109,7 +109,7 @@ def ts_window_features(txns: DataFrame, merchants: DataFrame, spine: Spine = Spi
     """60-day, 90-day and all-time features with instant bounds; NULL where a window is empty."""
     daily = daily_activity(txns, txn_days=spine.history(), clock="ts")
     months = past_months(F.col("day"), 90, spine, history=True)
-    members = month_members(daily, merchants, months, spine.history(), spine)
+    members = month_members(daily, merchants, months, spine.history(), spine, halves=True)
     return transaction_windows(members, (60, 90), split_days=True).select(*ON, *_window_columns())
 
 
@@ -141,7 +141,7 @@ def training_frame(
     daily = _instant_rollup(txns, sla) if daily is None else daily
     ahead, back = 60, 90
     months = all_months(F.col("day"), back, ahead, spine)
-    members = month_members(daily, merchants, months, spine.history(ahead), spine)
+    members = month_members(daily, merchants, months, spine.history(ahead), spine, halves=True)
     in_month = (F.last_day("date") == F.col(MONTH)) & _seen_by_calendar(as_written)
     totals = (*_month_totals(_CALENDAR_TXN + _CALENDAR_SLA, in_month), *future_totals(SUMS, ahead))
     frame = transaction_windows(members, (60, back), split_days=True, extra=totals).select(
