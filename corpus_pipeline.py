@@ -24,22 +24,31 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 KEEP = 0.8
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts; it is fitted on these documents and the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     network, _ = quality_pu.train(docs, labels)
-    return quality_pu.with_score(docs, network, score_col="_score").where("_score >= 0.5").drop("_score")
+    score = _free(docs, "_score")
+    return quality_pu.with_score(docs, network, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     batch = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0))
     found = fuse_dedup.exact_dedup(docs, batch).where("kept")
-    wanted = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_d", F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE, ""), 256))
-    same = rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["_d"] == wanted["_sha"])
+    digest = _free(docs, "_sha")
+    wanted = found.select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct()
+    rows = docs.withColumn(digest, F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE, ""), 256))
+    same = rows["doc_id"].eqNullSafe(wanted["keep_id"]) & (rows[digest] == wanted["keep_sha"])
     # partitioned by the join already; of rows equal in id and text one is left
-    return rows.join(wanted.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "_d"]).drop("_d")
+    return rows.join(wanted.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

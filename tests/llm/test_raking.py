@@ -2,7 +2,6 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from brute import WORD
 from tillwatch.llm import raking
