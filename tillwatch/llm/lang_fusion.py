@@ -32,6 +32,8 @@ from tillwatch.llm.texts import map_batches, steps, strings
 from tillwatch.session import hand_off
 
 BUCKETS = 1 << 14
+#: bytes of text or markup that are turned into trigrams at once
+STEP = 1 << 20
 KAPPA = 8.0
 #: what isn't prose of the page
 DROPPED = re.compile(r"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -67,7 +69,7 @@ def trigram_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     def count(batches):
         totals = np.zeros((len(langs), BUCKETS), np.int64)
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             bucket, text = trigram_buckets(_one_line(batch.column("text")))
             of = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
             totals += np.bincount(of[text] * BUCKETS + bucket, minlength=totals.size).reshape(totals.shape)
@@ -89,7 +91,7 @@ def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
     logs = model.astype(np.float64)
 
     def run(batches):
-        for batch in steps(batches, "html"):
+        for batch in steps(batches, "html", STEP):
             raw = batch.column("html").to_pylist()
             shown = pa.array([entities.unescape(DROPPED.sub(" ", h or "")) for h in raw], pa.string())
             bucket, text = trigram_buckets(_one_line(shown))
