@@ -7,6 +7,7 @@ any other text goes through it whole.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 
@@ -39,7 +40,8 @@ class ByteBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         # the pre-tokenizer shows bytes as characters: itself if it prints, else the next one from 256 on
-        self.as_shown = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        as_shown = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        self.as_shown = "".join(as_shown.get(b, chr(b)) for b in range(256))
         self.units, self.pretokens = Runs(self._units), {}
 
     @classmethod
@@ -50,8 +52,8 @@ class ByteBpe:
 
     def _pretoken(self, text: str) -> tuple[int, ...]:
         if (found := self.pretokens.get(text)) is None:
-            shown = text.encode().decode("latin1").translate(self.as_shown)
-            found = tuple(t.id for t in self.model.tokenize(shown))
+            shown = codecs.charmap_decode(text.encode(), "strict", self.as_shown)[0]
+            found = tuple([t.id for t in self.model.tokenize(shown)])
             if len(self.pretokens) > 300_000:
                 self.pretokens.clear()
             self.pretokens[text] = found
