@@ -20,8 +20,8 @@ from tillwatch.llm.texts import SPACE
 from tillwatch.session import hand_off
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: share of tokens that mixing is expected to keep
-KEEP = 0.8
+#: share of tokens that mixing is expected to keep: the largest at which they meet the targets without weights
+KEEP = None
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -64,7 +64,10 @@ def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by calibrated probabilities, so that tokens come near the target shares."""
+    """Documents sampled by calibrated probabilities, so that kept tokens have the target shares.
+
+    Expected shares are within ``raking.TOLERANCE``; what a draw of documents adds shrinks with their number.
+    """
     found = raking.mixed(docs, TARGETS, keep=KEEP).where("kept").select("doc_id")
     return _kept(docs, found)
 

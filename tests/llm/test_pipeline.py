@@ -39,3 +39,15 @@ def test_odd_rows(spark, odd, none):
     assert len(left) == len({brute.SPACE.sub("", t or "") for t in brute.ODD_TEXTS})
     assert corpus_pipeline.exact(spark, odd, labels).columns == odd.columns
     assert corpus_pipeline.near(spark, odd.where(F.col("doc_id") != 100), labels).columns == odd.columns
+
+
+def test_mixing_meets_the_targets_with_a_hot_source(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
+    left = corpus_pipeline.mixing(spark, docs, FOLDER)
+    topic, n = raking.surface_topic(F.coalesce("text", F.lit(""))), F.sum(raking.word_count(F.col("text")))
+    for axis, column in zip(raking.AXES, (F.col("source"), F.col("lang"), topic)):
+        kept = {r[0]: r[1] for r in left.groupBy(column).agg(n).collect()}
+        total = sum(kept.values())
+        # half a percentage point by the derived share of tokens, the rest by the draw of some thousand documents
+        assert all(abs(kept[v] / total - t) < 0.02 for v, t in raking.TARGETS[axis].items()), (axis, kept)

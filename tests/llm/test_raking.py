@@ -82,3 +82,21 @@ def test_calibration_fills_up_cells():
     tokens = np.array([100.0, 10.0, 0.0])
     p = raking.calibrate(tokens, np.array([0.5, 0.5, 0.0]), 0.5)
     assert p[1] == 1.0 and abs(100 * p[0] + 10 - 55) < 1e-9
+
+
+def test_largest_keep_within_the_tolerance():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        tokens = rng.integers(0, 1000, (4, 3, 2)).astype(float) ** 2
+        shares = raking.rake(tokens, [np.full(n, 1 / n) for n in tokens.shape])
+
+        def worst(keep):
+            kept = tokens * raking.calibrate(tokens, shares, keep)
+            off = [(1, 2), (0, 2), (0, 1)]
+            return max(np.abs(kept.sum(o) / kept.sum() - shares.sum(o)).max() for o in off)
+
+        keep = raking.reachable_keep(tokens, shares, 0.01)
+        assert 0 < keep <= 1 and worst(keep) <= 0.01 + 1e-9
+        assert all(worst(k) > 0.01 for k in np.linspace(keep, 1, 200)[1:])
+    assert raking.reachable_keep(tokens, tokens / tokens.sum()) == 1.0
+    assert raking.reachable_keep(np.zeros((2, 2, 2)), np.zeros((2, 2, 2))) == 1.0

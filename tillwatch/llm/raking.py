@@ -9,7 +9,9 @@ names it; null values are "other".
 A document's probability is that of its cell: the raked share of tokens against the natural one, times a factor that
 makes the expected tokens ``keep`` times all tokens. Where that exceeds 1 the probability is 1, the factor is raised for
 the rest, and ``weight`` carries what sampling can't: over sampled documents, tokens times ``weight`` have the target
-marginals in expectation. The draw is a digest of seed and ``doc_id`` (of the text where the id is null), so it depends
+marginals in expectation. Without a ``keep``, the largest one is taken at which no weight is needed: every marginal of
+the expected kept tokens is within ``TOLERANCE`` of all tokens of the raked one, which is the target wherever the cells
+that have tokens can meet it. The draw is a digest of seed and ``doc_id`` (of the text where the id is null), so it depends
 neither on partitions nor on order, and repeated rows share it.
 
 Defined results: null texts have no tokens and the probability of their cell, or ``keep`` if the cell has no tokens;
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from tillwatch.session import hand_off
 
 OTHER = "other"
+#: share of all tokens by which a marginal may miss its raked value where ``keep`` is derived
+TOLERANCE = 0.005
 AXES = ("source", "lang", "topic")
 #: shares of tokens that the registered query and the pipeline mix to
 TARGETS = {
@@ -96,6 +100,36 @@ def calibrate(tokens: np.ndarray, shares: np.ndarray, keep: float) -> np.ndarray
     return np.where(tokens > 0, probability, min(keep, 1.0))
 
 
+def reachable_keep(tokens: np.ndarray, shares: np.ndarray, tolerance: float = TOLERANCE) -> float:
+    """The largest ``keep`` at which each marginal of the expected kept tokens is within ``tolerance`` of that of ``shares``.
+
+    While the factor of ``calibrate`` grows, cells reach probability 1 one after another. Between two of these points
+    kept tokens are linear in the factor, so the last factor within the tolerance is found exactly.
+    """
+    total = tokens.sum()
+    ratio = np.divide(shares * total, tokens, out=np.zeros(tokens.shape), where=tokens > 0)
+    open_ = ratio > 0
+    if not open_.any():
+        return 1.0
+    n, r, part = tokens[open_], ratio[open_], shares[open_]
+    where = np.nonzero(open_)
+    member = np.concatenate([np.equal.outer(np.arange(size), at) for size, at in zip(tokens.shape, where)]).astype(float)
+    target = member @ part / part.sum()
+    with np.errstate(over="ignore"):
+        kept = n * np.minimum(np.unique(1 / r)[:, None] * r, 1.0)
+    sums = kept.sum(1)
+    gap = kept @ member.T - sums[:, None] * target
+    excess = np.concatenate([gap, -gap], 1) - tolerance * sums[:, None]
+    for low, high, a, b in zip(excess[-2::-1], excess[:0:-1], sums[-2::-1], sums[:0:-1]):
+        if ((low > 0) & (high > 0)).any():
+            continue
+        cross = np.divide(low, low - high, out=np.zeros(low.shape), where=low != high)
+        upper = cross[high > 0].min(initial=1.0)
+        if cross[(low > 0)].max(initial=0.0) <= upper:
+            return float((a + upper * (b - a)) / total)
+    return float(sums[0] / total)
+
+
 def _class(value: Column, names: list[str]) -> Column:
     return F.when(value.isin(names), value).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
 
@@ -103,7 +137,7 @@ def _class(value: Column, names: list[str]) -> Column:
 def mixed(
     docs: DataFrame,
     targets: dict[str, dict[str, float]],
-    keep: float,
+    keep: float | None,
     seed: str = "mix",
     topic: Column | None = None,
     tokens: Column | None = None,
@@ -114,7 +148,8 @@ def mixed(
 ) -> DataFrame:
     """doc_id, source, lang, topic (as classes), n_tokens, probability, weight, kept for each row.
 
-    ``targets``: for each of ``source``, ``lang`` and ``topic`` the wanted share of tokens by value.
+    ``targets``: for each of ``source``, ``lang`` and ``topic`` the wanted share of tokens by value. ``keep``: the share
+    of tokens expected to stay; None for the largest at which the kept ones have the marginals without weights.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     names = {axis: [n for n in targets.get(axis, {}) if n != OTHER] for axis in AXES}
@@ -143,6 +178,8 @@ def mixed(
             named[-1] = natural[-1]
         wanted.append(named)
     shares = rake(counted, wanted)
+    if keep is None:
+        keep = reachable_keep(counted, shares)
     chance = calibrate(counted, shares, keep)
     total = counted.sum()
     ratio = np.divide(shares * total, counted, out=np.zeros(counted.shape), where=counted > 0)
