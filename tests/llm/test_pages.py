@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from checks.compare import connect, differences
@@ -70,3 +72,14 @@ def test_evidence_decides_what_the_text_leaves_open(spark):
     assert all(by[i].lang == "de" and by[100 + i].lang == "en" for i in range(30))
     assert lang_fusion.page_languages(pages.limit(0), docs).count() == 0
     assert {r.lang for r in lang_fusion.page_languages(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_every_language_of_the_documents_is_a_candidate(spark):
+    word = lambda i, j: hashlib.md5(f"{i} {j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    text = [" ".join(word(i, j) for j in range(6)) for i in range(lang_fusion.BLOCK + 44)]
+    docs = [(t, f"l{i:03}") for i, t in enumerate(text) for _ in range(1 + (i < 64))]
+    docs = spark.createDataFrame(docs, "text string, lang string")
+    pages = [(i, f"http://h{i}.example.com/", f"<p>{t}</p>") for i, t in enumerate(text)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = lang_fusion.page_languages(pages, docs).collect()
+    assert len(got) == len(text) and all(r.lang == r.text_lang == f"l{r.page_id:03}" for r in got)
