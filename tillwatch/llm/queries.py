@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tillwatch.llm import (
-    fuse_dedup, lang_fusion, lsh_forest, ngram_rules, quality_pu, raking, resync, suffix_pieces, warc_merkle, wavelet,
+    fuse_dedup, lang_fusion, lsh_forest, ngram_rules, quality_pu, raking, rendezvous, resync, spelling, suffix_pieces,
+    token_links, warc_merkle, wavelet,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,21 @@ def op10_lsh_forest_groups(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_groups(_table(spark, folder, "documents"), percent=85).drop("set_digest")
 
 
+def op11_incidence_token_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers for each document."""
+    return token_links.aligned(_table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op12_composed_spelling_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, their near words and the form that each belongs to."""
+    return spelling.spelling_forms(_table(spark, folder, "documents"))
+
+
+def op13_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of each document in eight shards of equal weight, and its shard among nine."""
+    return rendezvous.shards(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_positive_unlabelled_quality": op1_positive_unlabelled_quality,
     "op2_merkle_fixity_audit": op2_merkle_fixity_audit,
@@ -91,6 +107,9 @@ QUERIES: dict[str, Query] = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_overlap_resync_counts": op9_overlap_resync_counts,
     "op10_lsh_forest_groups": op10_lsh_forest_groups,
+    "op11_incidence_token_links": op11_incidence_token_links,
+    "op12_composed_spelling_forms": op12_composed_spelling_forms,
+    "op13_rendezvous_shards": op13_rendezvous_shards,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -161,8 +180,85 @@ SELECT doc_id, coalesce(t.n, 0) AS n_shingles, component_id, doc_id = component_
 FROM c LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) t USING (doc_id)
 """
 
+#: crc32 by a table of its 256 steps, over lists of bytes
+CRC_SQL = """steps AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+)"""
+
+
+def _crc(data: str) -> str:
+    """SQL for the unsigned crc32 of a list of bytes; ``step`` is in scope."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}::BIGINT[]), "
+        "lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+FORMS_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents
+), distinct_runs AS (
+    SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), digests AS (
+    SELECT run, n, {_crc("""flatten(list_transform(
+        string_split(concat(doc_id, ':', run), ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))""")} AS h
+    FROM distinct_runs, steps
+), results AS (
+    SELECT CASE WHEN h % 199 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n
+    FROM digests
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+    SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS rest
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+    UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+    FROM near GROUP BY word
+), forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form,
+        CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)
+), chains AS (
+    SELECT word, word AS at, 0 AS k FROM forms
+    UNION ALL SELECT c.word, f.form, k + 1 FROM chains c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, (SELECT arg_max(c.at, c.k) FROM chains c WHERE c.word = f.word) AS root, f.n, f.n_near, f.form_n FROM forms f
+"""
+
+
+def _draws(shards: int) -> str:
+    """SQL for the shard of the shortest race among equal weights: the one of the largest draw, the lowest among equals."""
+    return (
+        f"list_reduce(list_transform(range({shards}), lambda s: {{'d': ('0x' || left(md5(concat(doc_id, '|', s)), 12))::BIGINT, 's': s}}), "
+        "lambda x, y: CASE WHEN y.d > x.d THEN y ELSE x END).s"
+    )
+
+
+SHARDS_SQL = f"""
+WITH {CRC_SQL}, sized AS (
+    SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS data
+    FROM documents
+), races AS (
+    SELECT *, {_draws(8)} AS shard, {_draws(9)} AS grown_shard FROM sized
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(grown_shard AS INTEGER) AS grown_shard,
+    row_number() OVER (PARTITION BY shard ORDER BY left(md5(concat(doc_id, '|', size, '|', text_crc32)), 15), doc_id) - 1 AS slot
+FROM (SELECT *, {_crc("data")} AS text_crc32 FROM races, steps)
+"""
+
 SQL: dict[str, str] = {
     "op2_merkle_fixity_audit": AUDIT_SQL,
     "op4_fuse_filter_dedup": EXACT_SQL,
     "op10_lsh_forest_groups": NEAR_SQL,
+    "op12_composed_spelling_forms": FORMS_SQL,
+    "op13_rendezvous_shards": SHARDS_SQL,
 }
