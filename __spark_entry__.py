@@ -29,11 +29,9 @@ ON = ["merchant_id", "month_end"]
 SCORES = {"champion": "champ_score", "challenger": "challenger_score"}
 Query = Callable[[SparkSession, str], DataFrame]
 
-try:
+try:  # the package for document tables, or a library that only it needs, may be missing
     from tillwatch.llm import queries as corpus
-except ModuleNotFoundError as missing:  # the package for document tables may be left out as a whole
-    if missing.name not in ("tillwatch.llm", "tillwatch.llm.queries"):
-        raise
+except ImportError:
     corpus = None
 
 
@@ -147,9 +145,10 @@ class Tables:
         return scoring.score_portfolio(self.scored(), fx.RULE_BOOK)
 
     def models(self) -> models.ModelPair:
-        return models.ModelPair(
-            self.champion(), self._once("challenger", lambda: models.train_challenger(self.train()))
-        )
+        return models.ModelPair(self.champion(), self.challenger())
+
+    def challenger(self):
+        return self._once("challenger", lambda: models.train_challenger(self.train()))
 
     def champion(self):
         return self._once("champion", lambda: models.train_champion(self.train()))
@@ -305,6 +304,8 @@ def catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "challenger_gbt_range": lambda t: t.model_scored().select(
             *ON, LABEL, F.col("challenger_score").between(0, 1).alias("in_range")
         ),
+        "challenger_first_tree": lambda t: models.challenger_nodes(t.challenger(), t.training(), rounds=1).drop("tree"),
+        "challenger_first_scores": lambda t: models.first_round_scores(t.challenger(), t.test()).select(*ON, "first_score"),
         "feature_importance_total": lambda t: models.feature_importance(t.models(), t.training()).agg(
             F.count_if(F.col("importance") >= 0).alias("features"), F.sum("importance").alias("total")
         ),

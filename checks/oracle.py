@@ -33,7 +33,7 @@ def _linear(name: str) -> str:
     terms = f"CAST({intercept} AS DOUBLE)"
     for column, weight in weights.items():
         terms += f" + CAST({weight} AS DOUBLE) * CAST({column} AS DOUBLE)"
-    return f"1e0 / (1e0 + exp(-({terms})))"
+    return f"round(1e0 / (1e0 + exp(-({terms}))), 9)"
 
 
 def _ago(days: int, ts: str = "p.txn_ts") -> str:
@@ -294,6 +294,50 @@ def _needed(text: str, seen: dict[str, None]) -> dict[str, None]:
     return seen
 
 
+def _tree_parts(depth: int = 4) -> dict[str, str]:
+    """The first boosted tree, level by level: every cut of every feature tried on every node by counting rows.
+
+    Before the first tree all scores are 0.5, so sums of gradients and second derivatives follow from counts: ``n0`` and
+    ``n1`` rows of either label.
+    """
+    values = ", ".join(f"{{'name': '{c}', 'place': {k}, 'v': CAST({c} AS FLOAT)}}" for k, c in enumerate(MODEL))
+    long = f"""SELECT merchant_id, month_end, default_next_60d AS y, f.name AS feature, f.place AS place, f.v AS v
+FROM (SELECT *, unnest([{values}]) AS f FROM training)"""
+    parts = {
+        "tree_rows": long,
+        "tree_cuts": """SELECT DISTINCT feature, place, unnest(quantile_disc(v, list_transform(range(1, 256), lambda i: i / 256e0))) AS cut
+FROM tree_rows WHERE month_end <= DATE '2000-09-30' GROUP BY feature, place""",
+        "tree_weight": """SELECT count(*) FILTER (default_next_60d = 0) / CAST(count(*) FILTER (default_next_60d = 1) AS DOUBLE) AS w
+FROM training WHERE month_end <= DATE '2000-09-30'""",
+        "tree_at_0": "SELECT merchant_id, month_end, default_next_60d AS y, 1 AS node FROM training",
+    }
+    gradient, second = "(0.5e0 * {0} - 0.5e0 * w * {1})", "(0.25e0 * ({0} + w * {1}))"
+    term = lambda a, b: f"{gradient.format(a, b)} * {gradient.format(a, b)} / ({second.format(a, b)} + 1)"
+    for k in range(depth):
+        parts[f"tree_sums_{k}"] = f"""SELECT node, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1
+FROM tree_at_{k} WHERE month_end <= DATE '2000-09-30' AND node >= {1 << k} GROUP BY node"""
+        parts[f"tree_best_{k}"] = f"""SELECT node, feature, cut, gain FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, place, cut) AS rank FROM (
+    SELECT node, feature, place, cut, {term('l0', 'l1')} + {term('(n0 - l0)', '(n1 - l1)')} - {term('n0', 'n1')} AS gain,
+      {second.format('l0', 'l1')} AS left_h, {second.format('(n0 - l0)', '(n1 - l1)')} AS right_h
+    FROM (SELECT a.node, c.feature, c.place, c.cut, count(*) FILTER (a.y = 0) AS l0, count(*) FILTER (a.y = 1) AS l1
+      FROM tree_at_{k} a JOIN tree_rows r USING (merchant_id, month_end) JOIN tree_cuts c ON r.feature = c.feature AND r.v < c.cut
+      WHERE a.month_end <= DATE '2000-09-30' AND a.node >= {1 << k} GROUP BY ALL)
+    JOIN tree_sums_{k} USING (node), tree_weight)
+  WHERE left_h >= 1 AND right_h >= 1 AND gain > 1e-6) WHERE rank = 1"""
+        parts[f"tree_at_{k + 1}"] = f"""SELECT a.merchant_id, a.month_end, a.y,
+  CASE WHEN b.node IS NULL THEN a.node ELSE 2 * a.node + CAST(r.v >= b.cut AS INTEGER) END AS node
+FROM tree_at_{k} a LEFT JOIN tree_best_{k} b ON a.node = b.node
+LEFT JOIN tree_rows r ON a.merchant_id = r.merchant_id AND a.month_end = r.month_end AND b.feature = r.feature"""
+    parts["tree_leaves"] = f"""SELECT node, -0.1e0 * {gradient.format('n0', 'n1')} / ({second.format('n0', 'n1')} + 1) AS value FROM (
+  SELECT node, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM tree_at_{depth}
+  WHERE month_end <= DATE '2000-09-30' GROUP BY node), tree_weight"""
+    return parts
+
+
+PARTS |= _tree_parts()
+
+
 def statement(body: str) -> str:
     names = _needed(body, {})
     parts = ",\n".join(f"{n} AS ({PARTS[n].strip()})" for n in names)
@@ -548,6 +592,13 @@ def build() -> dict[str, str]:
             f"SELECT '{c}' AS feature, 0e0 AS gradient" for c in (*MODEL, "intercept")),
         "score_both_agreement": "SELECT merchant_id, month_end, default_next_60d, true AS agrees FROM scored",
         "challenger_gbt_range": "SELECT merchant_id, month_end, default_next_60d, true AS in_range FROM scored",
+        "challenger_first_tree": pick(
+            "(" + " UNION ALL ".join(
+                f"SELECT node, feature, CAST(cut AS DOUBLE) AS cut, gain, CAST(NULL AS DOUBLE) AS value FROM tree_best_{k}" for k in range(4))
+            + " UNION ALL SELECT node, NULL, NULL, NULL, value FROM tree_leaves)", "feature", small="node", real="cut gain value"),
+        "challenger_first_scores": pick(
+            """(SELECT merchant_id, month_end, round(1e0 / (1e0 + exp(-value)), 9) AS first_score
+            FROM tree_at_4 JOIN tree_leaves USING (node) WHERE month_end > DATE '2000-09-30')""", ON, real="first_score"),
         "feature_importance_total": f"SELECT CAST({len(list(MODEL))} AS BIGINT) AS features, 1e0 AS total",
         "rule_score": pick("ruled", ON, real="rule_score"),
         "rule_reason": pick("ruled", f"{ON} rule_reason"),

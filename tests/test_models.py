@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillwatch.functions.rules import linear_score
 from tillwatch.sources import stand_in as fx
 from tillwatch.plans import marts, metrics, models
 
@@ -68,6 +69,27 @@ def test_champion_is_the_penalized_optimum(data, c):
     assert [*model.coefficients, model.intercept] == pytest.approx(list(expected), rel=2e-4, abs=2e-4)
 
 
+def test_registered_champion_is_the_optimum_to_five_decimals(spark):
+    """On the training months of the stand-in tables, against Newton's steps of a plain fit."""
+    import __spark_entry__ as entry
+
+    t = entry.Tables(spark, "/root/testdata/sf0.001")
+    rows = t.train().select(*[F.col(c).cast("double") for c in models.MODEL_FEATURES], "default_next_60d").toPandas().to_numpy()
+    x, y = rows[:, :-1], rows[:, -1]
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+    expected = _newton(z, y, np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))), 1.0)
+    champion = t.champion()
+    assert [*champion.coefficients, champion.intercept] == pytest.approx(list(expected), abs=1e-5)
+
+
+def test_scores_equal_on_paper_are_equal(spark):
+    """Two sums of the same terms in another order differ in their last bits; their scores don't."""
+    frame = spark.createDataFrame([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)], "a double, b double, c double")
+    assert frame.selectExpr("a + b + c AS x").distinct().count() == 2
+    assert frame.select(linear_score({"a": 1.0, "b": 1.0, "c": 1.0}, 0.0).alias("x")).distinct().count() == 1
+
+
 def test_challenger_learns_and_scores(data):
     _, _, frame = data
     pair = models.train_models(frame, ("x1", "x2"), rounds=5)

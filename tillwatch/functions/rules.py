@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tillwatch.config import RuleBook
 from tillwatch.functions.columns import skip_nan
 
+#: digits of a score. Equal scores are one point of a curve and one rank, so what is equal on paper has to be equal in
+#: bits: sums in another order differ behind the 15th digit, and two scores that close are one score here.
+SCORE_DIGITS = 9
+
 # Separator between the reasons of one row.
 REASON_SEPARATOR = " | "
 
@@ -45,9 +49,14 @@ def hybrid_score(model: Column, rules: Column) -> Column:
     return F.greatest(skip_nan(model), skip_nan(rules))
 
 
+def resolved(score: Column) -> Column:
+    """A score at the resolution in which scores are compared."""
+    return F.round(score, SCORE_DIGITS)
+
+
 def linear_score(weights: dict[str, float], intercept: float) -> Column:
-    """Probability of a logistic model with given coefficients."""
+    """Probability of a logistic model with given coefficients, at ``SCORE_DIGITS``."""
     total = F.lit(float(intercept))
     for name, weight in weights.items():
         total = total + F.lit(float(weight)) * F.col(name).cast("double")
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    return resolved(F.lit(1.0) / (F.lit(1.0) + F.exp(-total)))

@@ -1,18 +1,19 @@
-"""Champion (logistic regression) and challenger (boosted trees), fitted by Spark ML on distributed rows."""
+"""Champion (logistic regression, Spark ML) and challenger (second-order boosted trees), fitted on distributed rows."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.config import LABEL, MODEL_FEATURES
-
-SEED = 42
+from tillwatch.functions.rules import resolved
+from tillwatch.plans import boosting
+from tillwatch.plans.boosting import BoostedTrees
 
 
 def scaling(train: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES) -> Column:
@@ -79,8 +80,8 @@ def train_champion(
         regParam=1.0 / (c * rows),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=200,
-        tol=1e-7,
+        maxIter=500,
+        tol=1e-12,
     )
     return model.fit(_assembled(weighted, columns).select("features", label, "weight"))
 
@@ -92,28 +93,15 @@ def train_challenger(
     rounds: int = 100,
     step: float = 0.1,
     depth: int = 4,
-) -> GBTClassificationModel:
-    """Gradient-boosted trees on raw features, positives weighted by negatives per positive.
-
-    First-order boosting; a second-order library on the same settings ranks alike but gives other scores.
-    """
-    weighted = _with_weight(train, "pos_weight", label)
-    model = GBTClassifier(
-        featuresCol="features",
-        labelCol=label,
-        weightCol="weight",
-        maxIter=rounds,
-        stepSize=step,
-        maxDepth=depth,
-        seed=SEED,
-    )
-    return model.fit(_assembled(weighted, columns).select("features", label, "weight"))
+) -> BoostedTrees:
+    """Second-order boosted trees on raw features, positives weighted by negatives per positive."""
+    return boosting.fit(_with_weight(train, "pos_weight", label), columns, label, "weight", rounds, step, depth)
 
 
 @dataclass(frozen=True)
 class ModelPair:
     champion: LogisticRegressionModel
-    challenger: GBTClassificationModel
+    challenger: BoostedTrees
     columns: tuple[str, ...] = MODEL_FEATURES
 
 
@@ -121,15 +109,8 @@ def train_models(train: DataFrame, columns: tuple[str, ...] = MODEL_FEATURES, ro
     return ModelPair(train_champion(train, columns), train_challenger(train, columns, rounds=rounds), columns)
 
 
-def _probability(model, frame: DataFrame, name: str) -> DataFrame:
-    scored = model.transform(frame)
-    return scored.withColumn(name, vector_to_array("probability")[1]).drop(
-        "rawPrediction", "probability", "prediction", "features"
-    )
-
-
 def score_both(models: ModelPair, train: DataFrame, frame: DataFrame) -> DataFrame:
-    """Adds ``champ_score`` and ``challenger_score``.
+    """Adds ``champ_score`` and ``challenger_score``, at ``rules.SCORE_DIGITS``.
 
     The champion sees standardized features; they are assembled from expressions, so ``frame`` keeps its raw columns.
     """
@@ -139,8 +120,10 @@ def score_both(models: ModelPair, train: DataFrame, frame: DataFrame) -> DataFra
         sd = fitted[f"sd_{c}"]
         z[f"z_{c}"] = (F.col(c).cast("double") - fitted[f"mean_{c}"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
     scaled = frame.withColumns(z)
-    champion = _probability(models.champion, _assembled(scaled, tuple(z)), "champ_score").drop(*z)
-    return _probability(models.challenger, _assembled(champion, models.columns), "challenger_score")
+    champion = models.champion.transform(_assembled(scaled, tuple(z)))
+    champion = champion.withColumn("champ_score", resolved(vector_to_array("probability")[1]))
+    champion = champion.drop("rawPrediction", "probability", "prediction", "features", *z)
+    return champion.withColumn("challenger_score", resolved(models.challenger.score()))
 
 
 def coefficients(
@@ -153,13 +136,25 @@ def coefficients(
 
 
 def feature_importance(models: ModelPair, frame: DataFrame) -> DataFrame:
-    """``(feature, importance)`` of the challenger, highest first."""
-    pairs = [(c, float(w)) for c, w in zip(models.columns, models.challenger.featureImportances.toArray())]
+    """``(feature, importance)`` of the challenger, highest first: mean gain of a feature's splits as a share of all."""
+    pairs = list(models.challenger.importance().items())
     return frame.sparkSession.createDataFrame(pairs, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature"
     )
 
 
+def challenger_nodes(challenger: BoostedTrees, frame: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(tree, node, feature, cut, gain, value)`` of the first ``rounds`` trees; a leaf has a value, a split the rest."""
+    schema = "tree int, node int, feature string, cut double, gain double, value double"
+    return frame.sparkSession.createDataFrame(challenger.nodes(rounds), schema)
+
+
+def first_round_scores(challenger: BoostedTrees, frame: DataFrame) -> DataFrame:
+    """Adds ``first_score``, the challenger's score after its first tree."""
+    first = BoostedTrees(challenger.columns, challenger.base, challenger.trees[:1])
+    return frame.withColumn("first_score", resolved(first.score()))
+
+
 def champion_gradient(
     champion: LogisticRegressionModel,
     train: DataFrame,

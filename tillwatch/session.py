@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,15 @@ def build_session(app: str = "tillwatch", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is used from a checkout instead of being installed."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only on a single machine without any.
 
@@ -62,6 +73,11 @@ class HandOffs:
     def add(self, spark: SparkSession, path: str) -> None:
         self._paths.append((spark, path))
 
+    @property
+    def last(self) -> str:
+        """Where the stage written last lies."""
+        return self._paths[-1][1]
+
     def close(self) -> None:
         for spark, path in self._paths:
             jvm = spark.sparkContext._jvm
