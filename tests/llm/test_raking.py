@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brute import WORD
 from tillwatch.llm import raking
@@ -56,7 +57,8 @@ def test_matches_raking_of_single_documents(documents):
     for r in found:
         n, p, kept = expected[r.doc_id]
         assert r.n_tokens == n and (n == 0 or abs(r.probability - p) < 1e-5)
-        assert r.kept == kept or abs(r.probability - p) > 0
+        draw = int(hashlib.md5(f"s|{r.doc_id}".encode()).hexdigest()[:12], 16) / 16**12
+        assert n == 0 or abs(draw - p) <= 1e-5 or r.kept == kept
 
 
 def test_weighted_expectation_has_the_marginals(spark):
@@ -100,3 +102,38 @@ def test_largest_keep_within_the_tolerance():
         assert all(worst(k) > 0.01 for k in np.linspace(keep, 1, 200)[1:])
     assert raking.reachable_keep(tokens, tokens / tokens.sum()) == 1.0
     assert raking.reachable_keep(np.zeros((2, 2, 2)), np.zeros((2, 2, 2))) == 1.0
+
+
+def test_floor_and_weights_meet_what_sampling_cannot(spark):
+    """One source has a third of all rows, another almost nothing of what it should have."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    hot = F.when(F.col("doc_id") % 3 == 0, "src0").when((F.col("source") == "src5") & (F.pmod(F.xxhash64("doc_id"), F.lit(50)) != 1), "src6")
+    docs = docs.withColumn("source", hot.otherwise(F.col("source")))
+    assert raking.mixed(docs, raking.TARGETS, None).agg(F.sum(F.col("n_tokens") * F.col("kept").cast("int")) / F.sum("n_tokens")).first()[0] < 0.4
+    left = raking.sampled(docs, raking.TARGETS, None, 0.5)
+    assert left.columns == docs.columns
+    found = {r.doc_id: r.kept for r in raking.mixed(docs, raking.TARGETS, None, 0.5).collect()}
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {d for d, k in found.items() if k}
+    n = raking.word_count(F.col("text"))
+    assert left.agg(F.sum(n)).first()[0] / docs.agg(F.sum(n)).first()[0] > 0.48
+    weighted = raking.weights(left, raking.TARGETS)
+    share = n.cast("double") * F.col("weight")
+    total = weighted.agg(F.sum(share)).first()[0]
+    assert abs(total / left.agg(F.sum(n)).first()[0] - 1) < 1e-6
+    topic = raking.surface_topic(F.coalesce("text", F.lit("")))
+    for axis, column in zip(raking.AXES, (F.col("source"), F.col("lang"), topic)):
+        got = {r[0]: r[1] / total for r in weighted.groupBy(column).agg(F.sum(share)).collect()}
+        assert all(abs(got[v] - t) < 1e-6 for v, t in raking.TARGETS[axis].items()), (axis, got)
+    rows = {(r.axis, r.value): r for r in raking.marginals(docs, raking.TARGETS, None, 0.5).collect()}
+    assert abs(rows["source", "src5"].kept - 0.05) > 0.01 and abs(rows["source", "src5"].weighted - 0.05) < 1e-6
+    gone = raking.marginals(docs.where("source <> 'src5'"), raking.TARGETS, None, 0.5).where("value = 'src5'").first()
+    assert (gone.target, gone.weighted) == (0.05, 0.0)
+
+
+def test_sampled_and_weights_of_odd_rows(odd, none):
+    for keep in (1.0, None):
+        left = raking.sampled(odd, raking.TARGETS, keep, 0.5)
+        assert left.columns == odd.columns
+    assert raking.sampled(odd, raking.TARGETS, 1.0).count() == odd.count()
+    assert raking.weights(odd, raking.TARGETS, name="score").columns == [*[c for c in odd.columns if c != "score"], "score"]
+    assert raking.sampled(none, raking.TARGETS, None, 0.5).count() == 0 == raking.weights(none, raking.TARGETS).count()

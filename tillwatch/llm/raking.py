@@ -11,7 +11,10 @@ makes the expected tokens ``keep`` times all tokens. Where that exceeds 1 the pr
 the rest, and ``weight`` carries what sampling can't: over sampled documents, tokens times ``weight`` have the target
 marginals in expectation. Without a ``keep``, the largest one is taken at which no weight is needed: every marginal of
 the expected kept tokens is within ``TOLERANCE`` of all tokens of the raked one, which is the target wherever the cells
-that have tokens can meet it. The draw is a digest of seed and ``doc_id`` (of the text where the id is null), so it depends
+that have tokens can meet it. That can be a small share where one class is scarce against its target, so ``floor`` is a
+share of tokens that is kept in any case; what sampling can't reach at that floor is left to weights. ``sampled`` gives the
+kept rows themselves, ``weights`` the weight of each kept row at which tokens times weight have the target marginals, from the
+kept rows alone, and ``marginals`` what each class has, wants, and has after each of these steps. The draw is a digest of seed and ``doc_id`` (of the text where the id is null), so it depends
 neither on partitions nor on order, and repeated rows share it.
 
 Defined results: null texts have no tokens and the probability of their cell, or ``keep`` if the cell has no tokens;
@@ -134,60 +137,127 @@ def _class(value: Column, names: list[str]) -> Column:
     return F.when(value.isin(names), value).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
 
 
-def mixed(
-    docs: DataFrame,
-    targets: dict[str, dict[str, float]],
-    keep: float | None,
-    seed: str = "mix",
-    topic: Column | None = None,
-    tokens: Column | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    lang_col: str = "lang",
-) -> DataFrame:
-    """doc_id, source, lang, topic (as classes), n_tokens, probability, weight, kept for each row.
+class Mixture:
+    """Cells of a document table raked to targets: what a row's cell, draw and weight are, as columns over its own row.
 
     ``targets``: for each of ``source``, ``lang`` and ``topic`` the wanted share of tokens by value. ``keep``: the share
-    of tokens expected to stay; None for the largest at which the kept ones have the marginals without weights.
+    of tokens expected to stay; None for the largest at which the kept ones have the marginals without weights, but not less
+    than ``floor``.
     """
-    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
-    names = {axis: [n for n in targets.get(axis, {}) if n != OTHER] for axis in AXES}
-    values = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": surface_topic(text) if topic is None else topic}
-    unit = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text)))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), unit)), 1, 12), 16, 10).cast("double") / float(16**12)
-    table = docs.select(
-        F.col(id_col).alias("doc_id"),
-        *(_class(values[axis], names[axis]).alias(axis) for axis in AXES),
-        (word_count(text) if tokens is None else tokens.cast("long")).alias("n_tokens"),
-        draw.alias("draw"),
-    )
-    table = hand_off(table, "mix-tokens")
-    lists = [[*names[axis], OTHER] for axis in AXES]
-    # at most the product of the target lists, whatever the input
-    counted = np.zeros([len(x) for x in lists])
-    for *cell, n in table.groupBy(*AXES).agg(F.sum("n_tokens")).collect():
-        counted[tuple(x.index(v) for x, v in zip(lists, cell))] = n or 0
-    wanted = []
-    for axis, (axis_name, of) in enumerate(zip(AXES, lists)):
-        natural = counted.sum(tuple(k for k in range(3) if k != axis)) / max(counted.sum(), 1)
-        given = targets.get(axis_name, {})
-        named = np.array([given.get(v, 0.0) for v in of])
-        if OTHER not in given:
-            named = named / (named.sum() or 1) * (1 - natural[-1])
-            named[-1] = natural[-1]
-        wanted.append(named)
-    shares = rake(counted, wanted)
-    if keep is None:
-        keep = reachable_keep(counted, shares)
-    chance = calibrate(counted, shares, keep)
-    total = counted.sum()
-    ratio = np.divide(shares * total, counted, out=np.zeros(counted.shape), where=counted > 0)
-    weight = np.divide(ratio * keep, chance, out=np.zeros(counted.shape), where=chance > 0)
-    rows = [
-        (*(lists[k][i] for k, i in enumerate(at)), float(chance[at]), float(weight[at])) for at in np.ndindex(counted.shape)
-    ]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, probability double, weight double")
-    return table.join(F.broadcast(cells), list(AXES)).select(
+
+    def __init__(
+        self,
+        docs: DataFrame,
+        targets: dict[str, dict[str, float]],
+        keep: float | None,
+        floor: float = 0.0,
+        seed: str = "mix",
+        topic: Column | None = None,
+        tokens: Column | None = None,
+        id_col: str = "doc_id",
+        text_col: str = "text",
+        source_col: str = "source",
+        lang_col: str = "lang",
+    ):
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        self.docs, self.targets, self.id_col = docs, targets, id_col
+        self.names = {axis: [n for n in targets.get(axis, {}) if n != OTHER] for axis in AXES}
+        values = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": surface_topic(text) if topic is None else topic}
+        self.classes = [_class(values[axis], self.names[axis]).alias(axis) for axis in AXES]
+        self.tokens = (word_count(text) if tokens is None else tokens.cast("long")).alias("n_tokens")
+        unit = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text)))
+        digest = F.md5(F.concat(F.lit(f"{seed}|"), unit))
+        self.draw = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)).alias("draw")
+        self.lists = [[*self.names[axis], OTHER] for axis in AXES]
+        self.keep, self.floor = keep, floor
+
+    def fitted(self, rows: DataFrame) -> "Mixture":
+        """Counts the cells of ``rows`` (the axes and n_tokens) and rakes them."""
+        # at most the product of the target lists, whatever the input
+        counted = np.zeros([len(x) for x in self.lists])
+        for *cell, n in rows.groupBy(*AXES).agg(F.sum("n_tokens")).collect():
+            counted[tuple(x.index(v) for x, v in zip(self.lists, cell))] = n or 0
+        wanted = []
+        for axis, (axis_name, of) in enumerate(zip(AXES, self.lists)):
+            natural = counted.sum(tuple(k for k in range(3) if k != axis)) / max(counted.sum(), 1)
+            given = self.targets.get(axis_name, {})
+            named = np.array([given.get(v, 0.0) for v in of])
+            if OTHER not in given:
+                named = named / (named.sum() or 1) * (1 - natural[-1])
+                named[-1] = natural[-1]
+            wanted.append(named)
+        self.counted, self.shares = counted, rake(counted, wanted)
+        if self.keep is None:
+            self.keep = max(reachable_keep(counted, self.shares), self.floor)
+        self.chance = calibrate(counted, self.shares, self.keep)
+        return self
+
+    def ratio(self) -> np.ndarray:
+        """Raked by natural share of each cell; 0 where it has no tokens."""
+        return np.divide(self.shares * self.counted.sum(), self.counted, out=np.zeros(self.counted.shape), where=self.counted > 0)
+
+    def cells(self) -> DataFrame:
+        """Probability and weight by cell; a bounded table."""
+        weight = np.divide(self.ratio() * self.keep, self.chance, out=np.zeros(self.chance.shape), where=self.chance > 0)
+        rows = [
+            (*(self.lists[k][i] for k, i in enumerate(at)), float(self.chance[at]), float(weight[at])) for at in np.ndindex(self.chance.shape)
+        ]
+        return self.docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, probability double, weight double")
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float | None, floor: float = 0.0, **columns) -> DataFrame:
+    """doc_id, source, lang, topic (as classes), n_tokens, probability, weight, kept for each row.
+
+    Arguments as in ``Mixture``.
+    """
+    m = Mixture(docs, targets, keep, floor, **columns)
+    table = hand_off(docs.select(F.col(m.id_col).alias("doc_id"), *m.classes, m.tokens, m.draw), "mix-tokens")
+    return table.join(F.broadcast(m.fitted(table).cells()), list(AXES)).select(
         "doc_id", *AXES, "n_tokens", "probability", "weight", (F.col("draw") < F.col("probability")).alias("kept")
     )
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float | None, floor: float = 0.0, **columns) -> DataFrame:
+    """The kept rows of ``docs``, with its columns. Each row is judged by its own cell and draw, so none is moved."""
+    m = Mixture(docs, targets, keep, floor, **columns)
+    m.fitted(docs.select(*m.classes, m.tokens))
+    cell = _free(docs, "_cell")
+    table = m.cells().select(F.struct(*AXES).alias(cell), F.col("probability").alias(f"{cell}p"))
+    marked = docs.withColumn(cell, F.struct(*m.classes)).join(F.broadcast(table), cell)
+    return marked.where(m.draw < F.col(f"{cell}p")).select(*docs.columns)
+
+
+def weights(docs: DataFrame, targets: dict[str, dict[str, float]], name: str = "weight", **columns) -> DataFrame:
+    """``docs`` with a weight for each row: tokens times weight have the target marginals, and the sum of tokens stays.
+
+    A class that has no tokens can't be weighted up; its target goes to the others.
+    """
+    m = Mixture(docs, targets, 1.0, **columns)
+    m.fitted(docs.select(*m.classes, m.tokens))
+    ratio, cell = m.ratio(), _free(docs, "_cell")
+    rows = [(*(m.lists[k][i] for k, i in enumerate(at)), float(ratio[at])) for at in np.ndindex(ratio.shape)]
+    table = docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, ratio double")
+    table = table.select(F.struct(*AXES).alias(cell), F.col("ratio").alias(f"{cell}r"))
+    marked = docs.withColumn(cell, F.struct(*m.classes)).join(F.broadcast(table), cell)
+    return marked.select(*[c for c in docs.columns if c != name], F.col(f"{cell}r").alias(name))
+
+
+def marginals(docs: DataFrame, targets: dict[str, dict[str, float]], keep: float | None, floor: float = 0.0, **columns) -> DataFrame:
+    """axis, value, natural, target, kept and weighted: shares of tokens of each class, as they are, as wanted, expected of
+    the kept rows, and of these with weights. Where ``weighted`` isn't the target, there are no tokens to meet it with."""
+    m = Mixture(docs, targets, keep, floor, **columns)
+    m.fitted(docs.select(*m.classes, m.tokens))
+    kept, out = m.counted * m.chance, []
+    sums = lambda x, k: x.sum(tuple(j for j in range(3) if j != k)) / max(x.sum(), 1e-300)
+    for k, axis in enumerate(AXES):
+        for i, value in enumerate(m.lists[k]):
+            wanted = targets.get(axis, {}).get(value)
+            out.append((axis, value, float(sums(m.counted, k)[i]), wanted, float(sums(kept, k)[i]), float(sums(m.shares, k)[i])))
+    return docs.sparkSession.createDataFrame(out, "axis string, value string, natural double, target double, kept double, weighted double")

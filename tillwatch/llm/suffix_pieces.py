@@ -296,11 +296,13 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return map_batches(shaped, run, ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, ids_col]) + ", decoded string")
 
 
-def round_trips(docs: DataFrame, model: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trips(
+    docs: DataFrame, model: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
+) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip and, if wanted, ids.
 
     Encoding and decoding in one pass: ids go from one to the other inside a task, a bounded slice of texts at a time.
-    ``round_trip`` says whether the ids decode to the text.
+    ``round_trip`` says whether the ids decode to the text; ``carry`` names a column of numbers that comes along.
     """
 
     def run(batches):
@@ -313,8 +315,14 @@ def round_trips(docs: DataFrame, model: str, with_ids: bool = True, id_col: str
             columns = [batch.column("doc_id"), pa.array(np.diff(cut)), pa.array([crc32(p) for p in parts], pa.int64()), pa.array(same, pa.bool_())]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32))))
+            if carry:
+                columns.append(batch.column("carried"))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n_pieces", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
+    names = ["doc_id", "n_pieces", "ids_crc32", "round_trip", *(["ids"] if with_ids else []), *([carry] if carry else [])]
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return map_batches(id_and_text(docs, id_col, text_col), run, schema)
+    slim = id_and_text(docs, id_col, text_col)
+    if carry:
+        slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(carry).cast("double").alias("carried"))
+        schema += f", `{carry}` double"
+    return map_batches(slim, run, schema)
