@@ -33,6 +33,8 @@ MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: characters of units that one suffix array indexes, unless one unit is longer
 INDEXED = 1 << 18
+#: text bytes that are encoded and decoded at once
+STEP = 2 << 20
 #: units longer than this are relaxed by a heap
 LONG_UNIT = 256
 #: texts that the plain cut at single spaces and line feeds doesn't fit
@@ -83,7 +85,7 @@ class Pieces:
         codes[np.arange(codes.shape[1]) >= self.lengths[:, None]] = 0xFFFF
         self.high = self._packed(codes)
         self.joins_line = any("\n" in p for p, _, _ in normal)
-        self.units = Runs(self._plain_units)
+        self.units = Runs(self._plain_units, most=400_000)
 
     @classmethod
     def of(cls, path: str) -> "Pieces":
@@ -307,7 +309,8 @@ def round_trips(
 
     def run(batches):
         pieces = Pieces.of(model)
-        for batch in steps(batches):
+        pieces.units.alone()
+        for batch in steps(batches, limit=STEP):
             ids, ends = pieces.encode(batch.column("text"))
             cut = np.concatenate([[0], ends]).astype(np.int64)
             parts = [ids[a:b] for a, b in zip(cut, cut[1:])]

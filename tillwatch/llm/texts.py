@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -69,9 +70,18 @@ class Runs:
     table starts anew, so memory stays bounded whatever the vocabulary; results don't depend on it.
     """
 
+    _all: "weakref.WeakSet[Runs]" = weakref.WeakSet()
+
     def __init__(self, make: Callable[[list[str]], list], dtype=np.uint32, most: int = 600_000):
         self.make, self.dtype, self.most = make, dtype, most
         self._reset()
+        Runs._all.add(self)
+
+    def alone(self) -> None:
+        """Empties the tables of other operators: a worker outlives the stage that filled them."""
+        for other in Runs._all:
+            if other is not self and other.rows:
+                other._reset()
 
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
