@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.config import GRID_CHARGEBACK, GRID_FRAUD, GRID_KEEP, KEY, LABEL, MONTH, LabelRule, Spine
@@ -101,29 +101,42 @@ def threshold_grid(
     keep: tuple[float, float] | None = GRID_KEEP,
     rule: LabelRule = LabelRule(),
 ) -> DataFrame:
-    """Default rate of the rule without its service clause for every pair of thresholds.
+    """Default rate of the rule without its service clause for every pair of thresholds; ``keep`` filters by the rate.
 
-    One conditional mean per pair, all in one pass with map-side partial sums; ``keep`` filters by the rate.
+    A row goes to the cell of the thresholds that its two rates reach, and cells are counted once (map-side first). A pair
+    misses the rows that reach neither of its thresholds: a sum over the cells before both, so two running sums along the
+    axes of the grid give all pairs. Cells and pairs are as many as thresholds multiplied, whatever the rows. A row whose label
+    would be NULL (a rate is missing and nothing else decides) counts for no pair.
     """
-    pairs = [(c, f) for c in chargebacks for f in frauds]
+    chargebacks, frauds = sorted(set(chargebacks)), sorted(set(frauds))
     other = _decline_clause(rule.decline, rule.fraud_count)
-    rate_of = [
-        F.avg(
-            ((F.col("future_chargeback_rate") >= c) | (F.col("future_fraud_rate") >= f) | other).cast("int")
-        ).alias(f"cell_{i}")
-        for i, (c, f) in enumerate(pairs)
-    ]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("chargeback_threshold"),
-                F.lit(f).alias("fraud_threshold"),
-                F.col(f"cell_{i}").alias("default_rate"),
-            )
-            for i, (c, f) in enumerate(pairs)
-        ]
+
+    def reached(rate: str, cuts: list[float]) -> Column:
+        return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(rate))), F.lit(0))
+
+    known = F.col("future_chargeback_rate").isNotNull() & F.col("future_fraud_rate").isNotNull() & other.isNotNull()
+    undecided = F.coalesce(~other, F.lit(True))
+    cells = rates.select(
+        F.when(F.col("future_chargeback_rate").isNull(), 0).otherwise(reached("future_chargeback_rate", chargebacks)).alias("i"),
+        F.when(F.col("future_fraud_rate").isNull(), 0).otherwise(reached("future_fraud_rate", frauds)).alias("j"),
+        undecided.alias("undecided"),
+        (undecided & known).alias("negative"),
+    )
+    cells = cells.groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("undecided").alias("undecided"), F.count_if("negative").alias("negative")
+    )
+    pairs = [(a, b, c, f) for a, c in enumerate(chargebacks) for b, f in enumerate(frauds)]
+    grid = rates.sparkSession.createDataFrame(pairs, "i int, j int, chargeback_threshold double, fraud_threshold double")
+    grid = grid.join(cells.drop("rows"), ["i", "j"], "left")
+    along = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy("j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    for window in (along, across):
+        grid = grid.withColumns({n: F.sum(F.coalesce(n, F.lit(0).cast("bigint"))).over(window) for n in ("undecided", "negative")})
+    positive = cells.agg(F.sum("rows")).scalar() - F.col("undecided")
+    grid = grid.select(
+        "chargeback_threshold", "fraud_threshold",
+        F.try_divide(positive.cast("double"), (positive + F.col("negative")).cast("double")).alias("default_rate"),
     )
-    grid = rates.agg(*rate_of).select(F.inline(cells))
     return grid if keep is None else grid.where(F.col("default_rate").between(*keep))
 
 
