@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Daily payments by risk tier, and tenths of the industry multiplier.
+# Daily payments by risk tier, and the industry multiplier.
 TIER_RATE = {"LOW": 25, "MED": 45, "HIGH": 80}
-INDUSTRY_TENTHS = {"Retail": 10, "Travel": 7, "Subscription": 12, "Marketplace": 11, "DigitalGoods": 13}
+INDUSTRY_MULTIPLIER = {
+    "Retail": Decimal("1.0"),
+    "Travel": Decimal("0.7"),
+    "Subscription": Decimal("1.2"),
+    "Marketplace": Decimal("1.1"),
+    "DigitalGoods": Decimal("1.3"),
+}
 
 
-def _lookup(values: dict[str, int], column: str):
+def _lookup(values: dict, column: str):
     pairs = [F.lit(x) for pair in values.items() for x in pair]
     return F.create_map(*pairs)[F.col(column)]
 
@@ -22,14 +29,14 @@ def proportional_allocation(
 ) -> DataFrame:
     """Adds ``txn_count``: the target split by tier rate, industry multiplier and active days, rounded down.
 
-    Weights are whole tenths, so their total does not depend on the order of summing.
+    Weights are decimals, so their total does not depend on the order of summing.
     """
     days = F.least(
         F.lit((end - start).days),
         F.greatest(F.lit(1), F.datediff(F.lit(end), F.greatest(F.lit(start), F.col("onboard_date")))),
     )
-    weight = (_lookup(TIER_RATE, "risk_tier_true") * _lookup(INDUSTRY_TENTHS, "industry") * days).cast("bigint")
+    weight = (_lookup(TIER_RATE, "risk_tier_true") * _lookup(INDUSTRY_MULTIPLIER, "industry") * days).cast("decimal(20,1)")
     weighted = merchants.withColumn("weight", weight)
-    scale = F.lit(float(target)) / (weighted.agg(F.sum("weight")).scalar() / F.lit(10.0))
-    count = F.floor(F.col("weight") / F.lit(10.0) * scale).cast("bigint")
+    scale = F.lit(float(target)) / weighted.agg(F.sum("weight").cast("double")).scalar()
+    count = F.floor(F.col("weight").cast("double") * scale).cast("bigint")
     return weighted.withColumn("txn_count", count).drop("weight")
