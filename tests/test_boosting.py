@@ -82,10 +82,12 @@ def test_scores_are_those_of_the_margins(spark):
     x, y = rows(300, holes=True)
     df = frame_of(spark, x, y, 2.0)
     model = boosting.fit(df, COLUMNS, "y", "w", rounds=2, depth=3)
-    found = df.withColumn("score", model.score()).collect()
+    first = boosting.BoostedTrees(model.columns, model.base, model.trees[:1])
+    found = df.withColumn("score", model.score()).withColumn("leaf", model.trees[0].leaf(COLUMNS)).collect()
     for r in found:
         value = np.array([[np.nan if v is None else v for v in (r.a, r.b, r.c)]], np.float32)
         assert r.score == pytest.approx(1 / (1 + np.exp(-model.margins(value)[0])))
+        assert r.leaf == pytest.approx(first.margins(value)[0])
     assert sum(model.importance().values()) == pytest.approx(1)
 
 

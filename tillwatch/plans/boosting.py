@@ -68,6 +68,17 @@ class Tree:
             at = np.where(inner, 2 * at + ~left, at)
 
 
+    def leaf(self, columns: tuple[str, ...], node: int = 1) -> Column:
+        """Leaf value of a row as conditions over its columns; for single trees, as a whole model is too wide for that."""
+        if self.feature[node] < 0:
+            return F.lit(float(self.value[node]))
+        value = F.col(columns[self.feature[node]]).cast("float")
+        below = F.when(value.isNull() | F.isnan(value), F.lit(bool(self.missing_left[node]))).otherwise(
+            value < F.lit(float(self.cut[node])).cast("float")
+        )
+        return F.when(below, self.leaf(columns, 2 * node)).otherwise(self.leaf(columns, 2 * node + 1))
+
+
 @dataclass
 class BoostedTrees:
     columns: tuple[str, ...]

@@ -151,8 +151,8 @@ def challenger_nodes(challenger: BoostedTrees, frame: DataFrame, rounds: int | N
 
 def first_round_scores(challenger: BoostedTrees, frame: DataFrame) -> DataFrame:
     """Adds ``first_score``, the challenger's score after its first tree."""
-    first = BoostedTrees(challenger.columns, challenger.base, challenger.trees[:1])
-    return frame.withColumn("first_score", resolved(first.score()))
+    margin = F.lit(challenger.base) + challenger.trees[0].leaf(challenger.columns)
+    return frame.withColumn("first_score", resolved(1 / (1 + F.exp(-margin))))
 
 
 def champion_gradient(
