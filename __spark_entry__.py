@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import oracle
-from tillwatch.config import LABEL, MODEL_FEATURES, Spine
+from tillwatch.config import LABEL, MODEL_FEATURES, LabelRule, Spine
 from tillwatch.functions.rules import linear_score
 from tillwatch.operators.rollup import daily_activity, daily_declines
 from tillwatch.operators.spine import month_spine, month_spine_ends
@@ -73,9 +73,11 @@ class Tables:
         """The day rollup that features and labels share."""
         return self._once("daily", lambda: hand_off(daily_activity(self.txns, self.sla), "daily"))
 
-    def features(self, daily: DataFrame | None = None, percentile: bool = True, spine: Spine = fx.SPINE) -> DataFrame:
+    def features(
+        self, daily: DataFrame | None = None, percentile: bool = True, spine: Spine = fx.SPINE, label: LabelRule | None = None
+    ) -> DataFrame:
         return features.merchant_month_features(
-            self.txns, self.sla, self.merchants, spine, daily=daily, percentile=percentile
+            self.txns, self.sla, self.merchants, spine, daily=daily, percentile=percentile, label=label
         )
 
     def rates(self, daily: DataFrame | None = None, spine: Spine = fx.SPINE) -> DataFrame:
@@ -260,7 +262,7 @@ def catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "threshold_grid": lambda t: lb.threshold_grid(t.rates_corrected(), fx.GRID_CHARGEBACK, fx.GRID_FRAUD),
         "outcomes_monthly": lambda t: t.outcomes_stored(),
         # dataset, reports, split
-        "model_dataset": lambda t: marts.model_dataset(t.features(t.daily()), t.outcomes()),
+        "model_dataset": lambda t: t.features(t.daily(), label=fx.LABEL_RULE),
         "mart_portfolio_overview": lambda t: marts.portfolio_overview(
             t.spine(), t.features(t.daily(), percentile=False), t.outcomes()
         ),

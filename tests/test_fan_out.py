@@ -90,7 +90,7 @@ def test_deviation_is_stable_for_large_amounts(make):
     row = features.txn_features_30d(make.txns(*rows), make.merchants("a"), SPINE).first()
     import statistics
 
-    assert row.amount_stddev_30d == pytest.approx(statistics.stdev([d / 100 for d in range(5, 31)]), rel=1e-3)
+    assert row.amount_stddev_30d == pytest.approx(statistics.stdev([d / 100 for d in range(5, 31)]), rel=1e-12)
 
 
 @pytest.mark.parametrize(

@@ -67,3 +67,31 @@ def test_hot_merchant_is_reduced_before_the_shuffle(spark, make):
     daily = daily_activity(make.txns(*rows, ("cold", "2024-01-05 10:00", "1.00", "APPROVED", 0, 0)))
     assert daily.where("merchant_id = 'hot'").count() == 10
     assert "partial_sum" in _plan(daily)
+
+
+def test_windows_are_one_aggregation(spark):
+    """Deviations come from sums of squares: no window operator, and its sort, over the copied day rows."""
+    plan = _plan(entry.queries()["txn_features_90d"](spark, FOLDER))
+    assert "Window" not in plan and "Sort" not in plan.replace("SortAggregate", "")
+
+
+def test_dataset_joins_no_second_aggregation(spark):
+    """Features and label of the dataset come from one copy of the day rows to their months, percentile aside."""
+    from tillwatch.plans import features
+    from tillwatch.sources import stand_in as fx
+
+    t = entry.Tables(spark, FOLDER)
+    dataset = features.merchant_month_features(
+        t.txns, t.sla, t.merchants, fx.SPINE, daily=t.daily(), percentile=False, label=fx.LABEL_RULE
+    )
+    assert _plan(dataset).count("Generate explode") == 1
+
+
+def test_dataset_equals_the_join_of_its_tables(spark):
+    from tillwatch.plans import marts
+
+    t = entry.Tables(spark, FOLDER)
+    joined = entry.six_decimals(marts.model_dataset(t.features(t.daily()), t.outcomes()))
+    at_once = entry.queries()["model_dataset"](spark, FOLDER)
+    assert at_once.columns == joined.columns
+    assert at_once.exceptAll(joined).isEmpty() and joined.exceptAll(at_once).isEmpty()

@@ -1,6 +1,8 @@
 """Percentiles and ranking metrics against sorted brute force."""
 
+import math
 import random
+from datetime import date
 
 import numpy as np
 import pytest
@@ -124,3 +126,20 @@ def test_comparison_has_one_row_per_model(spark):
     found = {r.model: r for r in metrics.model_comparison(frame, {"a": "score", "b": "other"}).collect()}
     pr, roc, _ = _areas(rows)
     assert found["a"].pr_auc == pytest.approx(pr) and found["b"].roc_auc == pytest.approx(1 - roc)
+
+
+def test_precision_at_ties_repeats_and_nan(spark):
+    """Against a plain sort: NaN above all, ties by key, month and label, repeated rows cut in their middle."""
+    rng = random.Random(8)
+    pool = [None, float("nan"), float("inf"), 0.0, -0.0, 0.5, 0.5, 0.25]
+    rows = [(rng.choice(pool), f"m{rng.randrange(6)}", date(2024, 1 + rng.randrange(2), 1), rng.choice([0, 1, None])) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "score double, merchant_id string, month_end date, default_next_60d int")
+
+    def rank(row):
+        return (float("-inf") if math.isnan(row[0]) else -row[0], row[1], row[2], row[3] or 0)
+
+    ranked = sorted((r for r in rows if r[0] is not None), key=rank)
+    for share in (0.003, 0.05, 0.21, 0.5, 0.77, 1.0):
+        k = int(share * len(ranked))
+        found = metrics.precision_at(frame, "score", share, buckets=7).first()
+        assert tuple(found) == (k, sum(r[3] or 0 for r in ranked[:k]) / k if k else None)

@@ -139,3 +139,15 @@ def test_decline_spike_of_dates_cut_by_a_window(make):
             shares = [sum(x) / len(x) for x in by_date.values() if len(x) >= 3]
             spikes.append(max(shares) if shares else None)
         assert found[end] == pytest.approx(tuple(spikes))
+
+
+def test_deviation_of_large_amounts_loses_no_digits(make):
+    """Amounts of ten digits that differ by cents, some squares beyond a long: as exact arithmetic has it."""
+    import statistics
+    from decimal import Decimal
+
+    amounts = [Decimal(9_999_999_000) + Decimal(d) / 100 for d in range(25)] + [Decimal("20000000.01"), Decimal("30000000.01")]
+    for chosen in (amounts[:25], amounts):
+        txns = make.txns(*[("a", f"2024-01-{1 + i:02d} 10:00", str(x), "APPROVED", 0, 0) for i, x in enumerate(chosen)])
+        row = features.txn_features_90d(txns, make.merchants("a"), SPINE, as_written=False).where("month_end = '2024-01-31'").first()
+        assert row.rolling_3m_volatility_90d == pytest.approx(float(statistics.stdev(chosen)), rel=1e-12)

@@ -17,7 +17,7 @@ def running_totals(
     The distinct values are split into buckets at the values of smallest hash, which is a uniform draw whatever the
     type or distribution; running sums are taken inside the buckets in parallel and shifted by the totals of the
     buckets before. Only the cuts and the bucket totals, at most ``buckets`` rows, meet in one task. Where the cuts
-    fall affects the balance of the work, never the result.
+    fall affects the balance of the work, never the result. ``all_<name>`` is the total over everything.
     """
     distinct = rows.where(F.col(order).isNotNull()).groupBy(order).agg(*[t.alias(n) for n, t in totals.items()])
     cuts = (
@@ -35,13 +35,19 @@ def running_totals(
         return F.col(column).desc() if descending else F.col(column).asc()
 
     inside = Window.partitionBy("bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy(direction("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy(direction("bucket"))
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
         bucketed.groupBy("bucket")
         .agg(*[F.sum(n).alias(n) for n in totals])
-        .select("bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in totals])
+        .select(
+            "bucket",
+            *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in totals],
+            *[F.sum(n).over(whole).alias(f"all_{n}") for n in totals],
+        )
     )
     # at most `buckets` rows by construction
     joined = bucketed.join(F.broadcast(offsets), "bucket")
     running = {f"cum_{n}": F.sum(n).over(inside) + F.col(f"before_{n}") for n in totals}
-    return joined.withColumns(running).select(order, *totals, *running)
+    return joined.withColumns(running).select(order, *totals, *running, *[f"all_{n}" for n in totals])

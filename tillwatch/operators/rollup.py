@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, MONTH_PARTITION, Days
-from tillwatch.functions.columns import is_value, or_zero, or_zero_double, ratio, to_cents, window_day, within_days
+from tillwatch.functions.columns import is_value, or_zero, ratio, to_cents, window_day, within_days
 
 ALL_DAYS: Days = (None, None)
 
@@ -76,11 +76,12 @@ def daily_activity(
     sla_days: Days = ALL_DAYS,
     clock: str = "date",
 ) -> DataFrame:
-    """One row per (key, window day) with counts, sums and squared deviations.
+    """One row per (key, window day) with counts, sums and sums of squares.
 
     Under the instant clock a window day covers parts of two calendar dates; then the rows are per (key, day, date).
     Transactions and service events go through one shared shuffle. Unused measures are pruned by the optimizer,
-    down to the columns read from the files. Money is in cents.
+    down to the columns read from the files. Money is in cents; its squares are exact decimals of 37 digits, room for
+    10^13 payments of the largest amount.
     """
     parts = []
     if txns is not None:
@@ -95,12 +96,13 @@ def daily_activity(
     return rows.groupBy(key, *days).agg(*totals)
 
 
-def _transaction_totals():
-    def spread(column):
-        # mergeable across days: sum of squared deviations from the mean of the day
-        wide = F.col(column).cast("double")
-        return or_zero_double(F.var_pop(wide) * F.count(wide))
+def _square(cents: str) -> Column:
+    """Exact square; as a long where it fits, which all but the largest amounts do."""
+    value, wide = F.col(cents), F.col(cents).cast("decimal(13,0)")
+    return F.when(F.abs(value) < 3_000_000_000, (value * value).cast("decimal(27,0)")).otherwise(wide * wide)
+
 
+def _transaction_totals():
     return [
         F.count("txn").alias("n_txn"),
         or_zero(F.sum("txn_id")).alias("n_txn_id"),
@@ -108,10 +110,10 @@ def _transaction_totals():
         or_zero(F.sum("declined")).alias("declined"),
         F.count("approved").alias("n_approved"),
         or_zero(F.sum("approved")).alias("approved"),
-        spread("approved").alias("m2_approved"),
+        F.sum(_square("approved")).alias("sq_approved"),
         F.count("cents").alias("n_cents"),
         or_zero(F.sum("cents")).alias("cents"),
-        spread("cents").alias("m2_cents"),
+        F.sum(_square("cents")).alias("sq_cents"),
         or_zero(F.sum("channel")).alias("n_channel"),
         or_zero(F.sum("ach")).alias("ach"),
         F.count("is_fraud").alias("n_fraud"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwatch.config import KEY, MONTH, Spine
+from tillwatch.config import KEY, LABEL, MONTH, LabelRule, Spine
 from tillwatch.functions.columns import (
     flag_stddev,
     from_cents,
@@ -21,13 +21,16 @@ from tillwatch.operators.deltas import mom_delta
 from tillwatch.operators.quantile import grouped_percentile
 from tillwatch.operators.rollup import daily_activity, events_between
 from tillwatch.operators.windows import (
+    all_months,
     at_anchors,
+    future_totals,
     month_members,
     past_members,
     past_months,
     past_totals,
     transaction_windows,
 )
+from tillwatch.plans.labels import SUMS, default_label, rate_columns
 
 ON = [KEY, MONTH]
 
@@ -197,6 +200,8 @@ def merchant_month_features(
     snap: bool = False,
     daily: DataFrame | None = None,
     percentile: bool = True,
+    label: LabelRule | None = None,
+    ahead: int = 60,
 ) -> DataFrame:
     """The wide feature table: keys, industry, state and 28 features per merchant and month.
 
@@ -205,11 +210,22 @@ def merchant_month_features(
     that the aggregation left. ``daily`` is a finished rollup of both event tables, to be used for the windows instead
     of the events. Without ``percentile`` the table lacks that column and the second pass is not made: the optimizer
     can't drop it from a union, so a caller that doesn't read it says so.
+
+    With ``label`` the default label of the ``ahead`` days after the month end comes along, from the same aggregation:
+    the model dataset without a second one and without a join.
     """
+    days, months = spine.history(), past_months(F.col("day"), 90, spine, history=True)
+    sla_days = spine.past(60)
+    if label is not None:
+        days, months = spine.history(ahead), all_months(F.col("day"), 90, ahead, spine)
+        sla_days = (sla_days[0], days[1])
     if daily is None:
-        daily = daily_activity(txns, sla, txn_days=spine.history(), sla_days=spine.past(60))
+        daily = daily_activity(txns, sla, txn_days=days, sla_days=sla_days)
     rows, extra = _percentile(txns, spine, percentile)
-    members = _past(daily, merchants, 90, spine, history=True, **rows)
+    members = month_members(daily, merchants, months, days, spine, **rows)
+    outlook = [] if label is None else rate_columns(as_written)
+    if label is not None:
+        extra = (*extra, *future_totals(SUMS, ahead))
     frame = transaction_windows(members, (30, 60, 90), extra=extra).select(
         *ON,
         *_columns_30d(percentile),
@@ -218,7 +234,10 @@ def merchant_month_features(
         *_columns_90d(as_written, True, "amount_volatility_90d"),
         "new_fraud",
         "new_n_fraud",
+        *outlook,
     )
+    if label is not None:
+        frame = default_label(frame, label).drop(*(c for c in frame.columns if c.startswith("future_")))
     frame = _with_history(mom_delta(frame, MOM_SQL, snap=snap))
     return frame.join(merchants.select(KEY, "industry", "state"), KEY).withColumns(
         {
@@ -230,4 +249,7 @@ def merchant_month_features(
             "risk_interaction": interact(F.col("fraud_rate_30d"), F.col("chargeback_rate_30d")),
             "decline_x_fraud": interact(F.col("decline_rate_30d"), F.col("fraud_rate_30d")),
         }
-    ).select(*ON, "industry", "state", *[c for c in FEATURE_COLUMNS if percentile or c != "p95_amount_30d"])
+    ).select(
+        *ON, "industry", "state", *[c for c in FEATURE_COLUMNS if percentile or c != "p95_amount_30d"],
+        *([] if label is None else [LABEL]),
+    )

@@ -13,7 +13,7 @@ ON = [KEY, MONTH]
 
 
 def model_dataset(features: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Feature rows that have a label."""
+    """Feature rows that have a label, from stored tables; ``merchant_month_features(label=...)`` makes it from events."""
     return features.join(outcomes.select(*ON, LABEL), ON, "inner")
 
 

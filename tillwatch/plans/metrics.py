@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, LABEL, MONTH
@@ -88,35 +88,28 @@ def precision_at(
 ) -> DataFrame:
     """One row ``(k, precision_at_k)``: mean label of the ``k = int(share * n)`` highest scores.
 
-    Rows without a score count neither in ``n`` nor in the top. Equal scores rank by key, then month. ``k`` grows with
-    the data, so the top is never sorted out or collected: the score at the cut is found from running totals; of the
-    rows with just that score, the key at the cut likewise; only the months of that one key are ranked row by row. The
-    steps hand each other one row of numbers as scalars, and nothing runs before the result is asked for.
+    Rows without a score count neither in ``n`` nor in the top. Equal scores rank by key, then month, then label; a NaN
+    is above all numbers. ``k`` grows with the data, so the top is never sorted out or collected: running totals over
+    that whole order are taken in buckets, and the one place where they reach ``k`` gives the positives down to it. A
+    score shared by a third of all rows is as many places as it has keys. ``n`` comes with the totals.
     """
-    labelled = scored_rows(scored, score).select(score, key, month, F.col(label).cast("bigint").alias("hit"))
-    k = labelled.agg(F.floor(F.count(F.lit(1)) * F.lit(float(share))).cast("bigint").alias("k")).scalar()
+    labelled = scored_rows(scored, score).select(
+        F.col(score).cast("double").alias("score"), key, month, F.coalesce(F.col(label).cast("bigint"), F.lit(0)).alias("hit")
+    )
+    falling = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(-F.col("score")).alias("falling")
+    places = labelled.select(F.struct(falling, key, month, "hit").alias("place"), "hit")
     totals = {"positives": F.sum("hit"), "rows": F.count(F.lit(1))}
-
-    def cut_at(running: DataFrame, column: str, wanted: Column) -> Column:
-        """The first value at which ``wanted`` rows are reached, with what lies strictly before it."""
-        before = (F.col("cum_positives") - F.col("positives")).alias("positives")
-        rows_before = (F.col("cum_rows") - F.col("rows")).alias("rows")
-        entry = F.struct(F.col(column).alias("value"), before, rows_before)
-        return running.where(F.col("cum_rows") >= wanted).agg(F.min_by(entry, "cum_rows").alias("cut")).scalar()
-
-    by_score = cut_at(running_totals(labelled, score, totals, buckets=buckets), score, k)
-    tied = labelled.where(F.col(score) == by_score["value"])
-    left = k - by_score["rows"]
-    by_key = cut_at(running_totals(tied, key, totals, descending=False, buckets=buckets), key, left)
-    last_key = (
-        tied.where(F.col(key) == by_key["value"])
-        .withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(month)))
-        .where(F.col("place") <= left - by_key["rows"])
-        .agg(F.sum("hit").alias("hits"))
+    running = running_totals(places, "place", totals, descending=False, buckets=buckets)
+    k = F.floor(F.col("all_rows") * F.lit(float(share))).cast("bigint").alias("k")
+    # rows alike in everything are one place, of which only the first may be wanted
+    wanted = F.col("k") - (F.col("cum_rows") - F.col("rows"))
+    hits = F.col("cum_positives") - F.col("positives") + wanted * F.col("place.hit")
+    reaching = F.when(F.col("cum_rows") >= F.col("k"), F.col("cum_rows"))
+    top = running.select("*", k).agg(
+        F.coalesce(F.max("k"), F.lit(0).cast("bigint")).alias("k"), F.min_by(hits, reaching).alias("hits")
     )
-    hits = F.coalesce(F.col("hits"), F.lit(0)) + by_score["positives"] + by_key["positives"]
-    precision = F.when(k > 0, F.try_divide(hits.cast("double"), k.cast("double")))
-    return last_key.select(k.alias("k"), precision.alias("precision_at_k"))
+    precision = F.when(F.col("k") > 0, F.try_divide(F.col("hits").cast("double"), F.col("k").cast("double")))
+    return top.select("k", precision.alias("precision_at_k"))
 
 
 def model_comparison(scored: DataFrame, scores: dict[str, str], share: float = 0.05, label: str = LABEL) -> DataFrame:
