@@ -296,6 +296,7 @@ def catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "roc_auc": lambda t: metrics.roc_auc(t.scored(), "challenger_score"),
         "precision_at_k": lambda t: metrics.precision_at(t.scored(), "challenger_score"),
         "pr_curve_points": lambda t: metrics.pr_curves(t.scored(), SCORES),
+        "pr_curve_thinned": lambda t: metrics.thinned_pr_curve(t.scored(), "challenger_score", cells=64),
         "model_comparison": lambda t: metrics.model_comparison(t.scored(), SCORES),
         "model_comparison_fitted": lambda t: metrics.model_comparison(t.model_scored(), SCORES),
         # what can be said about the fits without their numbers

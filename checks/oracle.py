@@ -134,6 +134,20 @@ SELECT '{model}' AS model, cut AS threshold, tp / n AS precision, tp / max(tp) O
 UNION ALL SELECT '{model}', NULL, 1e0, 0e0"""
 
 
+def _thinned(score: str, cells: int) -> str:
+    """Of each cell of recall: the first, last, lowest and highest point of the curve."""
+    def place(order):
+        return f"row_number() OVER (PARTITION BY cell ORDER BY {order}) = 1"
+
+    kept = " OR ".join(map(place, ("threshold DESC", "threshold", "precision, threshold DESC", "precision DESC, threshold DESC")))
+    box = " * ".join(f"(max({c}) OVER (PARTITION BY cell) - min({c}) OVER (PARTITION BY cell))" for c in ("recall", "precision"))
+    return f"""
+SELECT cell, threshold, precision, recall, slack FROM (
+  SELECT *, {kept} AS kept, {box} AS slack FROM (
+    SELECT *, CAST(floor(recall * {cells}) AS INTEGER) AS cell FROM ({_points('', score)}) WHERE threshold IS NOT NULL)) WHERE kept
+UNION ALL SELECT -1, NULL, 1e0, 0e0, 0e0"""
+
+
 # Named sub-queries; a statement gets those it mentions, directly or through others.
 PARTS = {
     "merchants": """
@@ -581,6 +595,8 @@ def build() -> dict[str, str]:
         "pr_curve_points": pick(
             f"({_points('champion', 'champ_score')} UNION ALL {_points('challenger', 'challenger_score')})",
             "model", real="threshold precision recall"),
+        "pr_curve_thinned": pick(
+            f"({_thinned('challenger_score', 64)})", small="cell", real="threshold precision recall slack"),
         "model_comparison": " UNION ALL ".join(
             f"""SELECT '{model}' AS model, (SELECT round(pr_auc, 6) + 0e0 FROM ({_nested_sum(score, _PR + ' AS pr_auc')})) AS pr_auc,
             (SELECT round(roc_auc, 6) + 0e0 FROM ({_nested_sum(score, _ROC + ' AS roc_auc')})) AS roc_auc,

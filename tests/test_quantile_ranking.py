@@ -143,3 +143,34 @@ def test_precision_at_ties_repeats_and_nan(spark):
         k = int(share * len(ranked))
         found = metrics.precision_at(frame, "score", share, buckets=7).first()
         assert tuple(found) == (k, sum(r[3] or 0 for r in ranked[:k]) / k if k else None)
+
+
+@pytest.mark.parametrize("cells", [4, 32])
+def test_thinned_curve_is_bounded_and_its_error_certified(spark, cells):
+    rng = random.Random(cells)
+    rows = [(round(rng.random(), 3), int(rng.random() < 0.2)) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "score double, default_next_60d int")
+    whole = [(r.precision, r.recall) for r in metrics.pr_curve(frame, "score").orderBy(F.desc_nulls_first("threshold")).collect()]
+    found = metrics.thinned_pr_curve(frame, "score", cells).orderBy(F.desc_nulls_first("threshold")).collect()
+    thin = [(r.precision, r.recall) for r in found]
+    assert len(thin) <= 4 * (cells + 1) + 1 < len(whole) and set(thin) <= set(whole)
+
+    def area(points):
+        return sum((b[1] - a[1]) * (a[0] + b[0]) / 2 for a, b in zip(points, points[1:]))
+
+    assert abs(area(thin) - area(whole)) <= sum({r.cell: r.slack for r in found}.values()) + 1e-12
+    for precision, recall in whole:
+        passes = [
+            abs(a[1] + (b[1] - a[1]) * ((precision - a[0]) / (b[0] - a[0]) if a[0] != b[0] else 0) - recall)
+            for a, b in zip(thin, thin[1:])
+            if min(a[0], b[0]) <= precision <= max(a[0], b[0])
+        ]
+        assert min(passes) <= 1 / cells + 1e-12
+
+
+def test_thinned_curve_without_rows_or_positives(spark):
+    empty = spark.createDataFrame([], "score double, default_next_60d int")
+    assert [tuple(r) for r in metrics.thinned_pr_curve(empty, "score").collect()] == [(-1, None, 1.0, 0.0, 0.0)]
+    none = spark.createDataFrame([(0.1, 0), (0.2, 0), (0.3, 0)], "score double, default_next_60d int")
+    found = metrics.thinned_pr_curve(none, "score").where("cell IS NULL").collect()
+    assert sorted(r.threshold for r in found) == [0.1, 0.3] and all(r.recall is None for r in found)

@@ -33,17 +33,53 @@ def unscored(frame: DataFrame, scores: dict[str, str]) -> DataFrame:
 
 def pr_curve(scored: DataFrame, score: str, label: str = LABEL) -> DataFrame:
     """``(threshold, precision, recall)`` per distinct score, plus the end point recall 0, precision 1."""
-    cuts = _cuts(scored, score, label)
-    total = scored_rows(scored, score).agg(F.sum(F.col(label).cast("bigint"))).scalar()
-    points = cuts.select(
+    points = _points(scored, score, label)
+    end = points.agg(
+        F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
+    )
+    return points.unionByName(end)
+
+
+def _points(scored: DataFrame, score: str, label: str) -> DataFrame:
+    return _cuts(scored, score, label).select(
         F.col(score).cast("double").alias("threshold"),
         (F.col("cum_positives") / F.col("cum_rows")).alias("precision"),
-        F.try_divide(F.col("cum_positives").cast("double"), total.cast("double")).alias("recall"),
+        F.try_divide(F.col("cum_positives").cast("double"), F.col("all_positives").cast("double")).alias("recall"),
     )
-    end = cuts.agg(
-        F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
+
+
+def thinned_pr_curve(scored: DataFrame, score: str, cells: int = 256, label: str = LABEL) -> DataFrame:
+    """At most ``4 * (cells + 1)`` points of ``pr_curve`` and its end point, whatever the number of scores.
+
+    ``(cell, threshold, precision, recall, slack)``. Recall is cut into equal cells; of each cell stay the first and the
+    last point along the curve and those of least and highest precision (ties: the highest threshold). So
+
+    * a dropped point is at most a cell's width in recall from the thinned curve, which passes its precision inside the cell;
+    * inside a cell both curves join the same two points in the same box, whose area is ``slack``, the same on all points
+      of the cell; between cells they are the same line. The areas under both differ by at most the sum of the cells' slacks.
+
+    Points are grouped by cell where the running totals left them: one small aggregation, and no further sort. Without
+    any positive there is no recall, and one cell NULL; the end point has the cell -1.
+    """
+    def first_by(pick, *order):
+        return pick(F.struct("threshold", "precision", "recall"), F.struct(*order))
+
+    falling = (-F.col("threshold")).alias("falling")
+    extremes = _points(scored, score, label).groupBy(F.floor(F.col("recall") * cells).cast("int").alias("cell")).agg(
+        F.array_distinct(
+            F.array(
+                first_by(F.max_by, "threshold"), first_by(F.min_by, "threshold"),
+                first_by(F.min_by, "precision", falling), first_by(F.max_by, "precision", "threshold"),
+            )
+        ).alias("points"),
+        ((F.max("recall") - F.min("recall")) * (F.max("precision") - F.min("precision"))).alias("slack"),
     )
-    return points.unionByName(end)
+    kept = extremes.select("cell", F.inline("points"), "slack")
+    end = extremes.agg(
+        F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+        F.lit(0.0).alias("recall"), F.lit(0.0).alias("slack"),
+    )
+    return kept.unionByName(end)
 
 
 def pr_curves(scored: DataFrame, scores: dict[str, str], label: str = LABEL) -> DataFrame:
