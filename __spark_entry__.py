@@ -204,6 +204,14 @@ def _csv_roundtrip(t: Tables) -> DataFrame:
     return files.read_scored(t.spark, path, portfolio.schema, "csv").select(*_PORTFOLIO)
 
 
+def _watched_write(t: Tables) -> DataFrame:
+    """Counts of both kinds from the one pass that writes the payments."""
+    watch = quality.Watch("transactions", schemas.NOT_NULL["transactions"], schemas.DOMAINS["transactions"])
+    files.save_transactions(t.txns, _new_path(t.spark), watch=watch.on)
+    nulls = watch.null_rows(t.spark).toDF("table_name", "rule", "broken")
+    return nulls.unionByName(watch.violations(t.spark).withColumnRenamed("violations", "broken"))
+
+
 def _sql_views(t: Tables) -> DataFrame:
     register_views(t.merchants, t.txns, t.sla, fx.SPINE, fx.LABEL_RULE, as_of=fx.AS_OF)
     return t.spark.sql(
@@ -284,6 +292,7 @@ def catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "ck_foreign_key": lambda t: q.check_foreign_keys(t.constrained(), t.merchants, schemas.FOREIGN_KEYS),
         "ck_not_null": lambda t: q.check_not_null(t.constrained(), schemas.NOT_NULL),
         "ck_domain": lambda t: q.check_domains(t.constrained(), schemas.DOMAINS),
+        "ck_while_writing": _watched_write,
         # models and metrics
         "standardize": lambda t: models.standardize(t.train(), t.training()).select(*ON, *MODEL_FEATURES),
         "class_weights": lambda t: models.class_weights(t.train()),

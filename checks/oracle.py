@@ -570,6 +570,12 @@ def build() -> dict[str, str]:
             _nulls("transactions", "txn_id merchant_id txn_ts amount channel status is_fraud is_chargeback"),
             _nulls("sla_events", "event_id merchant_id event_ts event_type breached"),
             _nulls("outcomes_monthly", "merchant_id month_end default_next_60d")]),
+        "ck_while_writing": f"""SELECT table_name, column_name AS rule, null_rows AS broken
+            FROM ({_nulls("transactions", "txn_id merchant_id txn_ts amount channel status is_fraud is_chargeback")})
+            UNION ALL SELECT table_name, rule, violations FROM ({_outside("transactions", {
+                "channel in list": "channel IN ('ACH', 'CARD')", "status in list": "status IN ('DECLINED', 'APPROVED')",
+                "is_fraud in list": "is_fraud IN (0, 1)", "is_chargeback in list": "is_chargeback IN (0, 1)",
+                "amount > 0": "amount > 0"})})""",
         "ck_domain": " UNION ALL ".join([
             _outside("merchants", {"risk_tier_true in list": "risk_tier_true IN ('HIGH', 'MED', 'LOW')"}),
             _outside("transactions", {

@@ -115,3 +115,22 @@ def test_label_sanity_order(make, spark):
     assert [tuple(r) for r in quality.label_sanity(outcomes, merchants).collect()] == [
         ("HIGH", 2, 1, 0.5), ("LOW", 1, 0, 0.0),
     ]
+
+
+def test_counts_taken_while_writing_equal_the_checks(make, spark, tmp_path):
+    from tillwatch.sources import files
+
+    txns = make.txns(
+        ("a", "2024-01-20 10:00", "10.00", "APPROVED", None, 0),
+        ("a", "2024-02-21 10:00", "-3.00", "ODD", 7, 0),
+        (None, "2024-02-21 10:00", "30.00", None, 1, 0),
+    )
+    for i, frame in enumerate((txns, txns.limit(0))):
+        watch = quality.Watch("transactions", schemas.NOT_NULL["transactions"], schemas.DOMAINS["transactions"])
+        files.save_transactions(frame, str(tmp_path / str(i)), watch=watch.on)
+        tables = {"transactions": frame}
+        for found, expected in (
+            (watch.null_rows(spark), quality.check_not_null(tables, schemas.NOT_NULL)),
+            (watch.violations(spark), quality.check_domains(tables, schemas.DOMAINS)),
+        ):
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))

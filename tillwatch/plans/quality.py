@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwatch.config import KEY, LABEL, MONTH, Spine
@@ -233,12 +233,45 @@ def check_not_null(tables: dict[str, DataFrame], columns: dict[str, list[str]])
 
 def check_domains(tables: dict[str, DataFrame], domains: dict[str, dict[str, tuple]]) -> DataFrame:
     """``(table_name, rule, violations)``: values outside their list, and amounts that are not positive."""
-    found = []
-    for name, rules in domains.items():
-        if name not in tables:
-            continue
-        tests = {f"{column} in list": ~F.col(column).isin(*values) for column, values in rules.items()}
-        if "amount" in tables[name].columns:
-            tests["amount > 0"] = ~(F.col("amount") > 0)
-        found.append(_unpivot_counts(tables[name], name, tests, "rule", "violations"))
+    found = [
+        _unpivot_counts(tables[name], name, _outside(tables[name], rules), "rule", "violations")
+        for name, rules in domains.items()
+        if name in tables
+    ]
     return reduce(DataFrame.unionByName, found)
+
+
+def _outside(df: DataFrame, rules: dict[str, tuple]) -> dict[str, Column]:
+    tests = {f"{column} in list": ~F.col(column).isin(*values) for column, values in rules.items()}
+    if "amount" in df.columns:
+        tests["amount > 0"] = ~(F.col("amount") > 0)
+    return tests
+
+
+class Watch:
+    """``check_not_null`` and ``check_domains`` of one table, counted while it is written: no scan of their own.
+
+    ``on`` puts the counts on a frame; use its result in one write or other action, as the last step before it, so that
+    tasks that run again aren't counted twice. The two tables of counts wait for that action. One watch, one action.
+    """
+
+    def __init__(self, table: str, columns: list[str], domains: dict[str, tuple]):
+        self.table, self._columns, self._domains = table, columns, domains
+        self._observation, self._rules = Observation(), []
+
+    def on(self, df: DataFrame) -> DataFrame:
+        outside = _outside(df, self._domains)
+        self._rules = list(outside)
+        tests = [F.col(c).isNull() for c in self._columns] + list(outside.values())
+        return df.observe(self._observation, *[F.count_if(t).alias(f"t{i}") for i, t in enumerate(tests)])
+
+    def null_rows(self, spark: SparkSession) -> DataFrame:
+        return self._counts(spark, self._columns, 0, "column_name string, null_rows bigint")
+
+    def violations(self, spark: SparkSession) -> DataFrame:
+        return self._counts(spark, self._rules, len(self._columns), "rule string, violations bigint")
+
+    def _counts(self, spark: SparkSession, names: list[str], start: int, columns: str) -> DataFrame:
+        found = self._observation.get
+        rows = [(self.table, name, found[f"t{start + i}"]) for i, name in enumerate(names)]
+        return spark.createDataFrame(rows, f"table_name string, {columns}")

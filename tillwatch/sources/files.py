@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,20 +54,21 @@ def load_outcomes(spark: SparkSession, path: str, fmt: str = "parquet", validate
     return _load(spark, path, schemas.OUTCOMES, fmt, validate)
 
 
-def save_transactions(txns: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def save_transactions(
+    txns: DataFrame, path: str, mode: str = "errorifexists", watch: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> None:
     """Columnar copy of the payments, partitioned by month of the timestamp and sorted inside the files by it.
 
     Window bounds then skip whole months and row groups; the reader keeps the partition column for that. The
-    rebalance hint splits a heavy month into even files.
+    rebalance hint splits a heavy month into even files. ``watch`` is put on the rows as they are written, such as the
+    ``on`` of a ``quality.Watch``.
     """
-    (
+    rows = (
         txns.withColumn(MONTH_PARTITION, F.trunc("txn_ts", "MM"))
         .hint("rebalance", MONTH_PARTITION)
         .sortWithinPartitions(MONTH_PARTITION, "txn_ts")
-        .write.mode(mode)
-        .partitionBy(MONTH_PARTITION)
-        .parquet(path)
     )
+    watch(rows).write.mode(mode).partitionBy(MONTH_PARTITION).parquet(path)
 
 
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
