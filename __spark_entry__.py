@@ -241,6 +241,7 @@ def catalog() -> dict[str, Callable[[Tables], DataFrame]]:
         "month_spine_ends": lambda t: month_spine_ends(t.merchants, fx.SPINE),
         # features over past windows
         "txn_features_30d": lambda t: f.txn_features_30d(t.txns, t.merchants, fx.SPINE),
+        "p95_sketched": lambda t: f.sketched_percentile(f.daily_amount_sketches(t.txns, fx.SPINE.past(30)), fx.SPINE),
         "sla_features_60d": lambda t: f.sla_features_60d(t.sla, t.merchants, fx.SPINE),
         "txn_features_60d": lambda t: f.txn_features_60d(t.txns, t.merchants, fx.SPINE),
         "daily_declines": lambda t: daily_declines(t.txns),

@@ -570,6 +570,10 @@ def build() -> dict[str, str]:
             _nulls("transactions", "txn_id merchant_id txn_ts amount channel status is_fraud is_chargeback"),
             _nulls("sla_events", "event_id merchant_id event_ts event_type breached"),
             _nulls("outcomes_monthly", "merchant_id month_end default_next_60d")]),
+        # a sketch holds the few payments of a window here whole, so its ranks are exact
+        "p95_sketched": f"""SELECT s.merchant_id, s.month_end,
+            round(CAST(quantile_disc(p.amount, 0.95) AS DOUBLE), 6) + 0e0 AS amount FROM months s
+            JOIN transactions p ON p.merchant_id = s.merchant_id AND {_ago(30)} WHERE p.status = 'APPROVED' GROUP BY ALL""",
         "ck_while_writing": f"""SELECT table_name, column_name AS rule, null_rows AS broken
             FROM ({_nulls("transactions", "txn_id merchant_id txn_ts amount channel status is_fraud is_chargeback")})
             UNION ALL SELECT table_name, rule, violations FROM ({_outside("transactions", {

@@ -174,3 +174,31 @@ def test_thinned_curve_without_rows_or_positives(spark):
     none = spark.createDataFrame([(0.1, 0), (0.2, 0), (0.3, 0)], "score double, default_next_60d int")
     found = metrics.thinned_pr_curve(none, "score").where("cell IS NULL").collect()
     assert sorted(r.threshold for r in found) == [0.1, 0.3] and all(r.recall is None for r in found)
+
+
+def test_sketches_of_days_give_windows_within_their_rank_error(make, spark):
+    """A hot merchant: any window is merged from its days; a merchant with few payments gets the exact rank."""
+    from tillwatch.config import Spine
+    from tillwatch.plans import features
+
+    spine = Spine(date(2024, 1, 1), date(2024, 3, 1))
+    hot = spark.range(60_000).selectExpr(
+        "'t' || id AS txn_id", "'hot' AS merchant_id", "timestamp_ntz'2024-01-01 08:00:00' + make_dt_interval(int(id % 90)) AS txn_ts",
+        "CAST(pmod(xxhash64(id), 1000000) / 100 AS decimal(12,2)) AS amount", "'CARD' AS channel", "'APPROVED' AS status",
+        "0 AS is_fraud", "0 AS is_chargeback",
+    )
+    few = make.txns(
+        *[("few", f"2024-02-{d:02d} 10:00", f"{d}.00", "APPROVED", 0, 0) for d in range(1, 22)],
+        ("few", "2024-02-25 10:00", "500.00", "DECLINED", 0, 0), (None, "2024-02-25 10:00", "1.00", "APPROVED", 0, 0),
+    )
+    txns = hot.unionByName(few.select(*hot.columns))
+    sketches = features.daily_amount_sketches(txns, spine.past(60))
+    amounts = [(r.txn_ts.date(), float(r.amount)) for r in hot.collect()]
+    for width in (30, 60):
+        found = {(r.merchant_id, r.month_end): r.amount for r in features.sketched_percentile(sketches, spine, width).collect()}
+        assert found[("few", date(2024, 2, 29))] == 20.0
+        for end in (date(2024, 1, 31), date(2024, 2, 29), date(2024, 3, 31)):
+            seen = [a for d, a in amounts if 0 <= (end - d).days < width]
+            rank = sum(a <= found[("hot", end)] for a in seen) / len(seen)
+            assert abs(rank - 0.95) < 0.011
+        assert {m for m, _ in found} == {"hot", "few"}
