@@ -125,3 +125,11 @@ def test_split_by_date_is_out_of_time(spark):
     assert later.agg(F.min("month_end")).first()[0] == date(2000, 11, 30)
     with pytest.raises(ValueError):
         marts.oot_split(frame, spine=months)
+
+
+def test_assembled_features_hold_no_subquery(data):
+    """The assembler's function goes to tasks with its arguments; a subquery's plan among them can't be sent."""
+    _, _, frame = data
+    pair = models.train_models(frame, ("x1", "x2"), rounds=1)
+    plan = models.score_both(pair, frame, frame)._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" in plan and "ubquery" not in plan
