@@ -108,3 +108,46 @@ def test_needs_both_classes(spark):
     x, y = rows(50)
     with pytest.raises(ValueError):
         boosting.fit(frame_of(spark, x, y * 0, 1.0), COLUMNS, "y", "w", rounds=1)
+
+
+def test_a_row_of_the_stored_table_is_a_block(spark):
+    """A pass handles blocks, not rows, and sums don't depend on where blocks end."""
+    df = spark.range(40_000, numPartitions=2).select(
+        (F.hash("id") % 1000 / 10).alias("a"), (F.xxhash64("id") % 997).cast("double").alias("b"),
+        F.when(F.col("id") % 5 > 0, F.lit(1.0)).alias("c"), (F.hash("id") % 7 == 0).cast("int").alias("y"), F.lit(1.0).alias("w"))
+    cuts = boosting.quantile_cuts(df, COLUMNS, 16)
+    sizes = np.array([len(c) for c in cuts])
+    tree = boosting.Tree.empty(4)
+    tree.feature[1], tree.bin[1] = 0, 7
+    tree.feature[2], tree.bin[2], tree.missing_left[2] = 2, 1, True
+    sums = []
+    for parts in (2, 7):
+        state = boosting._binned(df.repartition(parts), COLUMNS, cuts, "y", "w", 0.0)
+        assert state.count() <= 40_000 // boosting.ROWS + parts
+        found = boosting._level(state, [tree], tree, 4, sizes, 2.0**20).to_pydict()
+        sums.append(dict(zip(found["slot"], zip(found["g"], found["h"]))))
+    assert sums[0] == sums[1]
+    # each feature's bins hold each row of the two open nodes once
+    width = int((sizes + 2).sum())
+    left = df.where((F.col("a").cast("float") < float(cuts[0][6]))).count()
+    share = sum(h for s, (_, h) in sums[0].items() if s % width < sizes[0] + 2) / sum(
+        h for s, (_, h) in sums[0].items() if sizes[0] + 2 <= s % width < (sizes[:2] + 2).sum())
+    assert share == 1 and 0 < left < 40_000
+
+
+def test_rows_go_where_the_tree_says():
+    """The walk by columns against one by rows, missing values and leaves at all depths included."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3)).astype(np.float32)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    tree = boosting.Tree.empty(4)
+    for n in (1, 2, 3, 5, 6, 10, 13):
+        tree.feature[n], tree.cut[n], tree.missing_left[n] = n % 3, rng.normal(), n % 2
+    expected = []
+    for row in x:
+        n = 1
+        while (k := tree.feature[n]) >= 0:
+            n = 2 * n + 1 - int(tree.missing_left[n] if np.isnan(row[k]) else row[k] < tree.cut[n])
+        expected.append(n)
+    columns = list(x.T)
+    assert tree.node(columns, tree.cut, [np.isnan(c) for c in columns]).tolist() == expected
