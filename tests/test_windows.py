@@ -151,3 +151,22 @@ def test_deviation_of_large_amounts_loses_no_digits(make):
         txns = make.txns(*[("a", f"2024-01-{1 + i:02d} 10:00", str(x), "APPROVED", 0, 0) for i, x in enumerate(chosen)])
         row = features.txn_features_90d(txns, make.merchants("a"), SPINE, as_written=False).where("month_end = '2024-01-31'").first()
         assert row.rolling_3m_volatility_90d == pytest.approx(float(statistics.stdev(chosen)), rel=1e-12)
+
+
+def test_scan_tasks_hold_no_totals(spark, make):
+    """Raw rows are spread as they are: totals are made behind the shuffle, in partitions that are not merged, so no
+    task's memory grows with the rows of a scan or with what merged partitions hold."""
+    from tillwatch.operators.rollup import daily_activity
+    from tillwatch.plans import features
+    from tillwatch.sources import stand_in as fx
+
+    table = fx.StandIn(spark, "/root/testdata/sf0.001")
+    plan = daily_activity(table.transactions, table.sla_events)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    assert sum("Exchange" in line for line in lines) == 1
+    exchange = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert "REPARTITION_BY_NUM" in lines[exchange]
+    assert not any("HashAggregate" in line for line in lines[exchange:])
+    windows = features.txn_features_60d(table.transactions, table.merchants, fx.SPINE)
+    text = windows._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 2 and "REPARTITION_BY_COL" not in text
