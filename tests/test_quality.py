@@ -134,3 +134,16 @@ def test_counts_taken_while_writing_equal_the_checks(make, spark, tmp_path):
             (watch.violations(spark), quality.check_domains(tables, schemas.DOMAINS)),
         ):
             assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_keys_are_counted_behind_a_shuffle(spark):
+    """Nearly all keys are on one row: no scan task holds a count for each, no merged partition either, and a key on
+    most rows is counted in several tasks."""
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    found = quality.spread_totals(rows, ["k"], "n", F.count(F.lit(1)))
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(exchanges) == 2 and all("REPARTITION_BY_NUM" in lines[i] for i in exchanges)
+    assert not any("HashAggregate" in line for line in lines[exchanges[1]:]) and "apart_" in lines[exchanges[1]]
+    assert found.where("n > 1").collect() == [("hot", 3000)] and found.count() == 1001
+    assert quality.duplicate_ids(rows.select(F.nullif("k", F.lit("hot")).alias("k")), "k").collect() == [(None, 3000)]
