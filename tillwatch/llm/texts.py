@@ -6,6 +6,7 @@ import os
 import weakref
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -109,14 +110,15 @@ class Runs:
         self.rows.update(zip(words, range(old, old + len(words))))
 
     def rows_of(self, words: list[str]) -> np.ndarray:
-        rows = self.rows
-        missing = [w for w in words if w not in rows]
+        found = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = [words[i] for i in np.flatnonzero(found < 0)]
         if missing:
-            if len(rows) + len(missing) > self.most:
+            if len(self.rows) + len(missing) > self.most:
                 self._reset()
-                rows, missing = self.rows, list(words)
+                missing = list(words)
             self._add(missing)
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+            found = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return found
 
     def expand(self, which: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The runs of ``words[which]`` one after another, and where each ends."""

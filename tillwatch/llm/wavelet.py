@@ -61,9 +61,10 @@ class WaveletMatrix:
         for bit in range(width - 1, -1, -1):
             ones = (a & a.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            low = a[~ones]
+            # compress is a few times faster than an index of flags
+            low = a.compress(~ones)
             zeros.append(len(low))
-            a = np.concatenate([low, a[ones]])
+            a = np.concatenate([low, a.compress(ones)])
         return cls(len(a), planes, zeros)
 
     def ids(self) -> np.ndarray:
@@ -73,8 +74,8 @@ class WaveletMatrix:
         for level in range(width - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(a)
-            back[~ones] = a[: self.zeros[level]]
-            back[ones] = a[self.zeros[level] :] | a.dtype.type(1 << (width - 1 - level))
+            back[np.flatnonzero(~ones)] = a[: self.zeros[level]]
+            back[np.flatnonzero(ones)] = a[self.zeros[level] :] | a.dtype.type(1 << (width - 1 - level))
             a = back
         return a
 
