@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tillwatch import session
 from tillwatch.config import Spine
+from tillwatch.operators import rollup
 from tillwatch.operators.orphans import not_in
+from tillwatch.operators.rollup import daily_activity
+from tillwatch.operators.windows import month_members, past_months
 from tillwatch.plans import labels, metrics, workflow
 from tillwatch.sources import files, schemas
 from tillwatch.sources.views import register_views
@@ -149,6 +152,30 @@ def test_views(spark, make):
     assert spark.sql(counted).first()[0] == pairs
 
 
+def test_shuffles_have_more_partitions_over_more_files(spark, make, tmp_path, monkeypatch):
+    merchants, txns, sla = _year(make)
+    paths = {}
+    for name, table in (("m", merchants), ("t", txns), ("s", sla)):
+        paths[name] = str(tmp_path / f"{name} %")
+        table.repartition(70).write.parquet(paths[name])
+    merchants, txns, sla = (spark.read.parquet(p) for p in paths.values())
+    size = {n: sum(f.stat().st_size for f in (tmp_path / f"{n} %").glob("*.parquet")) for n in paths}
+    for name, table in (("m", merchants), ("t", txns), ("s", sla)):
+        assert session.stored_bytes(table, looked_at=1000) == size[name]
+        assert session.stored_bytes(table) == pytest.approx(size[name], rel=0.2)
+    assert session.stored_bytes(spark.range(3)) == 0
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = {tuple(r) for r in daily_activity(txns, sla).collect()}
+    assert rollup.partitions(txns) == usual
+    monkeypatch.setattr(rollup, "PART_BYTES", 5_000)
+    events = session.stored_bytes(txns.select("txn_id").unionByName(sla.select(F.col("event_id").alias("txn_id"))))
+    daily = daily_activity(txns, sla)
+    assert daily.rdd.getNumPartitions() == -(-events // 5_000) > usual
+    assert {tuple(r) for r in daily.collect()} == plain
+    members = month_members(daily, merchants, past_months(F.col("day"), 30, SPINE), (None, None), SPINE)
+    assert members.rdd.getNumPartitions() == -(-(events + 24 * session.stored_bytes(merchants)) // 5_000)
+
+
 def test_runs_end_to_end(spark, make, tmp_path):
     merchants, txns, sla = _year(make)
     out = str(tmp_path)
