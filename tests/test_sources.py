@@ -152,6 +152,19 @@ def test_views(spark, make):
     assert spark.sql(counted).first()[0] == pairs
 
 
+def test_dataset_view_is_one_aggregation(spark, make):
+    merchants, txns, sla = _year(make)
+    register_views(merchants, txns, sla, SPINE)
+
+    def joins(view):
+        plan = spark.table(view)._jdf.queryExecution().optimizedPlan().toString()
+        return sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines())
+
+    assert joins("v_model_dataset") == joins("v_merchant_month_features")
+    labels_of = lambda v: {(r.merchant_id, r.month_end): r.default_next_60d for r in spark.table(v).collect()}
+    assert labels_of("v_model_dataset") == labels_of("outcomes_monthly")
+
+
 def test_shuffles_have_more_partitions_over_more_files(spark, make, tmp_path, monkeypatch):
     merchants, txns, sla = _year(make)
     paths = {}

@@ -30,6 +30,12 @@ def register_views(
     features_30d = f.txn_features_30d(transactions, merchants, spine)
     table = f.merchant_month_features(transactions, sla_events, merchants, spine)
     labels = lb.default_label(lb.forward_rates(transactions, sla_events, merchants, spine), rule)
+    # without a written label table, features and label come from one aggregation instead of two and a join
+    dataset = (
+        f.merchant_month_features(transactions, sla_events, merchants, spine, label=rule)
+        if outcomes is None
+        else marts.model_dataset(table, outcomes)
+    )
     outcomes = lb.outcomes_monthly(labels) if outcomes is None else outcomes
     months = month_spine(merchants, spine)
     # reports read no percentile, and a plan can't drop it from the wide table by itself
@@ -52,7 +58,7 @@ def register_views(
         "v_default_label_next_60d": labels,
         "v_data_exceptions": exceptions,
         "v_label_sanity": quality.label_sanity(outcomes, merchants),
-        "v_model_dataset": marts.model_dataset(table, outcomes),
+        "v_model_dataset": dataset,
         "v_mart_portfolio_overview": marts.portfolio_overview(months, slim, outcomes),
         "v_mart_merchant_risk_queue": marts.risk_queue_mart(spine, slim, outcomes),
     }
