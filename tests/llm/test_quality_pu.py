@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brute import ODD_TEXTS
 from tillwatch.llm import quality_pu
+from tillwatch.llm.texts import Runs
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -39,6 +42,25 @@ def test_features_do_not_depend_on_neighbours():
         assert np.array_equal(whole[i : i + 1], quality_pu.features(pa.concat_arrays([texts.slice(i, 1)])))
 
 
+def test_features_hold_a_slice_at_a_time():
+    texts = pa.array(["Some plain words, and 12 numbers.\n" * 300] * 400)
+    assert texts.nbytes > 4_000_000
+    quality_pu.features(texts.slice(0, 1))
+    tracemalloc.start()
+    found = quality_pu.features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000 and (found == found[0]).all()
+
+
+def test_tables_of_other_stages_are_emptied():
+    tables = [Runs(lambda ws: [[len(w)] for w in ws]) for _ in range(2)]
+    assert tables[0].rows_of(["a", "bcd"]).tolist() == [0, 1]
+    Runs.empty_all()
+    assert not tables[0].rows and not tables[1].rows
+    assert tables[0].expand(np.array([0, 1]), ["bcd", "a"])[0].tolist() == [3, 1]
+
+
 def test_risk_is_corrected_below_zero():
     rng = np.random.default_rng(1)
     positive = rng.normal(1, 1, (400, 5)).astype(np.float32)

@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.llm.ngram_rules import repeated_lines, repeated_words, trusted_ids
-from tillwatch.llm.texts import id_and_text, map_batches, steps, strings, sums, words_of
+from tillwatch.llm.texts import Runs, id_and_text, map_batches, steps, strings, sums, words_of
 
 #: documents of either kind that a fit uses at most
 POSITIVES, UNLABELLED = 6_000, 12_000
 HIDDEN, STEPS, BATCH, SEED = 24, 1_600, 512, 7
+#: text bytes whose features are made together: some 60 bytes of whole numbers for each are held meanwhile
+SLICE = 1 << 19
 #: step against an overfitted negative risk
 GAMMA = 1.0
 
@@ -58,7 +60,13 @@ WIDTH = 256 + 16 + sum(len(e) + 1 for e in EDGES)
 
 
 def features(texts: pa.StringArray) -> np.ndarray:
-    """One row of ``WIDTH`` numbers in 0..1 for each text."""
+    """One row of ``WIDTH`` numbers in 0..1 for each text, whatever the others; made of ``SLICE`` bytes of texts at a time."""
+    table = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [_features(strings(part.column("text"))) for part in steps([table], limit=SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
+
+
+def _features(texts: pa.StringArray) -> np.ndarray:
     n, out = len(texts), np.zeros((len(texts), WIDTH), np.float32)
     ends = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4)
     data = texts.buffers()[2]
@@ -183,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     texts = slim.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
 
     def run(batches):
+        Runs.empty_all()
         for batch in steps(batches):
             rows = features(strings(batch.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "kind", "row"])
@@ -201,6 +210,7 @@ def with_score(docs: DataFrame, network: Network, text_col: str = "text", score_
     kinds = dict(docs.dtypes)
 
     def run(batches):
+        Runs.empty_all()
         for batch in steps(batches, text_col):
             scores = network.scores(features(strings(batch.column(text_col)))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*kept, score_col])

@@ -84,6 +84,14 @@ class Runs:
             if other is not self and other.rows:
                 other._reset()
 
+    @classmethod
+    def empty_all(cls) -> None:
+        """Empties all tables and hands back what Arrow holds unused, for a stage that needs none of them."""
+        for table in cls._all:
+            if table.rows:
+                table._reset()
+        pa.default_memory_pool().release_unused()
+
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
