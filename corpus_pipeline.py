@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tillwatch.llm import fuse_dedup, lsh_forest, quality_pu, raking, suffix_pieces
 from tillwatch.llm.raking import TARGETS
 from tillwatch.llm.texts import SPACE
-from tillwatch.session import hand_off
+from tillwatch.session import few_files, hand_off
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: share of tokens that mixing is expected to keep: the largest at which they meet the targets without weights, but at
@@ -57,7 +57,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = fuse_dedup.exact_dedup(docs, batch).select(F.col("doc_id").alias(rid), F.col("text_sha256").alias(f"{digest}k"), "kept")
     # of each id and text whether its rows go, or stay as one of several that are the same
     seen = found.groupBy(rid, f"{digest}k").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
-    seen = hand_off(seen.where("NOT kept OR n > 1"), "exact-marked")
+    seen = hand_off(few_files(seen.where("NOT kept OR n > 1")), "exact-marked")
     rows = docs.withColumn(digest, F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE, ""), 256))
     same = lambda side: rows["doc_id"].eqNullSafe(side[rid]) & (rows[digest] == side[f"{digest}k"])
     marked = _sized(seen.drop("kept", "n"))
@@ -84,7 +84,7 @@ def _sized(side: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows whose id, which no other row has, is not among those that go."""
-    ids = _sized(hand_off(gone.select(F.col("doc_id").alias("_gone")), "gone"))
+    ids = _sized(hand_off(few_files(gone.select(F.col("doc_id").alias("_gone"))), "gone"))
     return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti")
 
 

@@ -1,10 +1,14 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import brute
-from tillwatch.llm import lsh_forest
+from tillwatch import session
+from tillwatch.llm import fuse_dedup, lsh_forest
 
 COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
 
@@ -39,6 +43,27 @@ def test_documents_match_brute_force(documents, rows):
     assert _found(documents, 85) == sorted(brute.near_components(rows, 85), key=repr)
 
 
+def test_small_tables_are_few_files(spark, documents, tmp_path, monkeypatch):
+    cores, rows = spark.sparkContext.defaultParallelism, _found(documents, 80)
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    wide = {"spark.sql.shuffle.partitions": str(5 * cores), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        assert _found(documents, 80) == rows
+        assert fuse_dedup.exact_dedup(documents, F.pmod("doc_id", F.lit(3))).count() == documents.count()
+        spread = documents.repartition(5 * cores, "doc_id")
+        assert session.few_files(spread).rdd.getNumPartitions() == cores
+        assert session.few_files(spread, 1000).rdd.getNumPartitions() == 5 * cores
+        assert session.few_files(spark.range(9).repartition(5 * cores, "id")).rdd.getNumPartitions() == 5 * cores
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    files = Counter(p.parent for p in tmp_path.rglob("part-*"))
+    assert len(files) > 10 and max(files.values()) <= cores
+
+
 def test_odd_rows(odd, none):
     rows = {r.doc_id: r.text for r in odd.collect()}
     expected = {r[0]: r for r in brute.near_components(list(rows.items()), 85)}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.llm.texts import SPACE, id_and_text, importable
-from tillwatch.session import hand_off
+from tillwatch.session import few_files, hand_off
 
 #: digests that one filter is built for, on average
 BUCKET = 8_192
@@ -180,15 +180,15 @@ def exact_dedup(docs: DataFrame, batch: Column, id_col: str = "doc_id", text_col
         "digests",
     )
     best = F.min(F.struct((-F.col("size")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best")
-    classes = hand_off(rows.groupBy("batch", "digest").agg(best, F.count("*").alias("n")), "digest-classes")
+    classes = hand_off(few_files(rows.groupBy("batch", "digest").agg(best, F.count("*").alias("n"))), "digest-classes")
     buckets = max(1, ceil(classes.count() / bucket))
-    filters = hand_off(snapshot_filters(classes, buckets), "fuse-filters")
+    filters = hand_off(few_files(snapshot_filters(classes, buckets)), "fuse-filters")
     positive = screened(classes, filters, buckets)
     old = classes.select("digest", F.col("batch").alias("snapshot"), F.col("best.doc_id").alias("old_id"))
     new = classes.select("digest", "batch", F.col("best.doc_id").alias("new_id"))
-    pairs = hand_off(positive.join(old, ["digest", "snapshot"]).join(new, ["digest", "batch"]), "digest-positives")
+    pairs = hand_off(few_files(positive.join(old, ["digest", "snapshot"]).join(new, ["digest", "batch"])), "digest-positives")
     texts = id_and_text(docs, id_col, text_col).select("doc_id", plain.alias("plain"))
-    same = hand_off(_same_bytes(pairs, texts), "digest-links")
+    same = hand_off(few_files(_same_bytes(pairs, texts)), "digest-links")
     linked = same.select("digest", "batch").unionByName(same.select("digest", F.col("snapshot").alias("batch"))).distinct()
     merged = (
         classes.join(linked, ["digest", "batch"], "left_semi")

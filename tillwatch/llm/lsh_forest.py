@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 
 from tillwatch.llm.fuse_dedup import mixed
 from tillwatch.llm.texts import Runs, distinct_words, id_and_text, map_batches, steps, strings
-from tillwatch.session import hand_off
+from tillwatch.session import few_files, hand_off
 
 TREES, DEPTH, DEEPER = 32, 4, 8
 VALUES = TREES * DEPTH
 WORDS = 5
+#: words whose hashes a worker keeps, some 200 bytes each
+KNOWN = 300_000
 #: classes in a block of a large region
 BLOCK = 4096
 _RNG = np.random.default_rng(20)
@@ -57,7 +59,7 @@ class Shingler:
 
     def __init__(self):
         # two independent halves of a word's digest, so that a shingle's hash has 64 good bits
-        self.words = Runs(lambda ws: [np.frombuffer(hashlib.blake2b(w.encode(), digest_size=8).digest(), np.uint64) for w in ws], np.uint64)
+        self.words = Runs(lambda ws: [np.frombuffer(hashlib.blake2b(w.encode(), digest_size=8).digest(), np.uint64) for w in ws], np.uint64, KNOWN)
 
     @classmethod
     def one(cls) -> "Shingler":
@@ -247,11 +249,11 @@ def components(links: DataFrame) -> DataFrame:
     def mark(edges: DataFrame):
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
 
-    edges = hand_off(links.where("a <> b").select("a", "b").distinct(), "links")
+    edges = hand_off(few_files(links.where("a <> b").select("a", "b").distinct()), "links")
     before = None
     while (now := mark(edges)) != before:
         before = now
-        edges = hand_off(star(star(edges, True), False), "stars")
+        edges = hand_off(few_files(star(star(edges, True), False)), "stars")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
@@ -329,19 +331,19 @@ def crossing_links(squares: DataFrame, sets: DataFrame, percent: int) -> DataFra
 def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set_digest (equal for equal sets) for each row of ``docs``."""
     slim = id_and_text(docs, id_col, text_col)
-    table = hand_off(signatures(slim, words), "signatures")
+    table = hand_off(few_files(signatures(slim, words)), "signatures")
     ids = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     classes = table.where("cls IS NOT NULL").groupBy("cls").agg(ids, F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
-    classes = hand_off(classes.select("cls", F.col("first.doc_id").alias("rep"), "n", "sig"), "set-classes")
-    region = hand_off(regions(forest(classes)), "regions")
+    classes = hand_off(few_files(classes.select("cls", F.col("first.doc_id").alias("rep"), "n", "sig")), "set-classes")
+    region = hand_off(few_files(regions(forest(classes))), "regions")
     near = region.where("next IS NOT NULL").select(F.least("cls", "next").alias("a"), F.greatest("cls", "next").alias("b"))
-    near = hand_off(near.distinct(), "neighbours")
+    near = hand_off(few_files(near.distinct()), "neighbours")
     wanted = region.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    sets = hand_off(shingle_sets(slim, wanted, words), "sets")
-    links = hand_off(confirmed(near, sets, percent), "neighbour-links")
+    sets = hand_off(few_files(shingle_sets(slim, wanted, words)), "sets")
+    links = hand_off(few_files(confirmed(near, sets, percent)), "neighbour-links")
     joined = components(links)
     squares = open_regions(region, joined)
-    more = hand_off(crossing_links(squares, sets, percent), "crossing-links")
+    more = hand_off(few_files(crossing_links(squares, sets, percent)), "crossing-links")
     final = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = final.join(classes, F.col("node") == F.col("cls")).groupBy("root")
     named = named.agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep")).alias("low"))
