@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from brute import ODD_TEXTS
-from tillwatch.llm import resync, suffix_pieces, wavelet
+from tillwatch.llm import byte_bpe, resync, suffix_pieces, token_links, wavelet
+from tillwatch.llm.texts import Runs
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 HARD = ODD_TEXTS + [
@@ -43,6 +45,43 @@ def test_piece_columns(spark, odd, none):
     assert sorted((r.doc_id, r.decoded) for r in suffix_pieces.decode(nulls, PIECE).collect())[0] == (1, "")
 
 
+def test_new_units_go_through_the_library_together(texts):
+    class Counted:
+        def __init__(self, library):
+            self.library, self.texts = library, 0
+
+        def encode_batch_fast(self, batch, **how):
+            self.texts += len(batch)
+            return self.library.encode_batch_fast(batch, **how)
+
+        def encode(self, text, **how):
+            return self.library.encode(text, **how)
+
+    rng = random.Random(4)
+    marks = ["a", "B", "é", "漢", "1", "'s", "'", "'ll", "\n", " ", " ", "...", "<", "_", "😀", "\x01", "\t", "\xa0"]
+    mixed = ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(5000)]
+    encoder, library = byte_bpe.ByteBpe(BYTE), Tokenizer.from_file(BYTE)
+    encoder.library = counted = Counted(encoder.library)
+    plain = " ".join(f"{x}{y}{z}{mark}" for x in "abcde" for y in "aeiou" for z in "rstvw" for mark in ("", ".", "ß!"))
+    for some in ([plain], texts + mixed + ["", None, "'s", "\n's x"]):
+        ids, ends = encoder.encode(pa.array(some, pa.string()))
+        for text, got in zip(some, np.split(ids, ends[:-1])):
+            assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids
+        if some == [plain]:
+            assert counted.texts == -(-375 // byte_bpe.JOINED)
+    spaced = token_links.SpacedBytes(BYTE)
+    ids, ends = spaced.encode(pa.array(mixed))
+    for text, got in zip(mixed, np.split(ids, ends[:-1])):
+        assert got.tolist() == spaced.library.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_known_words_stay_bounded():
+    table = Runs(lambda ws: (np.array([int(w) for w in ws for _ in range(int(w) % 3)], np.uint32), np.array([int(w) % 3 for w in ws])), most=10)
+    for some in ([1, 2, 3], [3, 4, 5, 6], [2, 7, 8, 9, 10, 11], [2, 11, 1], list(range(30, 50)), [30, 1, 50]):
+        ids, ends = table.expand(np.arange(len(some))[::-1], [str(w) for w in some])
+        assert ids.tolist() == [w for w in some[::-1] for _ in range(w % 3)] and len(ends) == len(some)
+
+
 def test_counts_equal_the_library(spark, texts):
     library = Tokenizer.from_file(WORD)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -7,9 +7,8 @@ any other text goes through it whole.
 
 from __future__ import annotations
 
-import codecs
 import os
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ ODD = (
     r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x{01}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
     r"\x{3000}]|<\|"
 )
-#: a unit of letters that every Unicode version knows, with at most one mark at its end: one or two pre-tokens
-PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
+#: units that the library gets as one text
+JOINED = 64
 
 
 class ByteBpe:
@@ -36,13 +35,15 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         # the pre-tokenizer shows bytes as characters: itself if it prints, else the next one from 256 on
         as_shown = {b: chr(256 + n) for n, b in enumerate(hidden)}
         self.as_shown = "".join(as_shown.get(b, chr(b)) for b in range(256))
-        self.units, self.pretokens = Runs(self._units), {}
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[:1] in (self.as_shown[32], self.as_shown[10])]] = True
+        self.units = Runs(self._units)
 
     @classmethod
     def of(cls, path: str) -> "ByteBpe":
@@ -50,31 +51,23 @@ class ByteBpe:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _pretoken(self, text: str) -> tuple[int, ...]:
-        if (found := self.pretokens.get(text)) is None:
-            shown = codecs.charmap_decode(text.encode(), "strict", self.as_shown)[0]
-            found = tuple([t.id for t in self.model.tokenize(shown)])
-            if len(self.pretokens) > 300_000:
-                self.pretokens.clear()
-            self.pretokens[text] = found
-        return found
+    def _units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, each with its space or line feed, one after another, and how many each has.
 
-    def _units(self, words: list[str]) -> list:
-        out, rest = [], []
-        for w in words:
-            if m := PLAIN.fullmatch(w):
-                line, letters, mark = m.groups()
-                ids = self._pretoken(letters if line else " " + letters)
-                if line:
-                    ids = self._pretoken("\n") + ids
-                out.append(ids + self._pretoken(mark) if mark else ids)
-            else:
-                rest.append((len(out), w))
-                out.append(())
-        units = ["\n" + w[1:] if w[:1] == "\n" else w[1:] if w[:1] == "\x01" else " " + w for _, w in rest]
-        for (at, w), got in zip(rest, self.library.encode_batch_fast(units, add_special_tokens=False)):
-            out[at] = got.ids
-        return out
+        ``JOINED`` units go through the library as one text. A unit begins where an id begins with a space or line feed,
+        as nothing else in it does; what begins a text gets a line feed, whose id is taken out again.
+        """
+        texts = [" " + " ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
+        texts = [t.replace(" \n", "\n").replace(" \x01", "\n") for t in texts]
+        got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(words):
+            raise ValueError("units were not told apart")
+        sizes = np.diff(first, append=len(ids))
+        begin = np.array([k for k, w in enumerate(words) if w[:1] == "\x01"], np.int64)
+        sizes[begin] -= 1
+        return np.delete(ids, first[begin]), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids end."""

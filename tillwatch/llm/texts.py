@@ -6,7 +6,7 @@ import os
 import weakref
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -67,8 +67,9 @@ def distinct_words(words: pa.Array) -> tuple[np.ndarray, list[str]]:
 class Runs:
     """What words become: a run of integers for each word, kept for the life of a Python worker.
 
-    ``make`` gets the list of words not seen before and returns a list of integer sequences. Past ``most`` words the
-    table starts anew, so memory stays bounded whatever the vocabulary; results don't depend on it.
+    ``make`` gets the list of words not seen before and returns a list of integer sequences, or an array of all of them
+    one after another and one of their sizes. Past ``most`` words the table starts anew, so memory stays bounded whatever
+    the vocabulary; results don't depend on it.
     """
 
     _all: "weakref.WeakSet[Runs]" = weakref.WeakSet()
@@ -99,7 +100,10 @@ class Runs:
 
     def _add(self, words: list[str]) -> None:
         runs = self.make(words)
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        if isinstance(runs, tuple):
+            runs, sizes = [runs[0]], runs[1]
+        else:
+            sizes = np.fromiter(map(len, runs), np.int64, len(runs))
         more, old = int(sizes.sum()), len(self.rows)
         if self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(self.used, more) + more, self.dtype)])
@@ -111,7 +115,7 @@ class Runs:
             if isinstance(runs[0], np.ndarray):
                 self.flat[self.used : self.used + more] = np.concatenate(runs)
             else:
-                self.flat[self.used : self.used + more] = np.fromiter((x for r in runs for x in r), self.dtype, more)
+                self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(runs), self.dtype, more)
         self.first[old : old + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.size[old : old + len(words)] = sizes
         self.used += more
@@ -124,8 +128,10 @@ class Runs:
             if len(self.rows) + len(missing) > self.most:
                 self._reset()
                 missing = list(words)
+                found[:] = -1
+            old = len(self.rows)
             self._add(missing)
-            found = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+            found[found < 0] = np.arange(old, old + len(missing))
         return found
 
     def expand(self, which: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
