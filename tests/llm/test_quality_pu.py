@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brute import ODD_TEXTS
-from tillwatch.llm import quality_pu
+from tillwatch.llm import quality_pu, texts
 from tillwatch.llm.texts import Runs
 
 FOLDER = "/root/testdata/sf0.1"
@@ -61,6 +61,24 @@ def test_tables_of_other_stages_are_emptied():
     assert tables[0].expand(np.array([0, 1]), ["bcd", "a"])[0].tolist() == [3, 1]
 
 
+def test_workers_hand_memory_back(spark, monkeypatch):
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, fn, schema):
+            return list(fn(iter([1, 2])))
+
+    called = []
+    monkeypatch.setattr(texts, "hand_back", lambda: called.append(1))
+    assert texts.map_batches(Frame(), lambda batches: (2 * b for b in batches), "n long") == [2, 4] and len(called) == 1
+    one, other = (Runs(lambda ws: [[len(w)] for w in ws]) for _ in range(2))
+    other.rows_of(["a"])
+    one.alone()
+    assert not other.rows and len(called) == 2
+    Runs.empty_all()
+    assert len(called) == 3
+
+
 def test_risk_is_corrected_below_zero():
     rng = np.random.default_rng(1)
     positive = rng.normal(1, 1, (400, 5)).astype(np.float32)

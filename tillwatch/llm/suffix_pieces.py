@@ -35,6 +35,8 @@ UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 INDEXED = 1 << 18
 #: text bytes that are encoded and decoded at once
 STEP = 2 << 20
+#: words whose pieces a worker keeps
+KNOWN = 200_000
 #: units longer than this are relaxed by a heap
 LONG_UNIT = 256
 #: texts that the plain cut at single spaces and line feeds doesn't fit
@@ -85,7 +87,7 @@ class Pieces:
         codes[np.arange(codes.shape[1]) >= self.lengths[:, None]] = 0xFFFF
         self.high = self._packed(codes)
         self.joins_line = any("\n" in p for p, _, _ in normal)
-        self.units = Runs(self._plain_units, most=400_000)
+        self.units = Runs(self._plain_units, most=KNOWN)
 
     @classmethod
     def of(cls, path: str) -> "Pieces":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import weakref
 import zlib
@@ -32,7 +33,19 @@ def importable(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        hand_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def hand_back() -> None:
+    """Gives freed memory back to the system: a worker stays for later tasks, next to an executor that needs it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,17 +94,19 @@ class Runs:
 
     def alone(self) -> None:
         """Empties the tables of other operators: a worker outlives the stage that filled them."""
-        for other in Runs._all:
-            if other is not self and other.rows:
-                other._reset()
+        others = [t for t in Runs._all if t is not self and t.rows]
+        for other in others:
+            other._reset()
+        if others:
+            hand_back()
 
     @classmethod
     def empty_all(cls) -> None:
-        """Empties all tables and hands back what Arrow holds unused, for a stage that needs none of them."""
+        """Empties all tables, for a stage that needs none of them."""
         for table in cls._all:
             if table.rows:
                 table._reset()
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
